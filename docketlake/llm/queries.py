@@ -85,8 +85,8 @@ components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 ORACLES = {
     "op2_minhash_near_dup": rf"""
-WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 often AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM often WHERE 100 * k >= 85 * (n + m - k)),
@@ -103,13 +103,13 @@ SELECT conv_id, call_id, turn, name, depth, status, CAST(NULL AS VARCHAR) AS err
   concat('{"arguments":{"prompt":', to_json(text), ',"turn":', turn, '},"call_id":"', call_id, '","conv_id":', conv_id, ',"depth":', depth, ',"errors":null,"name":"reply","result":', coalesce(CAST(to_json(content) AS VARCHAR), 'null'), ',"status":"', status, '","turn":', turn, '}') AS canonical
 FROM linked""",
     "op7_substrings": r"""
-WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM words)),
 firsts AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (g) WHERE first_doc < doc_id),
 lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
-kept AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS r, list_filter(range(1, len(w) + 1), p -> NOT list_contains(coalesce(ps, []), p)) AS k, w FROM words d LEFT JOIN lists l ON d.doc_id = l.doc_id)
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(list_transform(k, p -> w[p]), ' '), '')) AS kept_sha256 FROM kept""",
+kept AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS r, list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(coalesce(ps, []), p)) AS k, w FROM words d LEFT JOIN lists l ON d.doc_id = l.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(list_transform(k, lambda p: w[p]), ' '), '')) AS kept_sha256 FROM kept""",
     "op9_vectors": f"""
 WITH RECURSIVE links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.9),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
