@@ -10,6 +10,7 @@ from docketlake.functions import text as X
 from docketlake.operators import filters
 from docketlake.plans.registry import query
 from docketlake.plans.standins import Tables
+from docketlake.sources import html_tables, payloads
 from docketlake.sources import pages as P
 
 C = F.col
@@ -289,3 +290,26 @@ def c10_keyed_lookup(t: Tables) -> DataFrame:
 def c11_latest_run_anomalies(t: Tables) -> DataFrame:
     latest = t.item.agg(F.max("run_id").alias("latest"))
     return filters.open_rows(t.anom).join(F.broadcast(latest), C("run_id") == C("latest")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, 'parser_anomalous' AS outcome, CAST(0 AS BIGINT) AS n_rows FROM pages")
+def a8_page_outcomes(t: Tables) -> DataFrame:
+    return html_tables.classify_pages(html_tables.parse_pages(t.pages))
+
+
+@query("SELECT doc_id, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'jpg' WHEN 3 THEN 'txt' END AS type, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'strong' WHEN 1 THEN 'strong' WHEN 2 THEN 'declared' WHEN 3 THEN 'filename' ELSE 'none' END AS confidence FROM documents")
+def a10_signatures(t: Tables) -> DataFrame:
+    k = C("doc_id") % 5
+    body = F.concat(F.when(k == 0, "%PDF-").when(k == 1, " <!DOCTYPE html>").otherwise("~"), C("text")).cast("binary")
+    files = t.documents.select("doc_id", F.when(k == 3, "a/b.TXT").otherwise("a/b").alias("path"), body.alias("content"), F.when(k == 2, "image/JPEG; q=1").alias("declared_mime"))
+    return payloads.detect_types(files).select("doc_id", "type", "confidence")
+
+
+@query("SELECT doc_id, CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN 'length_mismatch' WHEN 1 THEN 'html' WHEN 2 THEN 'no_signature' WHEN 3 THEN 'pdf_without_end' WHEN 4 THEN 'hash_mismatch' ELSE 'valid' END AS verdict FROM documents")
+def a11_payload_validation(t: Tables) -> DataFrame:
+    k = C("doc_id") % 6
+    body = F.concat(F.when(k == 1, "<html>").when(k == 2, "~").otherwise("%PDF-"), C("text"), F.when(k > 3, "%%EOF").otherwise("")).cast("binary")
+    path = C("doc_id").cast("string").alias("path")
+    files = t.documents.select(path, body.alias("content"))
+    expected = t.documents.select(path, F.when(k == 0, 1).alias("expected_length"), F.lit("pdf").alias("expected_type"), F.when(k == 4, "00").alias("expected_sha256"))
+    return payloads.validate_payloads(files, expected).select(C("path").cast("bigint").alias("doc_id"), "verdict")
