@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.functions import text as X
@@ -11,7 +11,12 @@ from docketlake.plans.registry import query
 from docketlake.plans.standins import Tables
 
 C = F.col
-NOW = F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+def _now() -> Column:
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
 _NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 
 
@@ -32,12 +37,12 @@ def _existing(t: Tables) -> DataFrame:
 
 @query(_PRESENCE.format(full="true", now=_NOW))
 def d8_presence(t: Tables) -> DataFrame:
-    return merge.presence(_existing(t), t.after, "k", True, NOW)
+    return merge.presence(_existing(t), t.after, "k", True, _now())
 
 
 @query(_PRESENCE.format(full="false", now=_NOW))
 def s5_presence_incremental(t: Tables) -> DataFrame:
-    return merge.presence(_existing(t), t.after, "k", False, NOW)
+    return merge.presence(_existing(t), t.after, "k", False, _now())
 
 
 @query(f"SELECT transition, count(*) AS n FROM ({_PRESENCE.format(full='true', now=_NOW)}) GROUP BY 1")
@@ -53,17 +58,18 @@ def s12_presence_events(t: Tables) -> DataFrame:
 _DISPLAY = """SELECT coalesce(s.id, p.id) AS id, CASE WHEN p.id IS NULL THEN 'source_only' WHEN s.id IS NULL THEN 'page_only' ELSE 'both' END AS origin,
 CASE WHEN p.id IS NOT NULL THEN true WHEN coalesce(s.id, p.id) % 3 <> 0 THEN false END AS displayed, CASE WHEN s.id IS NULL THEN 'unknown' ELSE 'active' END AS presence,
 CASE WHEN p.id IS NOT NULL OR coalesce(s.id, p.id) % 3 <> 0 THEN {now} END AS display_reconciled_at, {reclassified} AS reclassified FROM source_side s FULL JOIN page_side p ON s.id = p.id"""
-_OUTCOME = F.when(C("id") % 3 == 0, "failed_fetch").when(C("id") % 3 == 1, "checked_zero").otherwise("checked_with_records")
+def _outcome() -> Column:
+    return F.when(C("id") % 3 == 0, "failed_fetch").when(C("id") % 3 == 1, "checked_zero").otherwise("checked_with_records")
 
 
 @query(_DISPLAY.format(now=_NOW, reclassified="false"))
 def d9_testimony(t: Tables) -> DataFrame:
-    return reconcile.two_sources(t.source_side.select("id"), t.page_side, "id", _OUTCOME, NOW)
+    return reconcile.two_sources(t.source_side.select("id"), t.page_side, "id", _outcome(), _now())
 
 
 @query(_DISPLAY.format(now=_NOW, reclassified="s.id IS NOT NULL AND p.id IS NOT NULL AND s.id % 2 = 1"))
 def d10_presentations(t: Tables) -> DataFrame:
-    return reconcile.two_sources(t.source_side.select("id"), t.page_side, "id", _OUTCOME, NOW, expected=C("id") % 2 == 0)
+    return reconcile.two_sources(t.source_side.select("id"), t.page_side, "id", _outcome(), _now(), expected=C("id") % 2 == 0)
 
 
 @query("""WITH st AS (SELECT session_key, 'measures' AS entity, max(source_modified_at) AS cursor FROM bill WHERE bill_id % 2 = 0 AND session_key <> '1998R1' GROUP BY 1), o AS (SELECT session_key, 'measures' AS entity, session_key <> '1996R1' AS ok, max(source_modified_at) AS c FROM bill WHERE session_key <> '1997R1' GROUP BY 1)
@@ -120,7 +126,7 @@ def s10_error_ledger(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, run_id, CASE WHEN resolved_at IS NULL AND run_id IN (SELECT run_id FROM item WHERE status = 'completed' AND item_key % 100 = 7) THEN {_NOW} ELSE resolved_at END AS resolved_at FROM err")
 def s11_resolution(t: Tables) -> DataFrame:
-    return merge.resolve(t.err, t.item.where("status = 'completed' and item_key % 100 = 7"), "run_id", NOW).select("id", "run_id", "resolved_at")
+    return merge.resolve(t.err, t.item.where("status = 'completed' and item_key % 100 = 7"), "run_id", _now()).select("id", "run_id", "resolved_at")
 
 
 @query("SELECT bill_id, document_kind AS family, max(first_seen_at) AS checked_at, arg_max(displayed, epoch_us(first_seen_at) * 8 + source_id % 8) AS displayed FROM (SELECT DISTINCT bill_id, document_kind, first_seen_at, source_id, displayed FROM doc WHERE displayed IS NOT NULL) GROUP BY 1, 2")
