@@ -172,7 +172,7 @@ def site_templates(pages: DataFrame, min_pages: int, share: float) -> DataFrame:
     return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.5) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.5, salts: int = 32) -> DataFrame:
     """(page_id, url, text): the main text of every page, one row per input row.
 
     Text is that of the article elements, else of main, else of the whole page, without elements that
@@ -187,11 +187,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.when(host != "", host).alias("host"))
-    templates = site_templates(source, min_pages, share)
+    # a host may own a third of all pages: its pages are dealt over `salts` keys, to each of which its few templates go
+    templates = site_templates(source, min_pages, share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    source = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [Page(h).text(frozenset(t or ())) if h else "" for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return map_batches(source.join(templates, "host", "left").select("page_id", "url", "html", "templates"), extract, "page_id long, url string, text string")
+    return map_batches(source.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "templates"), extract, "page_id long, url string, text string")
