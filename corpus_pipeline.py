@@ -19,12 +19,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate class."""
-    return docs.join(near_dup.near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """The document of the smallest id of each near-duplicate class. Rows of one id stay together; rows without an id stay."""
+    kept = docs.join(near_dup.near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def unseen_by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows of one id stay or go together; rows without an id stay."""
     found = decontaminate.contaminated(docs, base.read(spark, sf_dir, "benchmark"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
