@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.llm.base import checkpoint, map_batches
@@ -21,11 +21,10 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec, dim, x): vectors that are not null, empty or zero and hold only finite components."""
-    x = F.col(vector_col).cast("array<double>")
+def usable(x: Column) -> Column:
+    """Whether a vector is not null, empty or zero and holds only finite components."""
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec"), F.size(vector_col).alias("dim"), x.alias("x")).where(F.coalesce(fine, F.lit(False)))
+    return F.coalesce(fine, F.lit(False))
 
 
 def passes(points: DataFrame, count: int) -> DataFrame:
@@ -133,10 +132,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     components of the test tables.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing, as do
-    vectors of different lengths. Rows that repeat an id count as copies only if their vectors are equal; an empty table
-    gives an empty result. Other columns are not read.
+    vectors of different lengths. Rows that repeat an id count as copies only if their vectors are equal; a null id
+    counts as a link of others but names no component. An empty table gives an empty result. Other columns are not read.
     """
-    points = usable(vectors, id_col, vector_col)
+    every = vectors.select(F.col(id_col).cast("long").alias("vec"), F.size(vector_col).alias("dim"), F.col(vector_col).cast("array<double>").alias("x"))
+    points = every.where(usable(F.col("x")))
     reps = checkpoint(points.groupBy("dim", "x").agg(F.min("vec").alias("rep"), F.count("*").alias("copies")).select("rep", "dim", "x", "copies"))
     ordered = passes(reps, count).repartitionByRange("run", "code", "rep").sortWithinPartitions("run", "code", "rep")
     classes = checkpoint(components(window_links(ordered, window, threshold)))
@@ -145,6 +145,5 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     by_rep = reps.select("dim", "x", "rep", "copies").join(counted, "rep", "left").join(classes, F.col("rep") == F.col("id"), "left")
     by_rep = by_rep.select("rep", "dim", "x", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     found = points.join(by_rep, ["dim", "x"]).select(F.col("vec").alias("vec_id"), "n_links", "component_id")
-    rest = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(found.select("vec_id"), "vec_id", "left_anti")
-    every = found.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return every.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rest = every.where(~usable(F.col("x"))).select(F.col("vec").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
+    return found.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -208,3 +208,56 @@ def test_pipeline_against_plain_version(spark):
     items = [decontaminate.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {i for i, t in texts.items() if any(x in decontaminate.normalise(t) for x in items)}
     assert got == {i for i in texts if kept[i] == i and i not in leaked}
+
+
+def _odd_documents(spark):
+    """Nulls in every column, blanks, repeated rows and ids, one very long text and columns that clash with those of results."""
+    long = " ".join(f"word{i % 977} and" for i in range(60_000)) + " a@b.org"
+    rows = [(None, "the house by the river of stone " * 5, "en", "s", None), (1, None, "en", None, 0), (2, "", None, "s", 0), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (4, long, "en", "s", 1), (5, "der Fluss und das Haus am Berg", "de", "s", 1), (5, "another text of the same id", "en", "s", 1), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("doc", "node", "kept", "spans", "ids", "lang_pred", "component_id", "item_id", "words", "rep", "digest", "clean"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    return frame
+
+
+OPERATORS = {
+    "near_duplicates": lambda d: near_dup.near_duplicates(d),
+    "personal_data": lambda d: pii.find(d, clean_col="clean"),
+    "language": lambda d: language.predict(d, language.fit(d, "text", "lang")),
+    "licences": lambda d: licences.scan(d),
+    "repeats": lambda d: substrings.remove_repeats(d),
+    "bpe": lambda d: bpe.encode(d, public_tokenizers.path(queries.TOKENIZER)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_documents(spark, name):
+    odd = _odd_documents(spark)
+    found = OPERATORS[name](odd)
+    assert sorted((r["doc_id"] for r in found.select("doc_id").collect()), key=str) == sorted((r["doc_id"] for r in odd.collect()), key=str)
+    empty = OPERATORS[name](odd.limit(0))
+    assert empty.count() == 0 and empty.columns == found.columns
+
+
+def test_empty_chats_vectors_and_pages(spark):
+    chats = spark.createDataFrame([(None, 0, "user", "a"), (1, None, "user", "b"), (1, 0, None, "c"), (1, 2, "user", None), (1, 2, "user", None)], "conv_id long, turn long, role string, text string").withColumn("status", F.lit(1))
+    rows = tool_calls.link(*tool_calls.turn_calls(chats), tool_calls.REPLY).collect()
+    assert [(r["call_id"], r["status"], r["errors"]) for r in rows] == [("call-2", "repeated", "prompt is missing")]
+    assert tool_calls.link(*tool_calls.turn_calls(chats.limit(0)), tool_calls.REPLY).count() == 0
+    points = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None)], "vec_id long, embedding array<double>").withColumn("rep", F.lit(0))
+    assert vectors.near_duplicates(points).count() == 4 and vectors.near_duplicates(points.limit(0)).count() == 0
+    pages = spark.createDataFrame([(None, None, None), (1, None, "<p>x"), (1, None, "<p>x"), (2, "http://a/", "<p>" + "y " * 100_000)], "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("salt", F.lit(0))
+    assert sorted(r["text"][:3] for r in html.main_text(pages).collect()) == ["", "x", "x", "y y"] and html.main_text(pages.limit(0)).count() == 0
+
+
+def test_stages_on_odd_and_empty_documents(spark):
+    import corpus_pipeline
+
+    odd = _odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, odd, SF)
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert found.columns == odd.columns
+        ids = sorted((r["doc_id"] for r in found.select("doc_id").collect()), key=str)
+        assert ids == {"language": [3, 3, 4, 5, 5, None], "near_duplicates": [1, 2, 3, 3, 5, 5, None, None]}.get(name, [1, 2, 3, 3, 4, 5, 5, None, None])
