@@ -76,6 +76,19 @@ def document_kind(raw: Column) -> Column:
     return F.struct(F.coalesce(kind, F.lit("unknown")).alias("kind"), kind.isNotNull().alias("known"), raw.alias("raw"))
 
 
+def page_document(family: Column, url: Column) -> Column:
+    """struct of what a record shown on a page says about its document: kind and type by the section it stands in."""
+    said = F.lower(family) == "publictestimony"
+    return F.struct(
+        F.when(said, "public_testimony").otherwise("committee_presentation").alias("document_kind"),
+        F.when(said, "HTML testimony row").otherwise("Presentation").alias("raw_document_type"),
+        F.lit("page_section").alias("classification_method"),
+        F.lit("confirmed").alias("confidence"),
+        F.when(~blank(url), url).alias("canonical_download_url"),
+        F.lit("discovered").alias("download_status"),
+    )
+
+
 def display_name(first: Column, last: Column) -> Column:
     return F.concat_ws(" ", collapse(first), collapse(last))
 
