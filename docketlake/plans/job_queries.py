@@ -12,6 +12,7 @@ from docketlake.plans import model_queries, state_queries
 from docketlake.plans.registry import ORACLES, query
 from docketlake.plans.standins import Tables
 from docketlake.sources import html_tables
+from docketlake.streaming import loads
 
 C = F.col
 _NOW = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -152,3 +153,20 @@ def s20_reconcile_records(t: Tables) -> DataFrame:
 @query(f"WITH {_TODO} SELECT bill_id, CASE WHEN bill_id % 11 <> 0 AND bill_id IN (SELECT bill_id FROM todo) AND bill_id IN (SELECT l_orderkey FROM lineitem) THEN {_NOW} END AS resolved_at FROM bill WHERE source_presence <> 'active'")
 def s20_reconcile_ledger(t: Tables) -> DataFrame:
     return _reconciled(t)[1]
+
+
+@query("""SELECT user_id, event_id AS at, CAST(place AS INT) AS n FROM (SELECT user_id, event_id, f, row_number() OVER (PARTITION BY user_id, island, f ORDER BY event_id) AS place
+FROM (SELECT user_id, event_id, f, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM (SELECT *, event_type IN ('error', 'signup', 'view') AS f FROM events))) WHERE f AND place >= 3""")
+def s4_streaming_streaks(t: Tables) -> DataFrame:
+    """A pattern, since a stream of files takes a folder or a pattern and the table may be one file."""
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")
+    failed = events.select("user_id", "event_id", C("event_type").isin("error", "signup", "view").alias("failed"))
+    return loads.run_available(loads.outage_streaks(failed, "user_id", "event_id", "failed"), "streaks")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def s3_stream_dedupe(t: Tables) -> DataFrame:
+    """Every event is delivered twice; the stream counts it once."""
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]").select("event_id", "event_type", C("ts").cast("timestamp").alias("ts"))
+    twice = events.withColumn("delivery", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    return loads.run_available(loads.deduplicated(twice, "event_id", "ts"), "dedupe").groupBy("event_type").agg(F.count("*").alias("n"))

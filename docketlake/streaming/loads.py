@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,6 +39,15 @@ def deduplicated(stream: DataFrame, key: str, time: str, lateness: str = "1 hour
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
+def run_available(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there and read its rows back. Rows, offsets and state go to the shared folder of spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    spark = stream.sparkSession
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    root = f"{shared}/{name}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
 def outage_streaks(stream: DataFrame, key: str, order: str, failed: str, least: int = 3) -> DataFrame:
     """(key, at, n) whenever a source has failed at least `least` times in a row; any other outcome resets the count.
 
