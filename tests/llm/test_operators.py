@@ -197,6 +197,18 @@ def test_licences(spark):
     assert rows[2]["base"] == [0, 3, 5] and rows[2]["n_words"] == 7 and rows[3]["n_words"] == 0
 
 
+def test_licence_base_places_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pool = "cc by general public license all rights reserved gnu the x".split()
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 120))) for _ in range(200)] + ["cc by nc 4 0 " * 3000, "all " * 500 + "rights reserved"]
+    rows = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        places = sorted(k for p, _ in licences.BASE for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        assert rows[i]["base"] == places
+    assert len(rows[200]["templates"]) == 3000 and rows[201]["base"] == [499]
+
+
 def test_pipeline_against_plain_version(spark):
     import corpus_pipeline
 
