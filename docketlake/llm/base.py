@@ -56,6 +56,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and places of the words of a text (what bytes.split() gives), in order, eight bytes of all words at a time."""
+    padded = b" %b        " % text
+    chars = np.frombuffer(padded, dtype=np.uint8)
+    solid = (chars != 32) & ((chars - np.uint8(9)) > 4)
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place
+    out = mix((eights.take(starts) & _MASKS.take(np.minimum(sizes, 8))) * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64))
+    live, done = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+    while len(live):
+        left = sizes.take(live) - done
+        part = eights.take(starts.take(live) + done) & _MASKS.take(np.minimum(left, 8))
+        out[live] = mix(out.take(live) * np.uint64(0xC2B2AE3D27D4EB4F) + part)
+        live, done = live[left > 8], done + 8
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(padded[starts[k] : starts[k] + sizes[k]])
+    return out, starts - 1
+
+
+def text_groups(texts: list[str | None], size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, encoded texts): neighbours of about `size` bytes together, so that array operations pay; a null text counts as empty."""
+    first, group, held = 0, [], 0
+    for k, text in enumerate(texts):
+        group.append(text.encode("utf-8", "surrogatepass") if text else b"")
+        held += len(group[-1])
+        if held >= size:
+            yield first, group
+            first, group, held = k + 1, [], 0
+    if group:
+        yield first, group
+
+
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` values, in order; empty when there are fewer."""
     n = len(hashes) - width + 1

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.base import WordHashes, checkpoint, map_batches, rolling
+from docketlake.llm.base import checkpoint, map_batches, rolling, text_groups, word_hashes
 
 #: Bits of the two filters that are broadcast; their size is the same for every input. A fuller filter sends more rows, with the same result.
 FILTER_BITS = 26
@@ -18,40 +18,62 @@ PREFIX = 6
 
 
 class Suffixes:
-    """The suffixes of a document, truncated to `width` words and grouped under variable-length prefixes.
+    """The suffixes of some documents, truncated to `width` words and grouped under variable-length prefixes.
 
     A suffix travels under the least (by hash) of the PREFIX-word prefixes that start within its first
     words; equal suffixes agree on it, and the neighbours that share it travel together as one segment.
+    Arrays run over the words of all the texts; no suffix reaches into the next text.
     """
 
-    def __init__(self, words: list[bytes], hashes: WordHashes, width: int):
-        self.width, self.count = width, max(0, len(words) - width + 1)
-        self.hashes = hashes.of(words)
-        self.lo = self.prefix = np.empty(0, dtype=np.int64)
-        if self.count:
+    def __init__(self, texts: list[bytes], width: int):
+        self.width = width
+        self.hashes, places = word_hashes(b" ".join(texts))
+        sizes = np.array([len(t) + 1 for t in texts])
+        self.first = np.searchsorted(places, np.cumsum(sizes) - sizes)  # first word of each text
+        counts = np.maximum(np.append(self.first[1:], len(places)) - self.first - width + 1, 0)
+        total = int(counts.sum())
+        self.lo = self.hi = self.at = self.doc = np.empty(0, dtype=np.int64)
+        self.prefix = np.empty(0, dtype=np.uint64)
+        if total:
             grams = rolling(self.hashes, PREFIX)
-            spread = np.lib.stride_tricks.sliding_window_view(grams, width - PREFIX + 1)
-            anchor = spread.argmin(axis=1) + np.arange(self.count)
-            self.lo = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])  # first suffix of each segment
-            self.at = anchor[self.lo]
+            at = np.repeat(self.first - (np.cumsum(counts) - counts), counts) + np.arange(total)  # words that start a suffix
+            anchor = _least_place(grams, width - PREFIX + 1)[at]
+            cuts = np.concatenate([[0], np.flatnonzero((anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)) + 1, [total]])
+            self.lo, self.hi = at[cuts[:-1]], at[cuts[1:] - 1] + 1  # suffixes of each segment
+            self.at = anchor[cuts[:-1]]
             self.prefix = grams[self.at]
-            self.hi = np.concatenate([self.lo[1:], [self.count]])
+            self.doc = np.repeat(np.arange(len(texts)), counts)[cuts[:-1]]
 
-    def segments(self, repeated: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
-        """(prefix, segment, first suffix). Prefixes that are not repeated have no inner node and are left out; frequent ones grow to whole windows."""
-        if not self.count:
-            return
+    def prefixes(self) -> np.ndarray:
+        """The prefixes of each document, once each."""
+        order = np.lexsort((self.prefix, self.doc))
+        doc, prefix = self.doc[order], self.prefix[order]
+        return prefix[np.concatenate([np.ones(min(1, len(doc)), dtype=bool), (doc[1:] != doc[:-1]) | (prefix[1:] != prefix[:-1])])].view(np.int64)
+
+    def segments(self, repeated: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[int, int, bytes, int]]:
+        """(document, prefix, segment, first suffix). Prefixes that are not repeated have no inner node and are left out; frequent ones grow to whole windows."""
         live = np.flatnonzero(_has(repeated, self.prefix))
-        codes = self.hashes.astype(np.uint32)
+        codes = self.hashes.astype(np.uint32).tobytes()
         long_prefix = _has(frequent, self.prefix[live])
-        windows = rolling(self.hashes, self.width) if long_prefix.any() else None
-        for k, split in zip(live.tolist(), long_prefix.tolist(), strict=True):
-            lo, hi = int(self.lo[k]), int(self.hi[k])
+        windows = rolling(self.hashes, self.width).view(np.int64) if long_prefix.any() else None
+        columns = (self.doc, self.prefix.view(np.int64), self.lo, self.hi, self.at, self.first[self.doc])
+        for doc, prefix, lo, hi, at, first, split in zip(*(c[live].tolist() for c in columns), long_prefix.tolist(), strict=True):
             if split:
                 for s in range(lo, hi):
-                    yield int(windows[s].view(np.int64)), codes[s : s + self.width].tobytes(), s
+                    yield doc, int(windows[s]), codes[4 * s : 4 * (s + self.width)], s - first
             else:
-                yield int(self.prefix[k].view(np.int64)), bytes([int(self.at[k]) - lo]) + codes[lo : hi + self.width - 1].tobytes(), lo
+                yield doc, prefix, bytes((at - lo,)) + codes[4 * lo : 4 * (hi + self.width - 1)], lo - first
+
+
+def _least_place(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least (the first of equals) of each run of `width` values stands."""
+    n = len(values) - width + 1
+    least, place = values[:n].copy(), np.arange(n)
+    for j in range(1, width):
+        lower = values[j : j + n] < least
+        np.copyto(least, values[j : j + n], where=lower)
+        np.copyto(place, np.arange(j, j + n), where=lower)
+    return place
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -103,20 +125,20 @@ def repeated_suffixes(docs: DataFrame, width: int, group_rows: int = 5000, batch
     spark = docs.sparkSession
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [np.unique(Suffixes(t.encode("utf-8", "surrogatepass").split(), hashes, width).prefix).view(np.int64) for t in batch.column(0).to_pylist()]
+            found = [Suffixes(group, width).prefixes() for _, group in text_groups(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64())], names=["prefix"])
 
     counted = checkpoint(map_batches(docs.select("text").where("text is not null"), prefixes, "prefix long").groupBy("prefix").count().where("count > 1"))
     filters = spark.sparkContext.broadcast((_filter_of(counted), _filter_of(counted.where(F.col("count") > group_rows))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             least: dict[tuple[int, bytes], list[int]] = {}
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for prefix, segment, _ in Suffixes(text.encode("utf-8", "surrogatepass").split(), hashes, width).segments(*filters.value):
+            ids = batch.column(0).to_pylist()
+            for first, group in text_groups(batch.column(1).to_pylist()):
+                for k, prefix, segment, _ in Suffixes(group, width).segments(*filters.value):
+                    doc = ids[first + k]
                     seen = least.setdefault((prefix, segment), [doc, doc])  # copies within a batch go as one row
                     seen[:] = min(seen[0], doc), max(seen[1], doc)
             rows = [(p, s, lo, lo != hi) for (p, s), (lo, hi) in least.items()]
@@ -150,11 +172,10 @@ def repeated_suffixes(docs: DataFrame, width: int, group_rows: int = 5000, batch
         yield flush()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(p, xxhash.xxh3_64_intdigest(s) - (1 << 63), doc, start) for p, s, start in Suffixes(text.encode("utf-8", "surrogatepass").split(), hashes, width).segments(*filters.value)]
+            rows, ids = [], batch.column(0).to_pylist()
+            for first, group in text_groups(batch.column(1).to_pylist()):
+                rows += [(p, xxhash.xxh3_64_intdigest(s) - (1 << 63), ids[first + k], start) for k, p, s, start in Suffixes(group, width).segments(*filters.value)]
             for k in range(0, len(rows), 50_000):
                 part = list(zip(*rows[k : k + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["prefix", "segment", "doc", "start"])

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.llm import bpe, decontaminate, graph, html, language, licences, near_dup, pii, queries, substrings, tool_calls, vectors
+from docketlake.llm import base, bpe, decontaminate, graph, html, language, licences, near_dup, pii, queries, substrings, tool_calls, vectors
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and river stone light house green table window paper garden story number people water summer winter morning evening".split()
@@ -190,6 +190,22 @@ def test_tool_calls(spark):
     assert got[1, "a"]["canonical"].startswith('{"arguments":{"a":[1.5],"z":1},"call_id":"a"')
 
 
+def test_word_hashes_and_grouped_texts():
+    rng = random.Random(4)
+    texts = ["", None, " \t", "a", "a\x00 a", "x" * 70 + " y " + "x" * 70 + "z"] + [" ".join("".join(rng.choices("abé", k=rng.randint(1, 30))) for _ in range(rng.randint(0, 60))) for _ in range(100)]
+    for text in filter(None, texts):
+        raw = text.encode()
+        hashes, places = base.word_hashes(raw)
+        assert len(hashes) == len(raw.split()) and len(set(hashes.tolist())) == len(set(raw.split()))
+        assert all(raw.startswith(w, p) for w, p in zip(raw.split(), places.tolist(), strict=True))
+    every, none = np.full(1 << substrings.FILTER_BITS - 6, 2**64 - 1, dtype=np.uint64), np.zeros(1 << substrings.FILTER_BITS - 6, dtype=np.uint64)
+    for frequent in (none, every):
+        alone = [(k, *x[1:]) for k, t in enumerate(texts) if t for x in substrings.Suffixes([t.encode()], 13).segments(every, frequent)]
+        for size in (1, 500, 1 << 18):
+            grouped = [(first + k, *x) for first, group in base.text_groups(texts, size) for k, *x in substrings.Suffixes(group, 13).segments(every, frequent)]
+            assert grouped == alone
+
+
 def test_licences(spark):
     texts = ["Licensed under CC BY-NC 4.0.", "x Released under the MIT Licence... released under the MIT License", "All rights reserved. cc by, CC-BY", None, "", "general public", "the gnu General Public License"]
     rows = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
