@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,6 +125,16 @@ def url_findings(url: Column, hosts: list[str]) -> Column:
     return F.when(blank(url), "missing").when(scheme != "https", "not_https").when(authority.contains("@"), "user_info").when((port != "") & (port != "443"), "bad_port").when(~host.isin(hosts), "unexpected_host")
 
 
+def nfkc(value: Column) -> Column:
+    """Unicode compatibility form, composed; Spark has no function for it, so text goes through Python in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def normalise(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) else None)
+
+    return normalise(value)
+
+
 def safe_name(value: Column, limit: int = 180) -> Column:
     """File name for any system: illegal characters as _, no dots or spaces at the ends, reserved names marked, bounded length."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r'[\x00-\x1f<>:"/\\|?*]', "_"), r"^[ .]+|[ .]+$", "")
@@ -130,8 +143,8 @@ def safe_name(value: Column, limit: int = 180) -> Column:
 
 
 def archive_path(session: Column, bill: Column, kind: Column, ident: Column, name: Column, version: Column) -> Column:
-    """session/bill/kind/id/name, with __v0002 and so on before the extension from the second version on."""
-    safe = safe_name(name)
+    """session/bill/kind/id/name (NFKC), with __v0002 and so on before the extension from the second version on."""
+    safe = safe_name(nfkc(name))
     stem, ext = F.regexp_replace(safe, r"\.[^.]*$", ""), F.regexp_extract(safe, r"(\.[^.]*)$", 1)
     versioned = F.when(version > 1, F.concat(stem, F.lit("__v"), F.lpad(version.cast("string"), 4, "0"), ext)).otherwise(safe)
     return F.concat_ws("/", session, bill, kind, ident, versioned)

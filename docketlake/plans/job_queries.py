@@ -11,7 +11,7 @@ from docketlake.operators import filters, jobs, rollups
 from docketlake.plans import model_queries, state_queries
 from docketlake.plans.registry import ORACLES, query
 from docketlake.plans.standins import Tables
-from docketlake.sources import html_tables
+from docketlake.sources import html_tables, pages
 from docketlake.streaming import loads
 
 C = F.col
@@ -170,3 +170,28 @@ def s3_stream_dedupe(t: Tables) -> DataFrame:
     events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]").select("event_id", "event_type", C("ts").cast("timestamp").alias("ts"))
     twice = events.withColumn("delivery", F.explode(F.sequence(F.lit(1), F.lit(2))))
     return loads.run_available(loads.deduplicated(twice, "event_id", "ts"), "dedupe").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_orderkey // 4000) AS n_items FROM orders")
+def a1_read_pages(t: Tables) -> DataFrame:
+    """Orders landed as one JSON page for each 4,000 keys, of three envelope shapes, and read back."""
+    landing = loads.shared_folder(t.spark, "pages")
+    items = t.orders.groupBy(F.floor(C("o_orderkey") / 4000).alias("page")).agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("items"))
+    link = F.concat(F.lit("page-"), C("page") + 1)
+    plain, nested = F.to_json(F.struct(C("items").alias("value"), link.alias("nextLink"))), F.to_json(F.struct(F.struct(C("items").alias("results"), link.alias("__next")).alias("d")))
+    body = F.when(C("page") % 3 == 0, plain).when(C("page") % 3 == 1, nested).otherwise(F.to_json(F.struct(C("items").alias("d"))))
+    items.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(landing)
+    rows, found = pages.read_pages(t.spark, landing, "o_orderkey bigint, o_orderstatus string")
+    return rows.join(found.where("error is null"), "file").select("item.o_orderkey", "item.o_orderstatus", C("n_items").cast("long").alias("n_items"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'late' ELSE event_type END AS event_type FROM events")
+def s2_incremental_load(t: Tables) -> DataFrame:
+    """Events landed and loaded, then a third of them delivered again with another type, and one of them unchanged."""
+    root = loads.shared_folder(t.spark, "load")
+    events = t.events.select("event_id", "user_id", "event_type")
+    again = events.where("event_id % 3 = 0").withColumn("event_type", F.lit("late")).union(events.where("event_id = 1"))
+    for delivery in (events, again):
+        delivery.write.mode("append").json(f"{root}/landing")
+        loads.incremental_load(t.spark, f"{root}/landing", events.schema.simpleString()[7:-1].replace(":", " "), ["event_id"], f"{root}/snapshots", f"{root}/offsets").awaitTermination()
+    return loads.latest_snapshot(t.spark, f"{root}/snapshots")

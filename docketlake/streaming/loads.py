@@ -24,26 +24,38 @@ def incremental_load(spark: SparkSession, landing: str, schema: str, keys: list[
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct("file_", "line_")).alias("r")).select("r.*").drop("file_", "line_")
+        numbered = batch.withColumn("line_", F.monotonically_increasing_id())  # ascends within a block of a file
+        rows = numbered.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct("file_", "block_", "line_")).alias("r")).select("r.*").drop("file_", "block_")
         if number:
             rows = merge_keyed(spark.read.parquet(f"{root}/v={number - 1}"), rows, keys)
         rows.write.mode("overwrite").parquet(f"{root}/v={number}")
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(landing)
-    source = source.withColumn("file_", F.col("_metadata.file_path")).withColumn("line_", F.col("_metadata.file_block_start"))
+    source = source.withColumn("file_", F.col("_metadata.file_path")).withColumn("block_", F.col("_metadata.file_block_start"))
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The last snapshot that incremental_load() wrote under root."""
+    every = spark.read.parquet(root)
+    return every.where(F.col("v") == every.agg(F.max("v")).first()[0]).drop("v")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one of spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def deduplicated(stream: DataFrame, key: str, time: str, lateness: str = "1 hour") -> DataFrame:
     """Rows of a stream without repeated deliveries of a key within the lateness."""
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there and read its rows back. Rows, offsets and state go to the shared folder of spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """Run a stream over what is there and read its rows back. Rows, offsets and state go to a new shared_folder()."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{shared}/{name}-{uuid.uuid4().hex}"
+    root = shared_folder(spark, name)
     stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 

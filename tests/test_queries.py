@@ -15,7 +15,7 @@ from docketlake.streaming import loads
 
 SF = "/root/testdata/sf0.001"
 #: Pairs of the stand-in's key repeat at this size only.
-SAMPLE = sorted({*sorted(registry.QUERIES)[::4], "a7_table_rows", "r11_inventory_load", "s20_reconcile_records", "s3_stream_dedupe", "s4_streaming_streaks"})
+SAMPLE = sorted({*sorted(registry.QUERIES)[::4], "a1_read_pages", "b20_archive_paths", "s2_incremental_load", "a7_table_rows", "r11_inventory_load", "s20_reconcile_records", "s3_stream_dedupe", "s4_streaming_streaks"})
 
 
 def _plain(value):
@@ -52,6 +52,11 @@ def test_retry_after_and_dates(spark):
     assert [r[0] for r in rows.select(records.retry_after_seconds(F.col("x"), now)).collect()][:2] == [120.0, 60.0]
 
 
+def test_names_are_in_compatibility_form(spark):
+    rows = spark.createDataFrame([("ﬁle Ａ.pdf",), ("e\u0301.pdf",), (None,)], "x string")
+    assert [r[0] for r in rows.select(records.nfkc(F.col("x"))).collect()] == ["file A.pdf", "\u00e9.pdf", None]
+
+
 def test_read_pages(spark, tmp_path):
     (tmp_path / "1.json").write_text('{"odata.metadata": "m", "value": [{"k": "a"}, {"k": "b"}], "odata.nextLink": "p2"}')
     (tmp_path / "2.json").write_text('{"d": {"results": [{"k": "c"}], "__next": null}, "odata.count": "7"}')
@@ -97,7 +102,7 @@ def test_incremental_load_is_idempotent(spark, tmp_path):
     (landing / "1.json").write_text('{"k": 1, "v": "a"}\n{"k": 2, "v": "b"}\n')
     run = lambda: loads.incremental_load(spark, str(landing), "k long, v string", ["k"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     run()
-    (landing / "2.json").write_text('{"k": 2, "v": "c"}\n')
+    (landing / "2.json").write_text('{"k": 2, "v": "d"}\n{"k": 2, "v": "c"}\n')
     run()
     run()
     last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
