@@ -41,8 +41,8 @@ def document_frequencies(words: DataFrame) -> dict[str, int]:
     return {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
 
 
-def postings(frequencies: dict[str, int], rows: int, rarest: int, max_share: float) -> dict[str, list[tuple[int, int]]]:
-    """word -> (notice, position) for the `rarest` words of each template that at most `max_share` of all rows hold.
+def postings(frequencies: dict[str, int], rarest: int) -> dict[str, list[tuple[int, int]]]:
+    """word -> (notice, position) for the `rarest` words of each template, however common they are.
 
     The rarest words have the highest inverse document frequency; of equals the first in the notice. A base
     phrase, every place of which counts, is always indexed, by its one rarest word.
@@ -50,15 +50,14 @@ def postings(frequencies: dict[str, int], rows: int, rarest: int, max_share: flo
     out: dict[str, list[tuple[int, int]]] = {}
     for t, (_, text, _) in enumerate(NOTICES):
         words, whole = text.split(), t >= len(TEMPLATES)
-        common = float("inf") if whole else max(1.0, max_share * rows)
-        rare = sorted((w for w in set(words) if frequencies.get(w, 0) <= common), key=lambda w: (frequencies.get(w, 0), words.index(w)))[: 1 if whole else rarest]
+        rare = sorted(set(words), key=lambda w: (frequencies.get(w, 0), words.index(w)))[: 1 if whole else rarest]
         for k, w in enumerate(words):
             if w in rare:
                 out.setdefault(w, []).append((t, k))
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = 4, max_share: float = 0.2, min_share: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = 4, min_share: float = 0.6) -> DataFrame:
     """(doc_id, n_words, base, base_labels, labels, score, templates), one row per input row.
 
     base: starts of the base phrases, ascending. templates: found notices as structs of template number,
@@ -75,7 +74,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest
     """
     source = docs.select(F.col(id_col).alias("doc_id"), spaced(F.col(text_col)).alias("words"))
     tokens = F.split(F.trim("words"), " ")
-    index = postings(document_frequencies(source.select(tokens.alias("tokens"))), docs.count(), rarest, max_share)
+    index = postings(document_frequencies(source.select(tokens.alias("tokens"))), rarest)
 
     # the positional lookup is left to documents that hold an indexed word
     held = F.filter(F.array(*map(F.lit, sorted(index))), lambda w: F.contains(F.col("words"), F.concat(F.lit(" "), w, F.lit(" "))))

@@ -213,6 +213,11 @@ def test_licences(spark):
     assert rows[2]["base"] == [0, 3, 5] and rows[2]["n_words"] == 7 and rows[3]["n_words"] == 0
 
 
+def test_licence_that_most_rows_carry(spark):
+    rows = licences.scan(spark.createDataFrame([(i, f"text {i} released under the mit license") for i in range(10)], "doc_id long, text string")).collect()
+    assert [r["labels"] for r in rows] == [["mit"]] * 10
+
+
 def test_licence_base_places_against_brute_force(spark):
     rng = np.random.default_rng(5)
     pool = "cc by general public license all rights reserved gnu the x".split()
