@@ -1,4 +1,4 @@
-"""Licence notices by a positional index of rare tokens. Built-in functions only."""
+"""Licence notices by a positional index of their rarest phrase words. Built-in functions only."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ TEMPLATES = (
 )
 #: What the index holds: the templates, then each base phrase as a notice that must stand whole.
 NOTICES = TEMPLATES + tuple((label, phrase, phrase) for phrase, label in BASE)
-VOCABULARY = tuple(sorted({w for _, t, _ in NOTICES for w in t.split()}))
+VOCABULARY = tuple(sorted({w for _, _, p in NOTICES for w in p.split()}))
 
 
 def spaced(text: Column) -> Column:
@@ -36,34 +36,35 @@ def _spaces(text: Column) -> Column:
 
 
 def document_frequencies(words: DataFrame) -> dict[str, int]:
-    """In how many rows each licence word occurs: one number for each word of the templates, over all rows of `tokens`."""
+    """In how many rows each phrase word occurs: one number for each word of the mandatory phrases, over all rows of `tokens`."""
     held = words.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, VOCABULARY)))).alias("word"))
     return {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
 
 
-def postings(frequencies: dict[str, int], rarest: int) -> dict[str, list[tuple[int, int]]]:
-    """word -> (notice, position) for the `rarest` words of each template, however common they are.
+def _phrase_start(text: str, phrase: str) -> int:
+    """The place of a notice's mandatory phrase in it, in words."""
+    return f" {text} "[: f" {text} ".index(f" {phrase} ")].count(" ")
 
-    The rarest words have the highest inverse document frequency; of equals the first in the notice. A base
-    phrase, every place of which counts, is always indexed, by its one rarest word.
+
+def postings(frequencies: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """word -> (notice, position) for the rarest word of each notice's mandatory phrase, of equals the first.
+
+    No counted notice can lack that word in its place, so each start that counts is looked up, and once.
     """
     out: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(NOTICES):
-        words, whole = text.split(), t >= len(TEMPLATES)
-        rare = sorted(set(words), key=lambda w: (frequencies.get(w, 0), words.index(w)))[: 1 if whole else rarest]
-        for k, w in enumerate(words):
-            if w in rare:
-                out.setdefault(w, []).append((t, k))
+    for t, (_, text, phrase) in enumerate(NOTICES):
+        words = phrase.split()
+        k = min(range(len(words)), key=lambda i: (frequencies.get(words[i], 0), i))
+        out.setdefault(words[k], []).append((t, _phrase_start(text, phrase) + k))
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = 4, min_share: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.6) -> DataFrame:
     """(doc_id, n_words, base, base_labels, labels, score, templates), one row per input row.
 
     base: starts of the base phrases, ascending. templates: found notices as structs of template number,
-    start and share of its words in place. A document's rarest licence words are looked up in the
-    postings of the notices; where a notice's words (two of a template, one of a base phrase) agree on a start,
-    it is laid there. A template counts if at least `min_share` of its words and the whole mandatory phrase stand in
+    start and share of its words in place. Each place of a rarest phrase word is looked
+    up in the postings, and the notice is laid at the start that it gives. A template counts if at least `min_share` of its words and the whole mandatory phrase stand in
     their places, a base phrase if all its words do. labels are those of both; score is 1 with a base
     phrase, else the best share, else 0.
 
@@ -74,7 +75,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest
     """
     source = docs.select(F.col(id_col).alias("doc_id"), spaced(F.col(text_col)).alias("words"))
     tokens = F.split(F.trim("words"), " ")
-    index = postings(document_frequencies(source.select(tokens.alias("tokens"))), rarest)
+    index = postings(document_frequencies(source.select(tokens.alias("tokens"))))
 
     # the positional lookup is left to documents that hold an indexed word
     held = F.filter(F.array(*map(F.lit, sorted(index))), lambda w: F.contains(F.col("words"), F.concat(F.lit(" "), w, F.lit(" "))))
@@ -84,12 +85,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest
     table = F.create_map(*[x for w, ps in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in ps]))])
     places = F.flatten(F.transform("at", lambda a: F.transform(F.element_at(table, a["w"]), lambda p: F.struct(p["t"].alias("t"), (a["i"] - p["k"]).alias("start")))))
     hit = hit.withColumn("places", F.sort_array(places))
-    # words that agree on a start are neighbours now
-    needed = F.array(*[F.lit(2 if t < len(TEMPLATES) and sum(t == x for ps in index.values() for x, _ in ps) > 1 else 1) for t in range(len(NOTICES))])
-    agreed = F.filter("places", lambda c, i: ~F.get("places", i - 1).eqNullSafe(c) & ((F.get(needed, c["t"]) == 1) | F.get("places", i + 1).eqNullSafe(c)))
-    hit = hit.withColumn("laid", agreed)
     texts = F.array(*[F.split(F.lit(t), " ") for _, t, _ in NOTICES])
-    first = F.array(*[F.lit(f" {t} "[: f" {t} ".index(f" {p} ")].count(" ")) for _, t, p in NOTICES])
+    first = F.array(*[F.lit(_phrase_start(t, p)) for _, t, p in NOTICES])
     size = F.array(*[F.lit(len(p.split())) for _, _, p in NOTICES])
 
     def lay(c: Column) -> Column:
@@ -97,7 +94,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest
         phrase = F.slice(same, F.get(first, c["t"]) + 1, F.get(size, c["t"]))
         return F.struct(c["t"].alias("template"), c["start"].alias("start"), (F.size(F.filter(same, lambda x: x)) / F.size(same)).alias("share"), F.forall(phrase, lambda x: x).alias("verified"))
 
-    hit = hit.withColumn("found", F.filter(F.transform("laid", lay), lambda x: x["verified"] & (x["share"] >= min_share)))
+    hit = hit.withColumn("found", F.filter(F.transform("places", lay), lambda x: x["verified"] & (x["share"] >= min_share)))
     hit = hit.withColumn("templates", F.filter("found", lambda x: x["template"] < len(TEMPLATES))).withColumn("whole", F.filter("found", lambda x: x["template"] >= len(TEMPLATES)))
     names = F.array(*[F.lit(n) for n, _, _ in NOTICES])
     labels = lambda found: F.array_sort(F.array_distinct(F.transform(found, lambda x: F.get(names, x["template"]))))

@@ -218,6 +218,28 @@ def test_licence_that_most_rows_carry(spark):
     assert [r["labels"] for r in rows] == [["mit"]] * 10
 
 
+def test_cut_licences_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    texts = ["licensed under the apache license", "subject to the terms of the mozilla public license v 2 0"]
+    for _, notice, _ in licences.TEMPLATES * 12:
+        words = notice.split()
+        a = int(rng.integers(0, len(words) // 2))
+        part = [w if rng.random() < 0.85 else "x" for w in words[a : len(words) - int(rng.integers(0, len(words) // 2))]]
+        texts.append(" ".join(["y"] * int(rng.integers(0, 3)) + part + ["of the license"] * int(rng.integers(0, 2))))
+    rows = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        words, want = text.split(), []
+        for t, (_, notice, phrase) in enumerate(licences.TEMPLATES):
+            of, must = notice.split(), phrase.split()
+            first = next(k for k in range(len(of)) if of[k : k + len(must)] == must)
+            for start in range(-len(of), len(words)):
+                same = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(of)]
+                if all(same[first : first + len(must)]) and sum(same) / len(of) >= 0.6:
+                    want.append((t, start, sum(same) / len(of)))
+        assert [(x["template"], x["start"], x["share"]) for x in rows[i]["templates"]] == sorted(want), text
+    assert rows[0]["labels"] == ["apache-2.0"] and rows[1]["labels"] == ["mpl-2.0"]
+
+
 def test_licence_base_places_against_brute_force(spark):
     rng = np.random.default_rng(5)
     pool = "cc by general public license all rights reserved gnu the x".split()
