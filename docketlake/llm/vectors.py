@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +28,32 @@ def usable(x: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
+def needed_passes(rows: int, threshold: float, window: int, miss: float, least: int) -> int:
+    """How many passes leave a lone pair at the threshold unmet with a chance of `miss` at most, `least` at least.
+
+    A random sign agrees for the pair with chance p = 1 - acos(threshold) / pi, and evenly spread vectors fall
+    within `window` of each other once about log2(rows / window) leading signs agree.
+    """
+    meets = (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(rows, 1) / window))
+    return max(least, math.ceil(math.log(miss) / math.log1p(-meets))) if meets < 1 else least
+
+
 def passes(points: DataFrame, count: int) -> DataFrame:
     """(run, code, rep, x): in each pass a vector gets the concatenated signs of BITS random projections of its own."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 dim = int(dim)
                 if dim not in planes:
-                    planes.setdefault(dim, np.random.default_rng(dim).standard_normal((dim, count * BITS)))
+                    planes[dim] = [np.random.default_rng((dim, run)).standard_normal((dim, BITS)) for run in range(count)]
                 units = _units(part.column(2))
-                bits = (units @ planes[dim] > 0).reshape(len(units), count, BITS)
-                codes = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                for run in range(count):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dim * count + run)), pa.array(codes[:, run]), part.column(0), part.column(2)], names=["run", "code", "rep", "x"])
+                for run, plane in enumerate(planes[dim]):
+                    codes = (units @ plane > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dim * count + run)), pa.array(codes), part.column(0), part.column(2)], names=["run", "code", "rep", "x"])
 
     return map_batches(points.select("rep", "dim", "x"), project, "run long, code long, rep long, x array<double>")
 
@@ -122,14 +132,14 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return map_batches(both, multiply, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, count: int = 24, window: int = 16, block: int = 512) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, count: int = 24, window: int = 16, block: int = 512, miss: float = 0.001) -> DataFrame:
     """Embedding classes: (vec_id, n_links, component_id, kept), one row per input row.
 
-    Equal vectors are one representative. In each of `count` passes the representatives are sorted by
+    Equal vectors are one representative. In each of at least `count` passes the representatives are sorted by
     concatenated random hashes and each is compared with the `window` before it; verified pairs of all
     passes are united into components, and links are then counted exactly within components. A pair that
-    a partition's edge separates in one pass meets in others. Against brute force the passes find all
-    components of the test tables.
+    a partition's edge separates in one pass meets in others. The number of passes grows with that of the
+    representatives, so that by calculation a lone pair at the threshold is missed with a chance of `miss` at most.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing, as do
     vectors of different lengths. Rows that repeat an id count as copies only if their vectors are equal; a null id
@@ -138,7 +148,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     every = vectors.select(F.col(id_col).cast("long").alias("vec"), F.size(vector_col).alias("dim"), F.col(vector_col).cast("array<double>").alias("x"))
     points = every.where(usable(F.col("x")))
     reps = checkpoint(points.groupBy("dim", "x").agg(F.min("vec").alias("rep"), F.count("*").alias("copies")).select("rep", "dim", "x", "copies"))
-    ordered = passes(reps, count).repartitionByRange("run", "code", "rep").sortWithinPartitions("run", "code", "rep")
+    largest = reps.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
+    ordered = passes(reps, needed_passes(largest, threshold, window, miss, count)).repartitionByRange("run", "code", "rep").sortWithinPartitions("run", "code", "rep")
     classes = checkpoint(components(window_links(ordered, window, threshold)))
     members = reps.join(classes, reps["rep"] == classes["id"]).select("rep", "copies", "x", "component_id")
     counted = count_links(members, threshold, block)

@@ -161,6 +161,19 @@ def test_vectors(spark):
     assert got == {i: (sum(i in x for x in links), want[i]) for i in want}
 
 
+def test_vector_passes_grow_with_the_table(spark):
+    assert [vectors.needed_passes(n, 0.9, 16, 0.001, 24) for n in (0, 10, 2_000, 10_000_000)] == [24, 24, 24, 134]
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((2, 2500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    points = np.concatenate([a, 0.901 * a + math.sqrt(1 - 0.901**2) * b])  # row i and row i + 2500 are a lone pair
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicates(rows, window=1).collect()}
+    assert sum(got[i] != got[i + 2500] for i in range(2500)) <= 12
+
+
 def test_main_text(spark):
     page = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav>{}<footer>f</footer></body></html>'
     rows = [
