@@ -205,6 +205,11 @@ def e16_run_outcome(t: Tables) -> DataFrame:
     return rollups.run_outcome(t.item.where("item_key % 40 < 3"), t.err.where("id % 50 = 1"))
 
 
+@query("SELECT i.run_id, CASE WHEN done = 0 AND fatal > 0 THEN 'failed' WHEN failed > 0 OR coalesce(o, 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS outcome FROM (SELECT run_id, count(*) FILTER (status = 'completed') AS done, count(*) FILTER (status = 'failed_terminal') AS fatal, count(*) FILTER (status LIKE 'failed%') AS failed FROM item GROUP BY 1) i LEFT JOIN (SELECT run_id, count(*) AS o FROM err WHERE resolved_at IS NULL GROUP BY 1) e ON e.run_id = i.run_id")
+def e16_run_outcome_whole(t: Tables) -> DataFrame:
+    return rollups.run_outcome(t.item, t.err)
+
+
 @query("SELECT b.session_key, CASE WHEN bool_or(source_presence = 'missing' AND b.bill_id % 500 = 0) THEN 'inventory_incomplete' WHEN bool_or(source_presence = 'unknown' AND b.bill_id % 70 = 0) THEN 'inventory_complete_with_errors' ELSE 'inventory_complete' END AS status FROM bill b GROUP BY 1")
 def e17_completeness(t: Tables) -> DataFrame:
     gap = F.bool_or((C("source_presence") == "missing") & (C("bill_id") % 500 == 0))
@@ -217,6 +222,12 @@ def e18_download_outcome(t: Tables) -> DataFrame:
     return both.groupBy("session_key").agg(F.when(F.bool_or(C("download_status") == "failed_retryable"), "retryable").when(F.bool_or(C("download_status") == "failed_terminal"), "terminal").otherwise("completed").alias("outcome"))
 
 
+@query("SELECT b.session_key, CASE WHEN bool_or(download_status = 'failed_retryable') THEN 'retryable' WHEN bool_or(download_status = 'failed_terminal') THEN 'terminal' ELSE 'completed' END AS outcome FROM doc d JOIN bill b ON d.bill_id = b.bill_id GROUP BY 1")
+def e18_download_outcome_whole(t: Tables) -> DataFrame:
+    both = t.doc.join(t.bill.select("bill_id", "session_key"), "bill_id")
+    return both.groupBy("session_key").agg(F.when(F.bool_or(C("download_status") == "failed_retryable"), "retryable").when(F.bool_or(C("download_status") == "failed_terminal"), "terminal").otherwise("completed").alias("outcome"))
+
+
 @query("SELECT run_id, count(*) AS total, count(*) FILTER (status <> 'queued') AS current, floor(100 * count(*) FILTER (status <> 'queued') / count(*)) AS percent FROM item GROUP BY 1")
 def e19_progress(t: Tables) -> DataFrame:
     current = F.count_if(C("status") != "queued")

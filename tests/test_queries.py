@@ -40,6 +40,11 @@ def test_query_matches_sql(spark, name):
     assert sorted(names) == columns and got == want
 
 
+@pytest.mark.parametrize("name", ["e16_run_outcome_whole", "e18_download_outcome_whole"])
+def test_outcomes_of_whole_tables(spark, name):
+    test_query_matches_sql(spark, name)
+
+
 def test_contains_keeps_wildcards_and_backslashes(spark):
     rows = spark.createDataFrame([("A_b\\C",), ("axb",), (None,)], "x string")
     assert [r[0] for r in rows.select(text.contains(F.col("x"), "a_B")).collect()] == [True, True, False]
