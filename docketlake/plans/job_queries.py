@@ -161,7 +161,7 @@ def s4_streaming_streaks(t: Tables) -> DataFrame:
     """A pattern, since a stream of files takes a folder or a pattern and the table may be one file."""
     events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")
     failed = events.select("user_id", "event_id", C("event_type").isin("error", "signup", "view").alias("failed"))
-    return loads.run_available(loads.outage_streaks(failed, "user_id", "event_id", "failed"), "streaks")
+    return loads.outage_streaks(failed, "user_id", "event_id", "failed")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

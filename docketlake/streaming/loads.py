@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docketlake.operators.merge import merge_keyed
 
+C = F.col
+
 
 def incremental_load(spark: SparkSession, landing: str, schema: str, keys: list[str], root: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Load landed JSON files batch by batch into snapshots under root/v=<batch>, each complete.
@@ -61,19 +60,26 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
 
 
 def outage_streaks(stream: DataFrame, key: str, order: str, failed: str, least: int = 3) -> DataFrame:
-    """(key, at, n) whenever a source has failed at least `least` times in a row; any other outcome resets the count.
+    """(key, at, n) wherever a source has failed at least `least` times in a row; any other outcome resets the count.
 
-    State is one number a source. Rows of a batch are taken in order of `order`.
+    Runs the stream over what is there and counts over all its rows in order of `order`, whatever files and
+    batches brought them. Rows are cut into ranges of key and order; each range is reduced to one
+    row a key, its length and its last reset, and only these are put in order, so a frequent key is never in one task.
     """
-
-    def run(source: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        out = []
-        for at, bad in pd.concat(list(batches)).sort_values(order)[[order, failed]].itertuples(index=False):
-            n = n + 1 if bad else 0
-            if n >= least:
-                out.append((source[0], at, n))
-        state.update((n,))
-        yield pd.DataFrame(out, columns=[key, "at", "n"])
-
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, at long, n int", "n int", "append", GroupStateTimeout.NoTimeout)
+    rows = run_available(stream.select(C(key).alias("source"), C(order).cast("long").alias("at"), F.coalesce(failed, F.lit(False)).alias("bad")), "landed")
+    root = shared_folder(rows.sparkSession, "ranges")
+    rows.repartitionByRange("source", "at").withColumn("part", F.spark_partition_id()).write.parquet(root)  # written, as ranges may differ when computed again
+    here = Window.partitionBy("source", "part").orderBy("at")
+    placed = rows.sparkSession.read.parquet(root).withColumn("place", F.row_number().over(here))
+    placed = placed.withColumn("reset", F.coalesce(F.max(F.when(~C("bad"), C("place"))).over(here.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+
+    # failures before each range that still count at its start
+    ranges = placed.groupBy("source", "part").agg(F.count("*").alias("size"), F.max("reset").alias("last"))
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("before", F.sum("size").over(upto) - C("size"))
+    ranges = ranges.withColumn("open", C("before") + C("size") - F.coalesce(F.max(F.when(C("last") > 0, C("before") + C("last"))).over(upto), F.lit(0)))
+    carried = ranges.select(C("source").alias("s"), C("part").alias("p"), F.lag("open", 1, 0).over(Window.partitionBy("source").orderBy("part")).alias("carry"))
+
+    both = placed.join(carried, C("source").eqNullSafe(C("s")) & (C("part") == C("p")))
+    n = (C("place") - C("reset") + F.when(C("reset") == 0, C("carry")).otherwise(0)).cast("int")
+    return both.where("bad").select(C("source").alias(key), "at", n.alias("n")).where(C("n") >= least)

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -114,6 +115,22 @@ def test_incremental_load_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / f"v={last}")).collect()) == [(1, "a"), (2, "c")]
 
 
+def test_streaks_follow_the_order_of_events_over_files_and_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.random() < 0.9) for i in range(600)]
+    for k, a in enumerate((400, 0, 200)):  # files in another order than events
+        spark.createDataFrame(rows[a : a + 200], "k long, i long, bad boolean").coalesce(1).write.parquet(str(tmp_path / str(k)))
+    stream = spark.readStream.schema("k long, i long, bad boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "*"))
+    found = loads.outage_streaks(stream, "k", "i", "bad")
+    assert not found.isStreaming and "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    want, n = [], {}
+    for k, i, bad in rows:
+        n[k] = n.get(k, 0) + 1 if bad else 0
+        if n[k] >= 3:
+            want.append((k, i, n[k]))
+    assert sorted(map(tuple, found.collect()), key=lambda x: x[1]) == want
+
+
 def test_plans_have_no_cartesian_product(spark):
     plan = registry.QUERIES["e1_session_status"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan
