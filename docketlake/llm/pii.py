@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,34 +34,49 @@ DIGIT_WORDS |= dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".s
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9])"
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s,-]+)?{_DIGIT}(?:[\s,-]+{_DIGIT}(?!\w)|[\s,-]+(?:dot|point)\b[\s,-]*{_DIGIT}(?!\w)){{3,}}")
 _SPELLED_WORD = re.compile(r"(?i)\s*\b(?:dot|point)\b\s*|\bplus\b\s*|[^\W\d_]+|,\s*|\s+")
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s+@\s*|\s*@\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
-_DISGUISED = re.compile(rf"(?i)[a-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[a-z0-9_%+-]{{1,64}}){{0,8}}{_AT}[a-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[a-z0-9-]{{1,63}}){{1,8}}")
+_DOT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:dot|\.)\s{0,4}[\])}>]\s{0,4}|\s{1,4}dot\s{1,4})"
+_AT_MARK = re.compile(r"(?i)[\[({<]\s{0,4}(?:at|@)\s{0,4}[\])}>]|(?<=\s)at(?=\s)|@")
+_NAME = re.compile(rf"(?i)[a-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[a-z0-9_%+-]{{1,64}}){{0,8}}\Z")
+_HOST = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[a-z0-9-]{{1,63}}){{1,8}}")
+#: What the longest name before an at-mark takes, in characters.
+_NAME_SIZE = 9 * 64 + 8 * 21
+_SPACES = 4
+_TOP = re.compile(r"(?<![A-Za-z0-9-])[A-Za-z]{2,24}\Z")
+_DOT_WORD = re.compile(r"(?i)\sdot\s")
 _DISGUISED_IP = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
-_AT_PART, _DOT_PART = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
-_ODD = re.compile("[" + "".join(LOOKALIKES) + "\uff01-\uff5e\u200b-\u200d\u2060\u00ad\u0660-\u0669\U0001d400-\U0001d7ff\u2460-\u2473\u2070-\u2079\u2080-\u2089]")
-_NOT_LATIN = re.compile("[^\x00-\xac\xae-\u024f]")
-_SPOKEN = frozenset(DIGIT_WORDS) | frozenset("0123456789") | {"dot", "point", "plus"}
-
-
-def disguised(text: str) -> bool:
-    """Whether a text has anything that a transducer could change: a quick test that never misses."""
-    if _NOT_LATIN.search(text) or "\xad" in text:
-        return True
-    if "@ " in text or " @" in text or "@\n" in text or "\n@" in text:
-        return True
-    low = text.lower()
-    if "dot" in low or any(mark in low for mark in ("[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "@]", "@)", "@}", "@>", "[.", "(.", "{.", "<.")):
+_DOT_PART = re.compile(rf"(?i){_DOT}")
+_ODD = re.compile("[" + "".join(LOOKALIKES) + "！-～​-‍⁠­٠-٩\U0001d400-\U0001d7ff①-⑳⁰-⁹₀-₉]")
+_SPOKEN = frozenset(w.encode("latin-1") for w in DIGIT_WORDS) | frozenset(b"%d" % d for d in range(10)) | {b"dot", b"point", b"plus"}
+#: Bytes of Latin-1 that are no word characters become spaces.
+_WORD_BYTES = bytes(b if re.match(r"\w", chr(b)) else 32 for b in range(256))
+#: Letters that match i or s where case does not count, and all that Latin-1 lacks and U+0100 to U+024F do not cover.
+_FOLDED = re.compile("[İıſɐ-\U0010ffff]")
+_BRACKETED = re.compile(r"[\[({<]\s{0,4}(?:[aA][tT]|\.)")
+
+
+def may_be_spelled(text: str) -> bool:
+    """Whether spelled_digits() could change a text: a run of it has four of its words in a row, with no other word between."""
+    if _FOLDED.search(text):
         return True
-    words = low.replace(",", " ").replace("-", " ").split()
+    words = text.lower().encode("latin-1", "replace").translate(_WORD_BYTES).split()
     return b"\1\1\1\1" in bytes(map(_SPOKEN.__contains__, words))
 
 
+def may_be_addressed(text: str) -> bool:
+    """Whether at_and_dot() could change a text: what it changes has an @, the word dot, or a bracket before at or a dot."""
+    return "@" in text or "dot" in text.lower() or _BRACKETED.search(text) is not None
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) for d in digits[-1::-2]) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return total % 10 == 0
 
 
+def _is_octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the four base patterns, leftmost and non-overlapping per kind, in order of start, then kind."""
     out: list[Span] = []
@@ -74,7 +90,7 @@ def base_spans(text: str) -> list[Span]:
             out.append((start, 0, domain.end()))
             done = domain.end()
         at = text.find("@", max(at + 1, done))
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_is_octet(p) for p in m.groups())]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -134,18 +150,31 @@ def spelled_digits(tape: Tape) -> None:
 
 
 def at_and_dot(tape: Tape) -> None:
-    """`name at host dot org`, `name [at] host [dot] org` and the like become an address; likewise dots of an IP."""
-    edits = []
-    for m in _DISGUISED.finditer(tape.text):
-        tail = re.split(r"\W+", m[0])[-1]
-        marked = re.search(r"[\[({<@]|(?i:\sdot\s)", m[0])  # "at" alone between words of a sentence is no disguise
-        if marked and re.fullmatch(r"[A-Za-z]{2,24}", tail):
-            parts = [(x.start(), x.end(), "@") for x in [_AT_PART.search(tape.text, m.start(), m.end())]]
-            edits += sorted(parts + [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(tape.text, m.start(), m.end())])
-    ips = [(x.start(), x.end(), ".") for m in _DISGUISED_IP.finditer(tape.text) for x in _DOT_PART.finditer(tape.text, m.start(), m.end())]
+    """`name at host dot org`, `name [at] host [dot] org` and the like become an address; likewise dots of an IP.
+
+    Each at-mark is looked at once: the host must follow it, then the name is matched back from it.
+    """
+    text, edits, done = tape.text, [], 0
+    for m in _AT_MARK.finditer(text):
+        start, end = m.span()
+        while start > max(done, m.start() - _SPACES) and text[start - 1].isspace():
+            start -= 1
+        while end < min(len(text), m.end() + _SPACES) and text[end].isspace():
+            end += 1
+        host = _HOST.match(text, end)
+        if m.start() < done or not host or not _TOP.search(host[0]):
+            continue
+        name = _NAME.search(text[max(done, start - _NAME_SIZE) : start])
+        whole = text[start - len(name[0]) : host.end()] if name else ""
+        if any(c in whole for c in "[({<@") or _DOT_WORD.search(whole):  # "at" alone between words of a sentence is no disguise
+            edits += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, start - len(name[0]), start)]
+            edits.append((start, end, "@"))
+            edits += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, end, host.end())]
+            done = host.end()
+    edits += [(x.start(), x.end(), ".") for m in _DISGUISED_IP.finditer(text) for x in _DOT_PART.finditer(text, m.start(), m.end())]
     merged, at = [], -1
-    for e in sorted(edits + ips):
-        if e[0] >= at:
+    for e in sorted(edits):
+        if e[0] >= at and text[e[0] : e[1]] != e[2]:
             merged.append(e)
             at = e[1]
     tape.rewrite(merged)
@@ -154,18 +183,21 @@ def at_and_dot(tape: Tape) -> None:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and those together with what the transducers uncover; a base span is never replaced or doubled."""
     base = base_spans(text)
-    if not disguised(text):
-        return base, base
     tape = Tape(text)
     plain_letters(tape)
-    spelled_digits(tape)
-    at_and_dot(tape)
+    if may_be_spelled(tape.text):
+        spelled_digits(tape)
+    if may_be_addressed(tape.text):
+        at_and_dot(tape)
     if tape.text == text:
         return base, base
+    # base spans of a kind do not overlap, so each is in order of start and of end
+    ends = [[e for _, k, e in base if k == kind] for kind in range(len(KINDS))]
+    starts = [[s for s, k, _ in base if k == kind] for kind in range(len(KINDS))]
     more = []
     for start, kind, end in base_spans(tape.text):
         lo, hi = min(tape.starts[start:end]), max(tape.ends[start:end])
-        if not any(k == kind and lo < e and s < hi for s, k, e in base):
+        if bisect_right(ends[kind], lo) >= bisect_left(starts[kind], hi):
             more.append((lo, kind, hi))
     return base, sorted(base + more)
 
@@ -192,7 +224,7 @@ def find(docs: DataFrame, text_col: str = "text", clean_col: str | None = None)
 
     Spans are `kind:start:end` in code points of the source, by start, then kind, comma-joined. A null
     text counts as empty and has none; its redacted text stays null. Texts are handled whole and row by
-    row, so any order, repetition or size of rows gives the same result. Columns named like the results
+    row, so any order, repetition or size of rows gives the same result; time grows with the length of a text. Columns named like the results
     are replaced.
     """
     names = [*(f"n_{k}" for k in KINDS), "base_spans", "spans", *([clean_col] if clean_col else [])]
