@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.base import checkpoint, map_batches, rolling, text_groups, word_hashes
 
-#: Bits of the two filters that are broadcast; their size is the same for every input. A fuller filter sends more rows, with the same result.
-FILTER_BITS = 26
+#: A broadcast filter has about this many bits a key, and at most 2^MOST_BITS in all (128 MB). A fuller filter sends more rows, with the same result.
+BITS_A_KEY, MOST_BITS = 16, 30
 PREFIX = 6
 
 
@@ -21,7 +21,10 @@ class Suffixes:
     """The suffixes of some documents, truncated to `width` words and grouped under variable-length prefixes.
 
     A suffix travels under the least (by hash) of the PREFIX-word prefixes that start within its first
-    words; equal suffixes agree on it, and the neighbours that share it travel together as one segment.
+    words; equal suffixes agree on it, and the neighbours that share it travel together as one segment:
+    the place of the prefix, 32 bits of each word's hash, and 32 other bits of each suffix's hash, which is
+    made of 64-bit hashes of its words. So two suffixes count as equal if 64 bits of their prefix, the codes
+    of all words and the check of the whole suffix agree.
     Arrays run over the words of all the texts; no suffix reaches into the next text.
     """
 
@@ -55,14 +58,16 @@ class Suffixes:
         live = np.flatnonzero(_has(repeated, self.prefix))
         codes = self.hashes.astype(np.uint32).tobytes()
         long_prefix = _has(frequent, self.prefix[live])
-        windows = rolling(self.hashes, self.width).view(np.int64) if long_prefix.any() else None
+        windows = rolling(self.hashes, self.width)
+        checks = (windows >> np.uint64(32)).astype(np.uint32).tobytes()
+        windows = windows.view(np.int64)
         columns = (self.doc, self.prefix.view(np.int64), self.lo, self.hi, self.at, self.first[self.doc])
         for doc, prefix, lo, hi, at, first, split in zip(*(c[live].tolist() for c in columns), long_prefix.tolist(), strict=True):
             if split:
                 for s in range(lo, hi):
-                    yield doc, int(windows[s]), codes[4 * s : 4 * (s + self.width)], s - first
+                    yield doc, int(windows[s]), codes[4 * s : 4 * (s + self.width)] + checks[4 * s : 4 * s + 4], s - first
             else:
-                yield doc, prefix, bytes((at - lo,)) + codes[4 * lo : 4 * (hi + self.width - 1)], lo - first
+                yield doc, prefix, bytes((at - lo,)) + codes[4 * lo : 4 * (hi + self.width - 1)] + checks[4 * lo : 4 * hi], lo - first
 
 
 def _least_place(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,16 +82,16 @@ def _least_place(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64((1 << FILTER_BITS) - 1)
+    at = keys & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """Bit set of the keys, put together by Spark; the driver gets at most 2^FILTER_BITS bits."""
-    at = F.col("prefix").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = F.expr(f"shiftleft(1L, cast((prefix & {63}) as int))")
-    words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    """Bit set of the keys, put together by Spark and sized by their count; the driver gets at most 2^MOST_BITS bits."""
+    size = min(MOST_BITS, max(16, (BITS_A_KEY * keys.count()).bit_length()))
+    at = F.col("prefix").bitwiseAND(F.lit((1 << size) - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast((prefix & 63) as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), dtype=np.uint64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -95,26 +100,29 @@ def deep_nodes(rows: list[tuple[int, bytes, int]], width: int) -> list[tuple[int
     """(prefix, segment hash, least document of each of its suffixes) for segments whose subtree has repeats.
 
     rows: (prefix, segment, least document), whole groups. Suffixes are sorted within their group;
-    neighbours with a common prefix of `width` words hang under one inner node of that depth, and the
-    least document below the node is that of its leaves.
+    neighbours with a common prefix of `width` words (and equal checks) hang under one inner node of that
+    depth, and the least document below the node is that of its leaves.
     """
     if not rows:
         return []
-    codes = [np.frombuffer(s[len(s) % 4 :], dtype=np.uint32) for _, s, _ in rows]
-    sizes = np.array([len(c) for c in codes])
-    counts = sizes - width + 1
+    parts = [np.frombuffer(s[len(s) % 4 :], dtype=np.uint32) for _, s, _ in rows]
+    sizes = np.array([len(p) for p in parts])
+    counts = (sizes - width + 1) // 2  # k suffixes have k + width - 1 codes and k checks
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     base = np.concatenate([[0], np.cumsum(counts)[:-1]])
     owner = np.repeat(np.arange(len(rows)), counts)
     starts = first[owner] + np.arange(counts.sum()) - base[owner]
-    suffix = np.concatenate(codes)[starts[:, None] + np.arange(width)]
+    columns = np.append(np.arange(width), 0)[None, :] + starts[:, None]
+    columns[:, width] += counts[owner] + width - 1
+    suffix = np.concatenate(parts)[columns]
     group = np.array([r[0] for r in rows], dtype=np.int64)[owner]
     order = np.lexsort([*suffix.T[::-1], group])
     suffix, group = suffix[order], group[order]
     depth = np.where(group[1:] == group[:-1], np.cumprod(suffix[1:] == suffix[:-1], axis=1).sum(axis=1), 0)
-    node = np.concatenate([[0], np.cumsum(depth < width)])
+    deep = depth > width  # all words and the check
+    node = np.concatenate([[0], np.cumsum(~deep)])
     docs = np.array([r[2] for r in rows], dtype=np.int64)[owner[order]]
-    least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate([[True], depth < width])))[node]
+    least = np.minimum.reduceat(docs, np.flatnonzero(np.concatenate([[True], ~deep])))[node]
     back = np.empty(len(least), dtype=np.int64)
     back[order] = least
     return [(p, xxhash.xxh3_64_intdigest(s) - (1 << 63), back[b : b + c].tolist()) for (p, s, _), b, c in zip(rows, base.tolist(), counts.tolist(), strict=True)]
@@ -198,10 +206,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null, empty and blank texts have no words; a text of fewer than `width` words loses none. Rows of one
     id do not count against each other, and each loses what the id's windows cover at those word
-    positions. An empty table gives an empty result. Other columns are not read. `width` is over PREFIX + 1 and at most 20.
+    positions. A null id is neither smaller nor larger than another: such rows lose no words and take none
+    from others. A very long text is cut into segments like any other; its words are held once in one task.
+    An empty table gives an empty result. Other columns are not read. `width` is over PREFIX + 1 and at most 20.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    marks = repeated_suffixes(source, width).groupBy("doc").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))  # at most one a word
+    marks = repeated_suffixes(source.where("doc is not null"), width).groupBy("doc").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))  # at most one a word
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -78,6 +78,17 @@ def test_remove_repeats_with_frequent_prefixes(spark, docs):
     assert starts(usual) == starts(tuple(r) for r in substrings.repeated_suffixes(few, 13, group_rows=1).collect()) != set()
 
 
+def test_remove_repeats_without_ids_and_with_equal_codes(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, passage), (None, passage), (1, passage), (2, "x " + passage)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("1", 0), ("2", 20), ("None", 0), ("None", 0)]
+    codes = np.arange(13, dtype=np.uint32).tobytes()
+    check = lambda c: np.array([c], dtype=np.uint32).tobytes()
+    found = substrings.deep_nodes([(5, b"\0" + codes + check(c), d) for c, d in ((1, 9), (2, 3), (1, 7))], 13)
+    assert [f[2] for f in found] == [[7], [3], [7]]  # a suffix of equal codes whose check differs is another node
+
+
 def test_edit_matching_against_dynamic_programming():
     rng = random.Random(2)
     for _ in range(200):
@@ -211,7 +222,7 @@ def test_word_hashes_and_grouped_texts():
         hashes, places = base.word_hashes(raw)
         assert len(hashes) == len(raw.split()) and len(set(hashes.tolist())) == len(set(raw.split()))
         assert all(raw.startswith(w, p) for w, p in zip(raw.split(), places.tolist(), strict=True))
-    every, none = np.full(1 << substrings.FILTER_BITS - 6, 2**64 - 1, dtype=np.uint64), np.zeros(1 << substrings.FILTER_BITS - 6, dtype=np.uint64)
+    every, none = np.full(1 << 10, 2**64 - 1, dtype=np.uint64), np.zeros(1 << 10, dtype=np.uint64)
     for frequent in (none, every):
         alone = [(k, *x[1:]) for k, t in enumerate(texts) if t for x in substrings.Suffixes([t.encode()], 13).segments(every, frequent)]
         for size in (1, 500, 1 << 18):
