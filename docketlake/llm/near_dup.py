@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from docketlake.llm.base import WordHashes, checkpoint, map_batches, mix, rolling
 from docketlake.llm.graph import components
 
-#: Packed set members keep five bytes of their 64-bit hash: two texts of 1,000 shingles share one by accident once in a million pairs.
-PACKED = 5
+#: Bytes of one batch of sets on its way to the nodes. One Arrow column holds at most 2 GB.
+SENT_BYTES = 64 << 20
+#: Nodes that are broadcast by id and size (16 bytes each); with more of them Spark splits the skewed side of a sorted join.
+BROADCAST_NODES = 1_000_000
 
 
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -30,6 +32,11 @@ def shingle_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def set_key(members: np.ndarray) -> bytes | None:
+    """128-bit digest of a set; None for an empty one."""
+    return xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
     """Per document: doc, n (size of its shingle set), set_key (digest of the set, null if empty) and sig (minwise hashes)."""
 
@@ -41,7 +48,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordina
             for text in batch.column(1).to_pylist():
                 s = shingle_set(shingle_words(text), width, hashes)
                 sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                keys.append(set_key(s))
                 sigs.append([int((s * c).min() >> np.uint64(33)) for c in odd] if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc", "n", "set_key", "sig"])
 
@@ -49,29 +56,37 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordina
 
 
 def chosen_path_nodes(reps: DataFrame, trees: int, leaf: int, depth: int, coordinates: int) -> DataFrame:
-    """(doc, node): the small nodes in which documents are to be compared.
+    """(doc, set_key, node): the small nodes in which documents are to be compared.
 
     Each tree branches a node by a minwise token, one chosen by the node for all its documents; now
     and then by two, so that a pair at the threshold keeps one common path in expectation. Nodes of
     at most `leaf` documents end a path. What is still larger at the last level is cut into blocks,
     and each pair of blocks becomes a node, so no pair of it is lost and no node is large.
     """
-    work = reps.select("doc", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sig")[t]).alias("node")) for t in range(trees)])).alias("x")).select("doc", "x.tree", "x.node")
+    member = ["doc", "set_key"]
+    work = reps.select(*member, F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sig")[t]).alias("node")) for t in range(trees)])).alias("x")).select(*member, "x.tree", "x.node")
     found = None
     for level in range(1, depth + 1):
-        counts = work.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = checkpoint(work.join(counts, "node"))
-        small = sized.where(F.col("size") <= leaf).select("doc", "node")
+        work = checkpoint(work)
+        counts = checkpoint(work.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))  # summed before the shuffle
+        big = counts.where(F.col("size") > leaf)
+        n_big = big.count()
+        if n_big <= BROADCAST_NODES:  # members of a hot node stay where they are
+            sized = work.join(F.broadcast(big), "node") if n_big else None
+            rest = work.join(F.broadcast(big), "node", "left_anti") if n_big else work
+        else:
+            sized, rest = work.join(big.hint("merge"), "node"), work.join(big.hint("merge"), "node", "left_anti")
+        small = rest.join(counts.where(F.col("size") <= leaf), "node").select(*member, "node")
         found = small if found is None else found.union(small)
-        large = sized.where(F.col("size") > leaf)
-        if large.isEmpty():
+        if not n_big:
             break
         if level == depth:
-            found = found.union(_block_pairs(large, leaf))
+            found = found.union(_block_pairs(sized, leaf))
         else:
-            work = checkpoint(large.join(reps.select("doc", "sig"), "doc").select("doc", "tree", F.explode(_children(level, trees, coordinates)).alias("node")))
+            work = sized.join(reps.select(*member, "sig"), member).select(*member, "tree", F.explode(_children(level, trees, coordinates)).alias("node"))
+    found = checkpoint(found)
     # trees that gathered the same documents ask for the same comparison
-    same = found.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y"))
+    same = found.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_key")).alias("y"))
     once = same.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node")
     return found.join(once, "node", "left_semi")
 
@@ -85,26 +100,37 @@ def _children(level: int, trees: int, coordinates: int) -> Column:
 
 def _block_pairs(large: DataFrame, leaf: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / leaf).cast("int")
-    mine = F.pmod(F.xxhash64("doc", "node"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("set_key", "node"), blocks).cast("int")
     pair = lambda other: F.xxhash64(F.col("node"), F.least("mine", other), F.greatest("mine", other))
-    return large.select("doc", "node", blocks.alias("blocks"), mine.alias("mine")).select("doc", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("node"))
+    return large.select("doc", "set_key", "node", blocks.alias("blocks"), mine.alias("mine")).select("doc", "set_key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("node"))
 
 
 def links_in_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) that span the similar documents of every node, confirmed on full shingle sets."""
-    wanted = nodes.groupBy("doc").agg(F.collect_set("node").alias("nodes"))  # at most a few nodes a tree
+    # at most a few nodes a tree, but for members of a node cut into blocks: one for each block of it
+    wanted = nodes.groupBy("doc").agg(F.collect_list(F.struct("set_key", "node")).alias("nodes"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out, held
+            part, out, held = list(zip(*out, strict=True)) or [[], [], []], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "doc", "members"])
+
         for batch in batches:
-            out = []
             for doc, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(shingle_words(text), width, hashes)
-                packed = s.view(np.uint8).reshape(-1, 8)[:, 8 - PACKED :].tobytes()  # the high bytes, which keep the order
-                out += [(node, doc, packed) for node in at]
-            for k in range(0, len(out), 4000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 4000], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "doc", "members"])
+                packed, key = s.tobytes(), set_key(s)
+                for x in at:
+                    if x["set_key"] == key:  # an id may have several texts
+                        out.append((x["node"], doc, packed))
+                        held += len(packed) + 16
+                        if held >= SENT_BYTES:
+                            yield flush()
+        yield flush()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, docs_in, sets, out = None, [], [], []
@@ -129,21 +155,15 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // PACKED, 8), dtype=np.uint8)
-    wide[:, :PACKED] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, PACKED)
-    return wide.view(np.uint64).ravel()
-
-
 def spanning_links(docs: list[int], packed: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Compare all documents of a node; return links enough to connect all that are linked in it."""
     if len(docs) < 2:
         return []
-    sizes = np.array([len(p) // PACKED for p in packed])
+    sizes = np.array([len(p) // 8 for p in packed])
     order = np.argsort(sizes, kind="stable")
     sizes, docs = sizes[order], [docs[i] for i in order]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    values, ids = np.unique(np.concatenate([_unpack(packed[i]) for i in order]), return_inverse=True)
+    values, ids = np.unique(np.concatenate([np.frombuffer(packed[i], dtype=np.uint64) for i in order]), return_inverse=True)
     mark, root, links = np.zeros(len(values), dtype=np.int64), np.arange(len(docs)), []
     for y in range(len(docs) - 1):
         end = np.searchsorted(sizes, sizes[y] * 100 / percent, "right")  # larger sets cannot reach the threshold
@@ -155,7 +175,7 @@ def spanning_links(docs: list[int], packed: list[bytes], percent: int) -> list[t
         mark[ids[starts[y] : starts[y] + sizes[y]]] = 0
         for z in np.flatnonzero(100 * shared >= percent * (sizes[y] + sizes[y + 1 : end] - shared)) + y + 1:
             if root[z] != root[y]:
-                links.append((docs[y], docs[z]))
+                links.append((docs[y], docs[z]))  # of one id, where texts of it are alike
                 root[root == root[z]] = root[y]
     return links
 
@@ -170,18 +190,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by all eight trees once in four million times where its nodes are small at the first level, and once in about
     1,400 where they stay large down to the last; other links of a class that large mostly connect it all the same.
 
+    Shingles are 64-bit hashes of 64-bit word hashes, and links turn on the full sets of them.
+
     Null, empty and blank texts have no shingles and are linked with nothing; texts of fewer words than
-    `width` are one shingle. Rows with the same id share their class. Other columns are not read. An empty
-    table gives an empty result.
+    `width` are one shingle. Rows of one id are one document: each of its texts is compared, and what any
+    of them is linked with joins the class of the id. Rows with a null id are shingled, link nothing, and
+    have a null class and kept. A very long text is one row with a set of 8 bytes a word. Other columns are not
+    read. An empty table gives an empty result.
     """
     coordinates = trees * depth
     each = checkpoint(signatures(docs, id_col, text_col, width, coordinates))
-    groups = each.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"))
-    groups = checkpoint(groups)
-    reps = checkpoint(each.join(groups, (each["doc"] == groups["rep"]) & (each["set_key"] == groups["set_key"]), "inner").select("doc", "sig").dropDuplicates(["doc"]))
+    named = each.where("set_key is not null and doc is not null")
+    groups = checkpoint(named.groupBy("set_key").agg(F.min("doc").alias("rep")))
+    reps = checkpoint(named.join(groups.withColumnRenamed("rep", "doc"), ["doc", "set_key"]).dropDuplicates(["doc", "set_key"]).select("doc", "set_key", "sig"))
     nodes = checkpoint(chosen_path_nodes(reps, trees, leaf, depth, coordinates))
-    classes = components(links_in_nodes(docs, nodes, id_col, text_col, width, percent))
+    links = links_in_nodes(docs, nodes, id_col, text_col, width, percent)
+    several = named.groupBy("doc").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc")
+    same_id = named.join(several, "doc", "left_semi").join(groups, "set_key").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    classes = components(links.union(same_id))
     merged = groups.join(classes, groups["rep"] == classes["id"], "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    found = each.select("doc", "n", "set_key").join(merged, "set_key", "left")
-    # rows that repeat an id with other texts join the class of the id
-    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # an id with several texts is a node itself
+    by_id = several.join(classes, several["doc"] == classes["id"]).select("doc", F.col("component_id").alias("of_id"))
+    found = each.select("doc", "n", "set_key").join(merged, "set_key", "left").join(by_id, "doc", "left")
+    component = F.when(F.col("doc").isNull() | F.col("set_key").isNull(), F.col("doc")).otherwise(F.coalesce("of_id", "component_id"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -53,6 +53,15 @@ def test_near_duplicates(docs):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(200)) for _ in range(2))
+    rows = [(5, a), (5, b), (7, a + " end"), (8, b + " end"), (5, None), (None, a), (9, b), (4, b + " x y"), (9, "alone")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted(((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in got), key=str)
+    assert found == sorted([(5, True, 4, False), (5, True, 4, False), (7, True, 4, False), (8, True, 4, False), (5, False, 5, True), (None, True, None, None), (9, True, 4, False), (4, True, 4, True), (9, True, 4, False)], key=str)
+
+
 def test_components_of_long_paths_and_empty_tables(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7), (None, 3)], "a long, b long")
     assert {r["id"]: r["component_id"] for r in graph.components(edges).collect()} == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
@@ -172,6 +181,31 @@ def test_vectors(spark):
     assert got == {i: (sum(i in x for x in links), want[i]) for i in want}
 
 
+def test_vectors_of_extreme_lengths_and_repeated_ids(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1e180]), (4, [0.0, 1e-310]), (4, [0.0, 5.0]), (None, [1.0, 0.0]), (5, [math.inf, 1.0]), (6, [0.0, -1.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str)
+    assert found == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True), (None, 0, None, None), (5, 0, 5, True), (6, 0, 6, True)], key=str)
+
+
+def test_ranges_of_a_pass_find_lone_pairs():
+    assert [vectors.outer_passes(n, 0.9, 0.001) for n in (0, 30_000, 51_282, 10_000_000)] == [2, 2, 5, 13]
+    rng = np.random.default_rng(12)
+    a, b = rng.standard_normal((2, 10_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    for cosine in (0.9001, 0.92, 0.95):
+        points = np.concatenate([a, cosine * a + math.sqrt(1 - cosine**2) * b])
+        scale = (np.abs(points).max(axis=1, keepdims=True) / 127).astype(np.float32)
+        small = np.rint(points / scale).astype(np.int8)
+        lost = np.linalg.norm(points - small * scale.astype(float), axis=1).astype(np.float32)[:, None]
+        sure, unsure = vectors.range_links(np.concatenate([scale.view(np.int8), lost.view(np.int8), small], axis=1), 3, 0.9, 64)
+        met = {tuple(sorted(p)) for p in [*sure.tolist(), *unsure.tolist()]}
+        assert sum((i, i + 10_000) not in met for i in range(10_000)) <= 10_000 * vectors.INNER_MISS
+        assert all(j == i + 10_000 for i, j in map(sorted, sure.tolist()))
+
+
 def test_vector_passes_grow_with_the_table(spark):
     assert [vectors.needed_passes(n, 0.9, 16, 0.001, 24) for n in (0, 10, 2_000, 10_000_000)] == [24, 24, 24, 134]
     rng = np.random.default_rng(11)
