@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.base import checkpoint, map_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
+#: A "<" outside quotes ends a tag that was never closed, so a search never looks past the next one.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>]++)*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 #: Elements of HTML by what they mean for the text.
@@ -24,56 +25,100 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption tr ul ol table tbody thead dl b i em strong a span code q cite sub sup u s small mark br".split())
 BOILERPLATE = frozenset("script style noscript template iframe head title nav footer aside form button select textarea object svg canvas menu dialog".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored promo banner cookie cookies consent notice notices alert comment comments disqus replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social newsletter subscribe related popup modal widget pagination pager masthead".split())
+#: Beginnings of joined marks (commentlist, sidebarleft), and a word of text that begins like one.
+STEMS, NO_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "newsletter", "sidebar", "sponsor"), ("commentar",)
 CLOSED_BY = {"li": frozenset(["li"]), "p": BLOCKS, "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 HOLDS = {"li": frozenset(["ul", "ol", "menu"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "p": frozenset(), "option": frozenset()}
 
 
+CLOSING = frozenset().union(*CLOSED_BY.values())
+_RAW_END = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])") for tag in RAW}
+_FRAME = frozenset(["#page", "html", "body", "article", "main", "head"])
+
+
+def _is_marked(attributes: str) -> bool:
+    """Whether class, id or role name an element as boilerplate."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        for word in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()):
+            if word in MARKS or word.startswith(STEMS) and not word.startswith(NO_STEMS):
+                return True
+    return False
+
+
 class Page:
     """Elements of a page in order of their start tags: tags, parents, and each one's parts (texts and numbers of children)."""
 
     def __init__(self, source: str):
         self.tags, self.marks, self.parents, self.parts = ["#page"], [""], [-1], [[]]
-        stack, at, raw = [0], 0, None
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if raw:
-                if not (m[1] and m[2].lower() == raw):
-                    continue
-                raw = None
+        stack, at, open_tags = [0], 0, Counter()
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
                 self.parts[stack[-1]].append(source[at : m.start()])
             at, tag = m.end(), (m[2] or "").lower()
             if not tag:
                 continue
             if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[depth]] == tag:
-                        del stack[depth:]
-                        break
+                if open_tags[tag]:
+                    while self.tags[stack[-1]] != tag:
+                        open_tags[self.tags[stack.pop()]] -= 1
+                    open_tags[self.tags[stack.pop()]] -= 1
                 continue
-            self._close_implied(stack, tag)
+            if tag in CLOSING:
+                self._close_implied(stack, tag, open_tags)
             self.tags.append(tag)
             self.marks.append(m[3])
             self.parents.append(stack[-1])
             self.parts.append([])
             self.parts[stack[-1]].append(len(self.tags) - 1)
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append(len(self.tags) - 1)
-                if tag in RAW:
-                    raw = tag
+            if tag in VOID or m[3].endswith("/"):
+                continue
+            stack.append(len(self.tags) - 1)
+            open_tags[tag] += 1
+            if tag in RAW:  # up to its own end tag, all is text
+                end = _RAW_END[tag].search(source, at)
+                stop = end.start() if end else len(source)
+                if stop > at:
+                    self.parts[-1].append(source[at:stop])
+                at = stop
         if at < len(source):
             self.parts[stack[-1]].append(source[at:])
+        self._find_mains()
 
-    def _close_implied(self, stack: list[int], tag: str) -> None:
+    def _close_implied(self, stack: list[int], tag: str, open_tags: Counter[str]) -> None:
+        if not any(open_tags[t] for t, by in CLOSED_BY.items() if tag in by):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             open_tag = self.tags[stack[depth]]
             if tag in CLOSED_BY.get(open_tag, ()):
+                open_tags.subtract(self.tags[i] for i in stack[depth:])
                 del stack[depth:]
                 return
             if tag in HOLDS.get(open_tag, ()) or open_tag in BLOCKS and not (tag in HOLDS and open_tag not in HOLDS[tag]):
                 return
 
+    def _find_mains(self) -> None:
+        """mains: the outermost article elements that stand in no boilerplate, else such main elements, else articles
+        that only a mark of an element around them (a layout's name) speaks against, else the whole page."""
+        self.marked = [tag not in _FRAME - {"article", "main"} and _is_marked(mark) for tag, mark in zip(self.tags, self.marks, strict=True)]
+        by_tag, by_mark = [False], [False]
+        for i in range(1, len(self.tags)):
+            up = self.parents[i]
+            by_tag.append(by_tag[up] or self.tags[i] in BOILERPLATE)
+            by_mark.append(by_mark[up] or self.marked[i])
+        clean = [not t and not m for t, m in zip(by_tag, by_mark, strict=True)]
+        near = [not t and not m for t, m in zip(by_tag, self.marked, strict=True)]
+        for tag, fit in (("article", clean), ("main", clean), ("article", near), ("main", near)):
+            self.mains: list[int] = []
+            inside = [False] * len(self.tags)
+            for i in range(1, len(self.tags)):
+                inside[i] = inside[self.parents[i]]
+                if self.tags[i] == tag and fit[i] and not inside[i]:
+                    self.mains.append(i)
+                    inside[i] = True
+            if self.mains:
+                return
+        self.mains = [0]
+
     def hashes(self) -> list[int]:
         """Hash of each element's subtree: its tag, texts and children in order."""
         out = [0] * len(self.tags)
@@ -82,53 +127,27 @@ class Page:
             out[i] = xxhash.xxh3_64_intdigest("\x1f".join(key).encode("utf-8", "surrogatepass")) - (1 << 63)
         return out
 
-    def mains(self) -> list[int]:
-        """Outermost article elements, else main ones, else the whole page."""
-        for tag in ("article", "main"):
-            found: list[int] = []
-            for i, t in enumerate(self.tags):
-                if t == tag and not self.marked(i) and not any(self.inside(i, f) for f in found):
-                    found.append(i)
-            if found:
-                return found
-        return [0]
-
-    def inside(self, i: int, outer: int) -> bool:
-        while i > outer:
-            i = self.parents[i]
-        return i == outer
-
-    def marked(self, i: int) -> bool:
-        """Whether class, id or role name an element as boilerplate."""
-        for m in _ATTRIBUTE.finditer(self.marks[i]):
-            if not MARKS.isdisjoint(re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())):
-                return True
-        return False
-
     def removable(self) -> list[int]:
         """Elements that a template may consist of: all but the page's frame, and within an article none that is text of its own."""
-        mains = self.mains()
-        protected = [False] * len(self.tags)
-        for i, tag in enumerate(self.tags):
-            parent = self.parents[i]
-            protected[i] = i in mains and i > 0 or parent >= 0 and protected[parent]
-        frame = {"#page", "html", "body", "article", "main", "head"}
-        return [i for i, tag in enumerate(self.tags) if tag not in frame and not (protected[i] and tag in CONTENT) and self.parts[i]]
+        mains, protected = set(self.mains), [False] * len(self.tags)
+        for i in range(1, len(self.tags)):
+            protected[i] = i in mains or protected[self.parents[i]]
+        return [i for i, tag in enumerate(self.tags) if tag not in _FRAME and not (protected[i] and tag in CONTENT) and self.parts[i]]
 
     def text(self, templates: frozenset[int]) -> str:
         gone: set[int] = set()
         if templates:
             hashes = self.hashes()
             gone = {i for i in self.removable() if hashes[i] in templates}
-        mains = self.mains()
+        mains = set(self.mains)
         blocks: list[list[str]] = [[]]
-        work: list[tuple[int, int]] = [(m, 0) for m in reversed(mains)]  # an explicit stack: pages may nest deeply
-        in_main = mains != [0]
+        work: list[tuple[int, int]] = [(m, 0) for m in reversed(self.mains)]  # an explicit stack: pages may nest deeply
+        in_main = mains != {0}
         while work:
             i, k = work.pop()
             tag = self.tags[i]
             if k == 0:
-                if i in gone or i not in mains and (tag in BOILERPLATE or tag == "header" and not in_main or tag != "body" and self.marked(i)):
+                if i in gone or i not in mains and (tag in BOILERPLATE or tag == "header" and not in_main or self.marked[i]):
                     continue
                 if tag == "br":
                     blocks[-1].append(" ")
@@ -150,7 +169,7 @@ class Page:
 
 
 def site_templates(pages: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """(host, templates): hashes of element subtrees that stand on at least `min_pages` pages and `share` of a host's pages.
+    """(host, pages, templates): hashes of element subtrees that stand on at least `min_pages` pages and `share` of a host's pages.
 
     A page with n elements has at most n of them, so a host has at most n/share: the arrays stay small
     however many pages a host has. Counts are summed per batch before they are shuffled.
@@ -169,31 +188,47 @@ def site_templates(pages: DataFrame, min_pages: int, share: float) -> DataFrame:
     counts = checkpoint(map_batches(pages.select("host", "html").where("host is not null and html is not null"), count, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages))
     totals = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
     often = counts.where("subtree <> 0").join(totals, "host").where(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    return often.groupBy("host", "pages").agg(F.collect_list("subtree").alias("templates"))
+
+
+def with_templates(source: DataFrame, templates: DataFrame, most_broadcast: int, pages_a_key: int) -> DataFrame:
+    """Pages beside the templates of their hosts.
+
+    Up to `most_broadcast` template hashes are broadcast, and pages stay where they are. More are joined by
+    host, and a host of more than `pages_a_key` pages (more where the table is so large that there would
+    be over 100,000 such hosts) is dealt over as many keys as it needs, to each of which its few templates go.
+    """
+    size = templates.agg(F.sum(F.size("templates")), F.sum("pages")).first()
+    if (size[0] or 0) <= most_broadcast:
+        return source.join(F.broadcast(templates.drop("pages")), "host", "left")
+    a_key = max(pages_a_key, (size[1] or 0) // 100_000)
+    hot = templates.select("host", F.ceil(F.col("pages") / a_key).cast("int").alias("keys")).where("keys > 1")
+    dealt = source.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("keys", F.lit(1))).cast("int"))
+    spread = templates.select("host", "templates", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pages") / a_key).cast("int") - 1)).alias("salt"))
+    return dealt.join(spread.hint("merge"), ["host", "salt"], "left")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.5, salts: int = 32) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.5, most_broadcast: int = 1_000_000, pages_a_key: int = 10_000) -> DataFrame:
     """(page_id, url, text): the main text of every page, one row per input row.
 
-    Text is that of the article elements, else of main, else of the whole page, without elements that
-    are boilerplate by their tag or by a word of their class, id or role, and without subtrees that recur
-    on at least `share` (and `min_pages`) of the pages of the host. Paragraphs, headings and the like
-    inside an article are never taken for a template: a site may publish an article many times.
+    Text is that of the article elements that stand in no boilerplate, else of main, else of the whole page,
+    without elements that are boilerplate by their tag or by a word of their class, id or role, and without
+    subtrees that recur on at least `share` (and `min_pages`) of the pages of the host. Paragraphs, headings
+    and the like inside an article are never taken for a template: a site may publish an article many times.
     Character references are decoded, white space inside a block becomes one space, and blocks are
     joined by a line break.
 
-    Null and empty html gives an empty text; pages whose url has no host have no templates. Repeated
-    rows count as pages of their own. Other columns are not read. An empty table gives an empty result.
+    Null and empty html gives an empty text; pages whose url has no host have no templates; a null id or url
+    stays null. Repeated rows count as pages of their own. A page is read in time that grows with its
+    length, also where tags are left open. Other columns are not read. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.when(host != "", host).alias("host"))
-    # a host may own a third of all pages: its pages are dealt over `salts` keys, to each of which its few templates go
-    templates = site_templates(source, min_pages, share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    source = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    templates = checkpoint(site_templates(source, min_pages, share))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [Page(h).text(frozenset(t or ())) if h else "" for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return map_batches(source.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "templates"), extract, "page_id long, url string, text string")
+    return map_batches(with_templates(source, templates, most_broadcast, pages_a_key).select("page_id", "url", "html", "templates"), extract, "page_id long, url string, text string")

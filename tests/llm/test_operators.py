@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -233,6 +234,37 @@ def test_main_text(spark):
     assert [got[i] for i in (1, 2, 3, 4, 5, 10)] == ["T&c\none two\nthree four", "plain text", "", "", "deep", "story 0"]
 
 
+def _plain_text(source):
+    """Main text of a page whose article has only blocks and inline tags: tags split it, nothing is parsed."""
+    source = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", source)
+    inside = re.findall(r"(?s)<article>(.*?)</article>", source)
+    inside = re.sub(r'(?s)<div class="ad">.*?</div>', "", "".join(inside))
+    blocks = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", inside)
+    lines = (" ".join(html.entities.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", b)).split()) for b in blocks)
+    return "\n".join(x for x in lines if x)
+
+
+def test_main_text_against_plain_version(spark):
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r["page_id"]: _plain_text(r["html"] or "") for r in table.collect()}
+    for most in (1_000_000, 0):  # templates broadcast, and joined over salted keys
+        got = {r["page_id"]: r["text"] for r in html.main_text(table, min_pages=2, most_broadcast=most, pages_a_key=2).collect()}
+        assert got == want and any(want.values())
+
+
+def test_pages_with_odd_markup():
+    text = lambda t: html.Page(t).text(frozenset())
+    assert text('<body><aside class="related"><article>teaser</article></aside><article>story</article></body>') == "story"
+    assert text('<body><main><p>story</p></main><aside><article>teaser</article></aside></body>') == "story"
+    assert text('<div class="has-sidebar"><article><p>story<div class="commentlist">no</div><div class="commentary">yes</div></article></div>') == "story\nyes"
+    assert text("<script>if (a<b) x='<p>';</script><p>a<b>c</p><textarea><p>no") == "ac"
+    assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table></i>h") == "a\nb\nc\nd\ne\nf\ng\nh"
+    for hard in ("<a " * 100_000, "<!" * 100_000, "<a '" * 100_000, "<div>" * 50_000 + "</span>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<script>" + "<a " * 100_000):
+        began = time.perf_counter()
+        text(hard)
+        assert time.perf_counter() - began < 5
+
+
 def test_tool_calls(spark):
     say = '{"tool_calls":[{"id":"b","name":"reply","arguments":{"turn":"x"},"parent_id":"a"},{"id":"a","name":"nope","arguments":{"z":1,"a":[1.50]}}]}'
     loop = '{"tool_calls":[{"id":"q","name":"reply","arguments":{"turn":1,"prompt":"p"},"parent_id":"w"},{"id":"w","name":"reply","arguments":[1],"parent_id":"q"}]}'
