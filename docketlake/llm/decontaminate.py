@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlake.llm.base import map_batches
+from docketlake.llm.base import checkpoint, map_batches
 
 _WORDS = re.compile(r"\w+")
 
@@ -21,6 +23,11 @@ def normalise(text: str | None) -> str:
     return " ".join(_WORDS.findall(text.lower())) if text else ""
 
 
+def bounded(words: str) -> str:
+    """Normalised words between spaces, so that what is matched begins and ends at words; half a word costs edits."""
+    return f" {words} " if words else ""
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     """Cut an item into budget + 1 pieces of nearly equal length, with their offsets: `budget` edits leave one piece whole."""
     cuts = [len(item) * k // (budget + 1) for k in range(budget + 2)]
@@ -51,7 +58,7 @@ class PieceIndex:
     """Automaton over the pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items if t]
+        self.items = [(i, bounded(t), int(len(t) * error_rate)) for i, t in items if t]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, budget) in enumerate(self.items):
             for offset, piece in pieces(text, budget):
@@ -63,10 +70,11 @@ class PieceIndex:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> dict[int, tuple[int, int]]:
-        """item_id -> (least distance, end) of every item that occurs within its budget in a normalised text."""
+        """item_id -> (least distance, end) of every item that occurs within its budget in a normalised text; end is its last word's."""
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if not self.items or not text:
             return {}
+        text = bounded(text)
         for end, (length, where) in self.automaton.iter(text):
             for k, offset in where:
                 _, item, budget = self.items[k]
@@ -85,42 +93,62 @@ class PieceIndex:
                 if distance <= budget and distance < found.get(item_id, (budget + 1, 0))[0]:
                     found[item_id] = distance, at + end
                 at, stop = lo, hi
-        return found
+        return {i: (d, end - 1 - (text[end - 1] == " ")) for i, (d, end) in found.items()}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """Every (doc_id, item_id) where the document holds the item within its error budget, with distance, budget and end_char.
 
     The budget is `error_rate` edits a character of the normalised item (none below 1/error_rate
-    characters: then it must occur exactly). Of several places the closest counts, then the first;
-    end_char is where it ends in the normalised document.
+    characters: then it must occur exactly). Items begin and end at words: to begin or end inside one costs
+    an edit. Of several places the closest counts, then the first; end_char is where it ends in the normalised document.
 
     The items are broadcast in blocks of about `block_chars` characters, whose number is computed
-    from the size of the benchmark; each block is held against all documents, which are never
-    shuffled. Null and blank items match nothing, null and blank texts hold nothing; repeated rows are
-    reported once each (documents) or as one item (items of one id, the closer match). No items or no documents
-    give an empty result. Other columns are not read.
+    from the size of the benchmark. One block is held against all documents, which are never shuffled; of
+    several, each is collected, broadcast, matched, written to the shared folder and dropped before the
+    next, so driver and workers hold one. The index of a block is built once in a Python worker.
+
+    Null and blank items match nothing, null and blank texts hold nothing. A null doc_id is reported as
+    such, an item without an id is left out. Rows of one document id are matched each on its own; items
+    of one id are one item, of which the closer match counts. A very long text is searched in one pass
+    over it. No items or no documents give an empty result. Other columns are not read.
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, distance int, budget int, end_char int"
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null and item_id is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
 
-    def held_against(block: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+    def held_against(block: int) -> tuple[DataFrame, Broadcast]:
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast([(r["item_id"], normalise(r["text"])) for r in rows])
+        name = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = PieceIndex(shared.value, error_rate)
+            index = _index(name, shared, error_rate)
             budget = {i: b for i, _, b in index.items}
             for batch in batches:
                 out = [(doc, item, d, budget[item], end) for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for item, (d, end) in index.matches(normalise(text)).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "distance", "budget", "end_char"])
 
-        return map_batches(source, run, schema)
+        return map_batches(source, run, schema), shared
 
-    found = held_against(0)
-    for block in range(1, blocks):
-        found = found.union(held_against(block))
+    if blocks == 1:
+        return held_against(0)[0]
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        part, shared = held_against(block)
+        found = found.union(checkpoint(part))
+        shared.unpersist()
     return found
+
+
+_indexes: dict[str, PieceIndex] = {}
+
+
+def _index(name: str, items: Broadcast, error_rate: float) -> PieceIndex:
+    """One index for all tasks of a Python worker: that of the block at hand."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = PieceIndex(items.value, error_rate)
+    return _indexes[name]

@@ -122,6 +122,87 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(documents.limit(0), items).count() == 0 and decontaminate.contaminated(documents, items.limit(0)).count() == 0
 
 
+def _edits(item, text):
+    """Least edit distance of the item to any part of the text that begins and ends at words, by rows."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_matcher_against_dynamic_programming(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    items = [(i, say(rng.randint(1, 14))) for i in range(25)] + [(25, "cat"), (None, "stone light"), (26, "  ")]
+
+    def spoil(text):
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(text))
+            text = text[:k] + rng.choice(["", "q", text[k] + "z"]) + text[k + 1 :]
+        return text
+
+    texts = [f"{say(5)} {spoil(rng.choice(items[:25])[1])} {say(5)}" for _ in range(60)] + ["concatenate the cats", "a Cat!", "", None, say(40_000)]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "my cat", "clash"), (61, "a Cat!", "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for doc, text, _ in rows:
+        for item, words in items:
+            said = f" {words.strip()} "
+            budget = int(len(words) * 0.05)
+            if item is None or not words.strip() or not text or len(text) > 10_000:
+                continue
+            distance = _edits(said, f" {decontaminate.normalise(text)} ")
+            if distance <= budget:
+                want.append((doc, item, distance, budget))
+    for block in (4_000_000, 300):
+        got = [tuple(r)[:4] for r in decontaminate.contaminated(docs, bench, block_chars=block).collect() if r["doc_id"] != 64]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert (61, 25, 0, 0) in want and (60, 25, 0, 0) not in want and (None, 25, 0, 0) in want
+
+
+def test_disguises_and_odd_digits(spark):
+    spans = lambda t: pii.write(pii.all_spans(t)[1])
+    for t in ("john@\tmail.com", "john\xa0@\xa0mail.com", "john [ \tat ] mail.com", "john@mail [dot] com", "john@mail dot com", "john at mail [ . ] com", "john {at} mail (dot) com"):
+        assert spans(t) == f"email:0:{len(t)}", t
+    assert spans("0" * 5000 + "1.2.3.4 256.1.1.1 " + "9" * 5000 + ".1.1.1") == "ip:0:5007"
+    assert spans("look at example.com now. we met at noon.then home") == ""
+    assert spans("call «plus one five zero nine five five five six nine seven three» or ten") == "phone:6:65"
+    many = pii.all_spans("1.2.3.4 1 dot 2 dot 3 dot 4 " * 20_000)
+    assert len(many[0]) == 20_000 and len(many[1]) == 40_000
+    words = ["one", "two ", "Dot ", "at", "@", " ", "[", "]", "(", ")", "a", ".", "5", "-", ",", "\t", "\xa0", "«", "plus ", "\u017fix ", "f\u0131ve ", "é", "com", "mail", "_", "œ", "point ", "0", "а"]
+    rng, changed = random.Random(6), 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(1, 24)))
+        for step, may in ((pii.spelled_digits, pii.may_be_spelled), (pii.at_and_dot, pii.may_be_addressed)):
+            tape = pii.Tape(text)
+            step(tape)
+            assert may(text) or tape.text == text
+            changed += tape.text != text
+    assert changed > 50
+
+
+def test_added_spans_against_plain_version():
+    """Every disguise of an identifier is found where it stands, in any surroundings, and base spans stay."""
+    rng = random.Random(7)
+    names, at, dots = ["john", "mary.ann", "x_1"], ["@", " at ", " [at] ", "(at)", " @ "], [".", " dot ", "[dot]", " ( . ) "]
+    for _ in range(3000):
+        a, d = rng.choice(at), rng.choice(dots)
+        if a == " at " and d == ".":
+            continue
+        disguise = f"{rng.choice(names)}{a}mail{d}example{rng.choice([d, '.'])}org"
+        spelled = " ".join(rng.choice([str(n), list(pii.DIGIT_WORDS)[n + 1 if n else 0]]) for n in [rng.randint(0, 9) for _ in range(10)])
+        before, between = "Write, please: ", "; or call: "
+        text = before + disguise + between + "plus " + spelled + "!"
+        base, spans = pii.all_spans(text)
+        lo = len(before)
+        assert set(base) <= set(spans) and (lo, 0, lo + len(disguise)) in spans, text
+        assert (lo + len(disguise) + len(between), 3, len(text) - 1) in spans, text
+
+
 def test_personal_data(spark):
     def plain(t):
         out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -166,6 +247,40 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_against_plain_naive_bayes(spark):
+    assert not any(map(language.has_letter, ["½ ² ③", "12", "", None, "_ 3 !"])) and all(map(language.has_letter, ["½a", "語"]))
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null").select("text", "lang")
+    rows = table.collect()
+    model = language.fit(table, "text", "lang")
+
+    def buckets(text):
+        out, code = [], [ord(c) * 0x9E3779B1 % 2**32 for c in text.lower()]
+        for n in language.ORDERS:
+            for i in range(len(code) - n + 1):
+                h = n
+                for c in code[i : i + n]:
+                    h = (h ^ c) * 0x85EBCA6B % 2**32
+                    h ^= h >> 13
+                out.append(h >> 18)
+        return out
+
+    counts, docs = {}, {}
+    for r in rows:
+        mine = counts.setdefault(r["lang"], [0.5] * language.BUCKETS)
+        docs[r["lang"]] = docs.get(r["lang"], 0) + 1
+        for b in buckets(r["text"]):
+            mine[b] += 1
+    logs = {x: np.log(np.array(c) / sum(c)) for x, c in counts.items()}
+    texts = [r["text"] for r in rows[:60]] + ["½", "der", None, "la casa"]
+    for text, best, score in zip(texts, *model.predict(texts), strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (best, score) == ("und", 0.0)
+            continue
+        sums = {x: float(logs[x][buckets(text)].sum()) + math.log(docs[x] / len(rows)) for x in sorted(logs)}
+        want = max(sums, key=sums.get)
+        assert best == want and math.isclose(score, 1 / sum(math.exp(v - sums[want]) for v in sums.values()), rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((20, 16))
