@@ -1,25 +1,16 @@
-"""Licence notices by a positional index of their rarest phrase words. Built-in functions only."""
+"""Licence notices by a positional index of their rarest words. Built-in functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.llm.licence_texts import PASSAGES, words
+
 #: Phrases whose every place counts, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Wording of notices: (label, words, phrase that must stand in its place).
-TEMPLATES = (
-    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("reserved", "all rights reserved", "all rights reserved"),
-)
+#: (label, words, phrase that must stand in its place) of each passage of the common licences.
+TEMPLATES = tuple((label, " ".join(words(text)), phrase) for label, text, phrase in PASSAGES)
 #: What the index holds: the templates, then each base phrase as a notice that must stand whole.
 NOTICES = TEMPLATES + tuple((label, phrase, phrase) for phrase, label in BASE)
 VOCABULARY = tuple(sorted({w for _, _, p in NOTICES for w in p.split()}))
@@ -35,9 +26,9 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def document_frequencies(words: DataFrame) -> dict[str, int]:
+def document_frequencies(rows: DataFrame) -> dict[str, int]:
     """In how many rows each phrase word occurs: one number for each word of the mandatory phrases, over all rows of `tokens`."""
-    held = words.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, VOCABULARY)))).alias("word"))
+    held = rows.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, VOCABULARY)))).alias("word"))
     return {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
 
 
@@ -46,16 +37,17 @@ def _phrase_start(text: str, phrase: str) -> int:
     return f" {text} "[: f" {text} ".index(f" {phrase} ")].count(" ")
 
 
-def postings(frequencies: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """word -> (notice, position) for the rarest word of each notice's mandatory phrase, of equals the first.
+def postings(frequencies: dict[str, int]) -> list[tuple[int, tuple[str, int], tuple[str, int]]]:
+    """(notice, rarest word and its position, second rarest and its): words of the mandatory phrase, of equals the first.
 
-    No counted notice can lack that word in its place, so each start that counts is looked up, and once.
+    A file with a counted notice holds its whole phrase, so these are the highest-IDF words of the phrase that
+    the file has, whichever others it holds; no start that counts can lack either.
     """
-    out: dict[str, list[tuple[int, int]]] = {}
+    out = []
     for t, (_, text, phrase) in enumerate(NOTICES):
-        words = phrase.split()
-        k = min(range(len(words)), key=lambda i: (frequencies.get(words[i], 0), i))
-        out.setdefault(words[k], []).append((t, _phrase_start(text, phrase) + k))
+        order = phrase.split()
+        rare = sorted(set(order), key=lambda w: (frequencies.get(w, 0), order.index(w)))[:2]
+        out.append((t, *((w, _phrase_start(text, phrase) + order.index(w)) for w in rare)))
     return out
 
 
@@ -63,28 +55,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sh
     """(doc_id, n_words, base, base_labels, labels, score, templates), one row per input row.
 
     base: starts of the base phrases, ascending. templates: found notices as structs of template number,
-    start and share of its words in place. Each place of a rarest phrase word is looked
-    up in the postings, and the notice is laid at the start that it gives. A template counts if at least `min_share` of its words and the whole mandatory phrase stand in
-    their places, a base phrase if all its words do. labels are those of both; score is 1 with a base
-    phrase, else the best share, else 0.
-
-    A null or empty text has no words, no labels and score 0. Each row is scanned on its own (no
-    shuffle but for the word frequencies, which are one number per template word), in time that grows with n log n
-    of its indexed words, so ties, repeated rows and very long texts need no care. Other columns are
-    not read. An empty table gives an empty result.
+    start and share of its words in place. A file is looked up for the notices whose two rarest phrase words
+    it holds; the places of both, less their positions in the notice, are intersected, and the notice is laid
+    at each start that is left. A template counts if at least `min_share` of its words and the whole mandatory
+    phrase stand in their places, a base phrase if all its words do. labels are those of both; score is 1 with
+    a base phrase, else the best share, else 0.
+
+    A null or empty text has no words, no labels and score 0; a null id stays null. Each row is scanned on its
+    own (no shuffle but for the word frequencies, which are one number per phrase word and change only the
+    order of lookups, never a result), so ties and repeated rows need no care. Time grows with the words of a
+    text, and with n log n of the places it is looked up at. Other columns are not read. An empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), spaced(F.col(text_col)).alias("words"))
     tokens = F.split(F.trim("words"), " ")
     index = postings(document_frequencies(source.select(tokens.alias("tokens"))))
 
-    # the positional lookup is left to documents that hold an indexed word
-    held = F.filter(F.array(*map(F.lit, sorted(index))), lambda w: F.contains(F.col("words"), F.concat(F.lit(" "), w, F.lit(" "))))
-    hit = source.select("doc_id", (_spaces(F.col("words")) - 1).cast("long").alias("n_words"), "words", held.alias("held"))
-    hit = hit.withColumn("tokens", F.when(F.size("held") > 0, tokens).otherwise(F.array().cast("array<string>"))).drop("words")
+    entry = lambda t, a, b: F.struct(F.lit(t).alias("t"), F.lit(a[0]).alias("w"), F.lit(a[1]).alias("k"), F.lit(b[0]).alias("w2"), F.lit(b[1]).alias("k2"))
+    whole = lambda w: F.contains(F.col("words"), F.concat(F.lit(" "), w, F.lit(" ")))
+    notices = F.filter(F.array(*[entry(*x) for x in index]), lambda x: whole(x["w"]) & whole(x["w2"]))
+    hit = source.select("doc_id", (_spaces(F.col("words")) - 1).cast("long").alias("n_words"), "words", notices.alias("notices"))
+    hit = hit.withColumn("tokens", F.when(F.size("notices") > 0, tokens).otherwise(F.array().cast("array<string>"))).drop("words")
+    hit = hit.withColumn("held", F.array_union(F.transform("notices", lambda x: x["w"]), F.transform("notices", lambda x: x["w2"])))
     hit = hit.withColumn("at", F.filter(F.transform("tokens", lambda w, i: F.when(F.array_contains("held", w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()))
-    table = F.create_map(*[x for w, ps in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in ps]))])
-    places = F.flatten(F.transform("at", lambda a: F.transform(F.element_at(table, a["w"]), lambda p: F.struct(p["t"].alias("t"), (a["i"] - p["k"]).alias("start")))))
-    hit = hit.withColumn("places", F.sort_array(places))
+    starts = lambda w, k: F.transform(F.filter("at", lambda a: a["w"] == w), lambda a: a["i"] - k)
+    places = F.transform("notices", lambda x: F.transform(F.array_intersect(starts(x["w"], x["k"]), starts(x["w2"], x["k2"])), lambda s: F.struct(x["t"].alias("t"), s.alias("start"))))
+    hit = hit.withColumn("places", F.sort_array(F.flatten(places)))
     texts = F.array(*[F.split(F.lit(t), " ") for _, t, _ in NOTICES])
     first = F.array(*[F.lit(_phrase_start(t, p)) for _, t, p in NOTICES])
     size = F.array(*[F.lit(len(p.split())) for _, _, p in NOTICES])

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake.llm import base, bpe, decontaminate, graph, html, language, licences, near_dup, pii, queries, substrings, tool_calls, vectors
+from docketlake.llm import base, bpe, decontaminate, graph, html, language, licence_texts, licences, near_dup, pii, queries, substrings, tool_calls, vectors
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and river stone light house green table window paper garden story number people water summer winter morning evening".split()
@@ -423,10 +423,26 @@ def test_licence_that_most_rows_carry(spark):
     assert [r["labels"] for r in rows] == [["mit"]] * 10
 
 
+@pytest.mark.parametrize("copies", [1, 4, 300])
+def test_labels_do_not_depend_on_other_documents(spark, copies):
+    mit = "Copyright 2020 me. " + " ".join(t for label, t, _ in licence_texts.PASSAGES if label == "mit")
+    boost = " ".join(t for label, t, _ in licence_texts.PASSAGES if label == "bsl-1.0")
+    rows = [(i, mit) for i in range(copies)] + [(-1, boost), (-2, "this software is one")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (["mit"], 1.0) for i in range(copies)) and got[-1] == (["bsl-1.0"], 1.0) and got[-2] == ([], 0.0)
+
+
+def test_every_passage_has_its_phrase_and_label(spark):
+    rows = licences.scan(spark.createDataFrame(enumerate(t for _, t, _ in licence_texts.PASSAGES), "doc_id long, text string")).collect()
+    for r in rows:
+        label, text, phrase = licence_texts.PASSAGES[r["doc_id"]]
+        assert f" {phrase} " in f" {' '.join(licence_texts.words(text))} " and label in r["labels"] and r["score"] == 1.0
+
+
 def test_cut_licences_against_brute_force(spark):
     rng = np.random.default_rng(7)
     texts = ["licensed under the apache license", "subject to the terms of the mozilla public license v 2 0"]
-    for _, notice, _ in licences.TEMPLATES * 12:
+    for _, notice, _ in licences.TEMPLATES * 4:
         words = notice.split()
         a = int(rng.integers(0, len(words) // 2))
         part = [w if rng.random() < 0.85 else "x" for w in words[a : len(words) - int(rng.integers(0, len(words) // 2))]]
