@@ -94,13 +94,17 @@ both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 nodes AS (SELECT doc_id AS id FROM documents),{_COMPONENTS}
 SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM sets d JOIN components c ON d.doc_id = c.id""",
     "op4_tool_calls": """
-WITH RECURSIVE calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-depths(conv_id, turn, depth) AS (SELECT conv_id, turn, CAST(0 AS BIGINT) FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
-  UNION ALL SELECT c.conv_id, c.turn, d.depth + 1 FROM depths d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2),
-linked AS (SELECT c.conv_id, concat('call-', c.turn) AS call_id, c.turn, 'reply' AS name, d.depth, CASE WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status, c.text, r.text AS content
-  FROM calls c JOIN depths d USING (conv_id, turn) LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant')
-SELECT conv_id, call_id, turn, name, depth, status, CAST(NULL AS VARCHAR) AS errors,
-  concat('{"arguments":{"prompt":', to_json(text), ',"turn":', turn, '},"call_id":"', call_id, '","conv_id":', conv_id, ',"depth":', depth, ',"errors":null,"name":"reply","result":', coalesce(CAST(to_json(content) AS VARCHAR), 'null'), ',"status":"', status, '","turn":', turn, '}') AS canonical
+WITH RECURSIVE calls AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 13 = 5 AND turn % 4 < 2 THEN turn + 2 ELSE turn - 2 END AS parent, (conv_id + turn) % 11 = 4 AS other_tool, (conv_id + turn) % 7 = 3 AS as_text, (conv_id + turn) % 7 = 5 AS no_json, conv_id % 9 = 4 AND turn % 4 = 0 AS twice FROM conversations WHERE role = 'user'),
+depths(conv_id, turn, depth) AS (SELECT conv_id, turn, CAST(0 AS BIGINT) FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.parent)
+  UNION ALL SELECT c.conv_id, c.turn, d.depth + 1 FROM depths d JOIN calls c ON c.conv_id = d.conv_id AND c.parent = d.turn),
+places AS (SELECT conv_id, turn, depth, row_number() OVER (PARTITION BY conv_id ORDER BY depth, turn) - 1 AS position FROM depths),
+linked AS (SELECT c.conv_id, concat('call-', c.turn) AS call_id, c.turn, CASE WHEN other_tool THEN 'lookup' ELSE 'reply' END AS name, d.depth, d.position,
+  CASE WHEN d.depth IS NULL THEN 'cycle' WHEN twice THEN 'repeated' WHEN r.turn IS NULL THEN 'unanswered' WHEN c.conv_id % 8 = 6 THEN 'early' ELSE 'linked' END AS status,
+  CASE WHEN other_tool THEN 'unknown tool' WHEN no_json THEN 'not an object' ELSE nullif(concat_ws('; ', CASE WHEN c.text IS NULL THEN 'prompt is missing' END, CASE WHEN as_text THEN 'turn is not integer' END), '') END AS errors,
+  CASE WHEN no_json THEN 'null' ELSE concat('{', CASE WHEN c.text IS NOT NULL THEN concat('"prompt":', to_json(c.text), ',') ELSE '' END, '"turn":', CASE WHEN as_text THEN concat('"', c.turn, '"') ELSE CAST(c.turn AS VARCHAR) END, '}') END AS arguments, r.text AS content
+  FROM calls c LEFT JOIN places d USING (conv_id, turn) LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant')
+SELECT conv_id, call_id, turn, name, depth, position, status, errors,
+  concat('{"arguments":', arguments, ',"call_id":"', call_id, '","conv_id":', conv_id, ',"depth":', coalesce(CAST(depth AS VARCHAR), 'null'), ',"errors":', coalesce(CAST(to_json(errors) AS VARCHAR), 'null'), ',"name":"', name, '","position":', coalesce(CAST(position AS VARCHAR), 'null'), ',"result":', coalesce(CAST(to_json(content) AS VARCHAR), 'null'), ',"status":"', status, '","turn":', turn, '}') AS canonical
 FROM linked""",
     "op7_substrings": r"""
 WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm.base import checkpoint
@@ -42,12 +42,27 @@ def argument_errors(arguments: F.Column, schema: dict[str, tuple[str, bool]]) ->
     return F.when(joined != "", joined)
 
 
+def positions(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, position): places of calls (conv_id, call_id, depth, turn) in topological order, from 0 in each conversation.
+
+    All calls are sorted once over ranges, so a hot conversation is spread over as many tasks as it fills;
+    a place is that in the range, plus what earlier ranges hold of the conversation.
+    """
+    order = ["conv_id", "depth", "turn", "call_id"]
+    ranged = calls.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = checkpoint(ranged.select("conv_id", "call_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    held = ranged.groupBy("conv_id", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # at most one row a range for a hot conversation
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select("conv_id", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return ranged.join(held, ["conv_id", "part"]).select("conv_id", "call_id", (F.col("at") + F.col("shift")).alias("position"))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """One row per call: conv_id, call_id, turn, name, depth, status, errors, canonical.
+    """One row per call: conv_id, call_id, turn, name, depth, position, status, errors, canonical.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), parent_id (a call that must come first,
-    or null). results: conv_id, call_id, turn, content. Calls in order of (conv_id, depth, turn, call_id)
-    are in topological order. Several calls of one id are one: that of the least turn, name and
+    or null). results: conv_id, call_id, turn, content. position is the place of a call in the topological
+    order of its conversation, which is that of (depth, turn, call_id); calls in or below a cycle have none. Several calls of one id are one: that of the least turn, name and
     arguments, with status `repeated`; of several results of one id the first counts. Other statuses:
     `cycle`, `early` (the result stands before the call), `unanswered`, `linked`. errors is null for valid
     arguments; a tool without a schema is an error. canonical is the call as JSON with keys in order, its
@@ -59,14 +74,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     calls = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "parent_id")).alias("first"), F.count("*").alias("n")).select("conv_id", "call_id", "first.*", "n")
     calls = checkpoint(calls)
     results = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("result"))
-    linked = calls.join(depths(calls), ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "left")
+    deep = checkpoint(calls.select("conv_id", "call_id", "turn").join(depths(calls), ["conv_id", "call_id"]))
+    placed = deep.drop("turn").join(positions(deep.where("depth is not null")), ["conv_id", "call_id"], "left")
+    linked = calls.join(placed, ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "left")
     parsed = linked.withColumn("parsed", F.try_parse_json("arguments"))
     checked = F.lit("unknown tool")
     for name, schema in schemas.items():
         checked = F.when(F.col("name") == name, argument_errors(F.col("parsed"), schema)).otherwise(checked)
     status = F.when(F.col("depth").isNull(), "cycle").when(F.col("n") > 1, "repeated").when(F.col("result").isNull(), "unanswered").when(F.col("result.turn") < F.col("turn"), "early").otherwise("linked")
-    out = parsed.select("conv_id", "call_id", "turn", "name", "depth", status.alias("status"), checked.alias("errors"), "parsed", F.col("result.content").alias("content"))
-    canonical = F.to_json(F.struct(F.col("parsed").alias("arguments"), "call_id", "conv_id", "depth", "errors", "name", F.col("content").alias("result"), "status", "turn"), {"ignoreNullFields": "false"})
+    out = parsed.select("conv_id", "call_id", "turn", "name", "depth", "position", status.alias("status"), checked.alias("errors"), "parsed", F.col("result.content").alias("content"))
+    canonical = F.to_json(F.struct(F.col("parsed").alias("arguments"), "call_id", "conv_id", "depth", "errors", "name", "position", F.col("content").alias("result"), "status", "turn"), {"ignoreNullFields": "false"})
     return out.withColumn("canonical", canonical).drop("parsed", "content")
 
 
@@ -84,10 +101,20 @@ REPLY = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
 
 
 def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, results) of a plain chat: each user turn calls `reply` and needs the call two turns before it; the turn after it is its result."""
-    name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
-    turn = F.col("turn").cast("long")
-    arguments = F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("prompt")))
-    calls = messages.where("role = 'user'").select("conv_id", name(turn).alias("call_id"), turn.alias("turn"), F.lit("reply").alias("name"), arguments.alias("arguments"), name(turn - 2).alias("parent_id"))
-    results = messages.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), turn.alias("turn"), F.col("text").alias("content"))
+    """(calls, results) of a plain chat: each user turn calls `reply` and needs the call two turns before it; the turn after it is its result.
+
+    So that a plain chat has all that logs of tools have, a rule of conversation and turn gives some calls
+    another tool, a turn written as text, arguments that are no JSON, a parent that needs the call in turn, or a
+    second copy, and some results a turn before their call.
+    """
+    turn, conv = F.col("turn").cast("long"), F.col("conv_id")
+    name = lambda n: F.concat(F.lit("call-"), n.cast("string"))
+    rule = lambda n: F.pmod(conv + turn, F.lit(n))
+    plain = F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("prompt")))
+    as_text = F.to_json(F.struct(turn.cast("string").alias("turn"), F.col("text").alias("prompt")))
+    arguments = F.when(rule(7) == 3, as_text).when(rule(7) == 5, F.concat(F.lit("["), turn)).otherwise(plain)
+    parent = F.when((F.pmod(conv, F.lit(13)) == 5) & (F.pmod(turn, F.lit(4)) < 2), turn + 2).otherwise(turn - 2)
+    copies = F.when((F.pmod(conv, F.lit(9)) == 4) & (F.pmod(turn, F.lit(4)) == 0), 2).otherwise(1)
+    calls = messages.where("role = 'user'").select("conv_id", name(turn).alias("call_id"), turn.alias("turn"), F.when(rule(11) == 4, "lookup").otherwise("reply").alias("name"), arguments.alias("arguments"), name(parent).alias("parent_id"), F.explode(F.sequence(F.lit(1), copies)).alias("copy")).drop("copy")
+    results = messages.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), F.when(F.pmod(conv, F.lit(8)) == 6, turn - 2).otherwise(turn).alias("turn"), F.col("text").alias("content"))
     return calls, results

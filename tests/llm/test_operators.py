@@ -392,9 +392,19 @@ def test_tool_calls(spark):
         (3, "q"): (None, "cycle", None),
         (3, "w"): (None, "cycle", "not an object"),
     }
+    assert {k: r["position"] for k, r in got.items()} == {(1, "a"): 0, (1, "b"): 1, (3, "q"): None, (3, "w"): None}
     assert got[1, "a"]["canonical"].startswith('{"arguments":{"a":[1.5],"z":1},"call_id":"a"')
 
 
+def test_positions_of_a_hot_conversation(spark):
+    rng = random.Random(3)
+    rows = [(1, f"c{i}", rng.randint(0, 5), rng.randint(0, 9)) for i in range(3000)] + [(c, f"c{i}", 0, i) for c in range(2, 40) for i in range(3)]
+    got = {(r["conv_id"], r["call_id"]): r["position"] for r in tool_calls.positions(spark.createDataFrame(rows, "conv_id long, call_id string, depth long, turn long")).collect()}
+    for conv in range(1, 40):
+        mine = sorted((d, t, i) for c, i, d, t in rows if c == conv)
+        assert [got[conv, i] for _, _, i in mine] == list(range(len(mine)))
+
+
 def test_word_hashes_and_grouped_texts():
     rng = random.Random(4)
     texts = ["", None, " \t", "a", "a\x00 a", "x" * 70 + " y " + "x" * 70 + "z"] + [" ".join("".join(rng.choices("abé", k=rng.randint(1, 30))) for _ in range(rng.randint(0, 60))) for _ in range(100)]
@@ -518,7 +528,7 @@ def test_odd_and_empty_documents(spark, name):
 def test_empty_chats_vectors_and_pages(spark):
     chats = spark.createDataFrame([(None, 0, "user", "a"), (1, None, "user", "b"), (1, 0, None, "c"), (1, 2, "user", None), (1, 2, "user", None)], "conv_id long, turn long, role string, text string").withColumn("status", F.lit(1))
     rows = tool_calls.link(*tool_calls.turn_calls(chats), tool_calls.REPLY).collect()
-    assert [(r["call_id"], r["status"], r["errors"]) for r in rows] == [("call-2", "repeated", "prompt is missing")]
+    assert [(r["call_id"], r["status"], r["errors"]) for r in rows] == [("call-2", "repeated", "prompt is missing; turn is not integer")]
     assert tool_calls.link(*tool_calls.turn_calls(chats.limit(0)), tool_calls.REPLY).count() == 0
     points = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None)], "vec_id long, embedding array<double>").withColumn("rep", F.lit(0))
     assert vectors.near_duplicates(points).count() == 4 and vectors.near_duplicates(points.limit(0)).count() == 0
