@@ -35,10 +35,19 @@ def byte_letters() -> dict[str, int]:
 
 
 def load_vocabulary(path: str) -> dict:
-    """What encoding needs of a tokenizer file: bytes of each id, ranks of merges, special strings."""
+    """What encoding needs of a tokenizer file: bytes of each id, ranks of merges, special strings.
+
+    The file is of byte-level BPE with the split of PIECES, no prefix space and no normaliser, and its added
+    tokens stand for their exact strings; others are refused.
+    """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, letters = spec["model"], byte_letters()
+    steps = [spec.get("pre_tokenizer") or {}, *(spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or any(s.get("add_prefix_space") for s in steps):
+        raise ValueError("not a byte-level BPE file without normaliser and prefix space")
+    if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token takes in what stands around it")
     as_bytes = lambda token: bytes(letters[c] for c in token)
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     return {
@@ -95,6 +104,8 @@ class PrefixBPE(dict):
                     fits = pairs.get(before << 32 | token)
                     if self.compatible(before, token) if fits is None else fits:
                         last[end], sizes[end] = token, size
+        if data and last[-1] < 0:
+            raise ValueError(f"the vocabulary lacks a byte of {data[:40]!r}")
         out, end = [], len(data)
         while end:
             out.append(last[end])
@@ -138,7 +149,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     """docs without the text column, with its ids and the text decoded from them.
 
     The vocabulary is read once and broadcast; its size is the tokenizer's, whatever the input. A null
-    text counts as empty and gives no ids. Special strings inside a text become their one id, as the
+    text counts as empty and gives no ids; a null id or other column stays as it is, and rows that repeat are encoded
+    alike. A very long text takes one pass over it, piece by piece. An empty table gives an empty result. Special strings inside a text become their one id, as the
     tokenizers library does by default. Columns named like the results are replaced.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(tokenizer_path))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docketlake.llm import bpe, decontaminate, html, language, licences, near_dup, pii, substrings, tool_calls, vectors
 from docketlake.llm.base import read
 
-#: Vocabulary file of op8; any byte-level BPE file of the tokenizers library will do.
+#: Vocabulary file of op8: byte-level BPE without normaliser and prefix space.
 TOKENIZER = "byte_bpe_50k.json"
 
 
