@@ -49,12 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and read again."""
-    sc = spark.sparkContext
-    base.checkpoint(spark.range(0))  # sets a folder where none is set
-    folder = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = base.read(spark, sf_dir, "documents")
+    """Apply the stages to documents; each result is written to the shared folder and read again.
+
+    A stage's folder goes once the next stage is written, so at most two are kept; the last one stays, as the result reads it.
+    """
+    folder = f"{base.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = base.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            base.remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
