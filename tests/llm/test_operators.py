@@ -484,16 +484,30 @@ def test_licence_base_places_against_brute_force(spark):
 
 
 def test_pipeline_against_plain_version(spark):
+    """Ids, redacted texts and tokens of every document, by plain versions of the stages."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
-    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
     texts = {r["doc_id"]: r["text"] for r in table if r["text"] and any(c.isalpha() for c in r["text"])}
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.lower().split()]}
     kept = _components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
     items = [decontaminate.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    leaked = {i for i, t in texts.items() if any(x in decontaminate.normalise(t) for x in items)}
-    assert got == {i for i in texts if kept[i] == i and i not in leaked}
+    leaked = {i for i, t in texts.items() if any(f" {x} " in f" {decontaminate.normalise(t)} " for x in items)}
+    assert set(got) == {i for i in texts if kept[i] == i and i not in leaked}
+    theirs, langs, redacted = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER)), {r["doc_id"]: r["lang"] for r in table}, 0
+    for i, r in got.items():
+        clean, at = [], 0
+        for s, k, e in pii.all_spans(texts[i])[1]:  # spans against plain versions: see the tests of op3
+            if s >= at:
+                clean += [texts[i][at:s], f"[{pii.KINDS[k].upper()}]"]
+            at = max(at, e)
+        clean = "".join(clean) + texts[i][at:]
+        redacted += clean != texts[i]
+        assert r["ids"] == theirs.encode(clean, add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"]) and r["round_trip"] and r["lang"] == langs[i]
+    assert redacted > 0
 
 
 def _odd_documents(spark):
