@@ -15,6 +15,8 @@ from docketlake.llm.base import checkpoint, map_batches, rolling, text_groups, w
 #: A broadcast filter has about this many bits a key, and at most 2^MOST_BITS in all (128 MB). A fuller filter sends more rows, with the same result.
 BITS_A_KEY, MOST_BITS = 16, 30
 PREFIX = 6
+#: Segments that a task holds to merge copies before it sends them.
+SENT_ROWS = 200_000
 
 
 class Suffixes:
@@ -141,18 +143,25 @@ def repeated_suffixes(docs: DataFrame, width: int, group_rows: int = 5000, batch
     filters = spark.sparkContext.broadcast((_filter_of(counted), _filter_of(counted.where(F.col("count") > group_rows))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, bytes], list[int]] = {}  # copies within a task go as one row, but for what fills it
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(p, s, lo, lo != hi) for (p, s), (lo, hi) in least.items()]
+            least.clear()
+            for k in range(0, len(rows), 20_000):
+                part = list(zip(*rows[k : k + 20_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["prefix", "segment", "doc", "more"])
+
         for batch in batches:
-            least: dict[tuple[int, bytes], list[int]] = {}
             ids = batch.column(0).to_pylist()
             for first, group in text_groups(batch.column(1).to_pylist()):
                 for k, prefix, segment, _ in Suffixes(group, width).segments(*filters.value):
                     doc = ids[first + k]
-                    seen = least.setdefault((prefix, segment), [doc, doc])  # copies within a batch go as one row
+                    seen = least.setdefault((prefix, segment), [doc, doc])
                     seen[:] = min(seen[0], doc), max(seen[1], doc)
-            rows = [(p, s, lo, lo != hi) for (p, s), (lo, hi) in least.items()]
-            for k in range(0, len(rows), 20_000):
-                part = list(zip(*rows[k : k + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["prefix", "segment", "doc", "more"])
+                if len(least) >= SENT_ROWS:
+                    yield from flush()
+        yield from flush()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list[tuple[int, bytes, int]] = []
@@ -211,7 +220,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty result. Other columns are not read. `width` is over PREFIX + 1 and at most 20.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    marks = repeated_suffixes(source.where("doc is not null"), width).groupBy("doc").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))  # at most one a word
+    found = checkpoint(repeated_suffixes(source.where("doc is not null"), width))
+    marks = found.groupBy("doc").agg(F.collect_set(F.struct("start", "bits")).alias("marks"))  # at most one a word
+    # documents that lose nothing are not shuffled: a filter of the others is broadcast
+    losing = source.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.col("doc").alias("prefix")).distinct()))
+
+    def may_lose(ids: pa.Array) -> np.ndarray:
+        return _has(losing.value, ids.fill_null(0).to_numpy().view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_lose(batch.column(0))))
+
+    def keep_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~may_lose(batch.column(0))))
+            words = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array(np.zeros(len(words), np.int64)), pa.array([b" ".join(w).decode("utf-8", "replace") for w in words], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,4 +257,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return map_batches(source.join(marks, "doc", "left").select("doc", "text", "marks"), cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    result = "doc_id long, n_words long, n_removed long, kept_text string"
+    marked = map_batches(source, pass_on, "doc long, text string").join(marks, "doc", "left").select("doc", "text", "marks")
+    return map_batches(source, keep_whole, result).union(map_batches(marked, cut, result))
