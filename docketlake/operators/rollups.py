@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlake.functions.text import blank
@@ -84,3 +84,59 @@ def run_outcome(statuses: DataFrame, errors: DataFrame) -> DataFrame:
 
 def completeness(material_gap: Column, probe_failures: Column) -> Column:
     return F.when(material_gap, "inventory_incomplete").when(probe_failures, "inventory_complete_with_errors").otherwise("inventory_complete")
+
+
+def dashboard(sessions: DataFrame, boundary: str, states: DataFrame, bills: DataFrame, docs: DataFrame, probes: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row of the archive's scalars. Without the boundary session, no session is in scope."""
+    since = sessions.where(C("session_key") == boundary).agg(F.min("begin_date").alias("since"))  # one row
+    sized = docs.join(probes.groupBy("doc_key").agg(F.max("content_length").alias("size")), "doc_key", "left")
+    current, kind, status = C("source_presence") != "missing", C("document_kind"), C("download_status")
+    done = C("run_type").eqNullSafe("inventory_backfill") & C("status").isin("completed", "completed_with_errors")
+    return one_row([
+        sessions.crossJoin(F.broadcast(since)).agg(F.count_if(C("begin_date") >= C("since")).alias("sessions_in_scope")),
+        states.agg(F.count_if(C("inventory_status").isin("inventory_complete", "inventory_complete_with_errors")).alias("sessions_inventory_complete")),
+        bills.agg(F.count("*").alias("bills")),
+        sized.agg(
+            F.count("*").alias("documents_discovered"),
+            F.count_if(kind == "public_testimony").alias("public_testimony"),
+            F.count_if(kind.isin("legacy_testimony", "committee_presentation")).alias("presentation_legacy"),
+            F.count_if(kind == "floor_letter").alias("floor_letters"),
+            F.count_if((status == "downloaded") & (C("validation_status") == "valid") & C("has_version")).alias("documents_downloaded"),
+            F.count_if(status.isin("failed_retryable", "failed_terminal")).alias("download_failures"),
+            when_sum(C("downloaded_bytes"), status == "downloaded").alias("archive_bytes"),
+            when_sum(C("size"), current).alias("known_remote_bytes"),
+            F.count_if(current & C("size").isNotNull()).alias("known_size_documents"),
+            F.count_if(current & ~blank(C("canonical_download_url")) & C("size").isNull()).alias("unknown_size_documents"),
+        ),
+        runs.agg(F.max(F.when(done, C("finished_at"))).alias("last_historical_inventory")),
+    ])
+
+
+def finished_runs(runs: DataFrame, items: DataFrame, historical: list[str]) -> DataFrame:
+    """(run_id, outcome) of runs that end now: canceled and paused stay; fatal without any bill is failed; errors, or
+    sessions that a historical run left incomplete or failed, are completed_with_errors; else completed."""
+    failed = items.where((C("item_type") == "session") & C("status").isin("failed_retryable", "failed_terminal")).groupBy("run_id").agg(F.count("*").alias("failed_sessions"))
+    left_open = (C("sessions_incomplete") > 0) | (C("sessions_failed") > 0) | (F.coalesce("failed_sessions", F.lit(0)) > 0)
+    errors = (C("error_count") > 0) | C("run_type").isin(historical) & left_open
+    outcome = F.when(C("status").isin("canceled", "paused"), C("status")).when(C("fatal_error").isNotNull() & (C("bills_completed") == 0), "failed").when(errors, "completed_with_errors").otherwise("completed")
+    return runs.join(failed, "run_id", "left").select("run_id", outcome.alias("outcome"))
+
+
+def newest_of_each(rows: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
+    """The first rows of each key in an order that leaves no ties. Spark keeps only `limit` rows a key and task before it shuffles."""
+    return rows.withColumn("rn_", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(C("rn_") <= limit).drop("rn_")
+
+
+def bill_details(sponsors: DataFrame, docs: DataFrame, agenda: DataFrame) -> DataFrame:
+    """(bill_id, part, section, entries, n): sponsors by bucket in print order, documents by kind, agenda by date.
+
+    sponsors: bill_id, section, print_order, name and more columns to break ties. Each list is one bill's section.
+    """
+
+    def listed(rows: DataFrame, part: str, section: Column, value: str, order: list[Column | str]) -> DataFrame:
+        sorted_rows = F.sort_array(F.collect_list(F.struct(*[c if isinstance(c, str) else c.alias(f"o{k}") for k, c in enumerate(order)], C(value).cast("string").alias("entry"))))
+        return rows.groupBy("bill_id", section.alias("section")).agg(F.array_join(F.transform(sorted_rows, lambda x: x["entry"]), ",").alias("entries"), F.count("*").alias("n")).select("bill_id", F.lit(part).alias("part"), "section", "entries", "n")
+
+    ties = [c for c in sponsors.columns if c not in ("bill_id", "section", "print_order", "name")]
+    by_order = listed(sponsors, "sponsors", C("section"), "name", [F.coalesce("print_order", F.lit(2147483647)), C("name"), *ties])
+    return by_order.union(listed(docs, "documents", C("document_kind"), "doc_key", ["doc_key"])).union(listed(agenda, "agenda", F.lit("agenda"), "at", ["at", "ident"]))

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from docketlake.plans import model_queries, scalar_queries, state_queries  # noqa: F401, I001
+    from docketlake.plans import detail_queries, model_queries, scalar_queries, state_queries  # noqa: F401, I001
     from docketlake.plans import job_queries  # noqa: F401
 
 
