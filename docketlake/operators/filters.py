@@ -82,3 +82,11 @@ def valid_completed(recorded: DataFrame, listing: DataFrame) -> DataFrame:
     found = recorded.join(listing.select(F.col("path").alias("listed"), "length"), F.col("local_path") == F.col("listed"), "left")
     named = F.element_at(F.split("local_path", "/"), -1) == F.col("file_name")
     return found.withColumn("valid", F.coalesce((F.col("validation_status") == "valid") & named & (F.col("length") == F.col("downloaded_bytes")), F.lit(False))).drop("listed", "length")
+
+
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """Rows of one whole key. The conditions reach the scan, so row groups of other keys are not read."""
+    where = F.lit(True)
+    for name, value in keys.items():
+        where = where & (F.col(name) == value)
+    return rows.where(where)

@@ -120,3 +120,9 @@ def current(spark, root: str) -> DataFrame:
     """The published snapshot of the largest version."""
     path = spark.read.schema("version string, path string").json(f"{root}/current").agg(F.max_by("path", "version")).first()[0]
     return spark.read.parquet(path)
+
+
+def redelivered(first: DataFrame, source: DataFrame, key: str, at: str, cursor: Column) -> DataFrame:
+    """(key, last_at, deliveries) of a load and of the next one, which reads again all rows at or after the cursor: late rows are those delivered twice."""
+    again = source.where(C(at) >= cursor)
+    return first.select(key, at).union(again.select(key, at)).groupBy(key).agg(F.max(at).alias("last_at"), F.count("*").alias("deliveries"))

@@ -28,3 +28,17 @@ def keyset_page(rows: DataFrame, key: str, after: int, size: int) -> DataFrame:
 def with_total(page_rows: DataFrame, rows: DataFrame) -> DataFrame:
     """A page with the exact number of rows that the filter has."""
     return page_rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+
+#: Orders of lists by name: columns, with - before those that descend. Ascending ones have nulls first, descending ones last.
+ORDERS = {
+    "sessions": "-begin_date -session_key",
+    "legislators": "session_key last_name first_name legislator_code",
+    "committees": "session_key committee_name committee_code",
+    "bill_documents": "bill_id document_kind meeting_date source_id",
+    "versions": "document -version",
+}
+
+
+def named_order(order: str) -> list[Column]:
+    return [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_first() for c in order.split()]

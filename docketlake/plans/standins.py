@@ -17,7 +17,7 @@ VIEWS = {
     "item": "SELECT user_id AS run_id, event_id AS item_key, CASE event_type WHEN 'view' THEN 'completed' WHEN 'click' THEN 'skipped' WHEN 'purchase' THEN 'queued' WHEN 'signup' THEN 'failed_retryable' ELSE 'failed_terminal' END AS status, ts FROM {events}",
     "before": "SELECT o_orderkey AS k, o_orderstatus AS v, o_orderdate AS d FROM {orders} WHERE o_orderkey % 10 <> 3",
     "after": "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS v, o_orderdate AS d FROM {orders} WHERE o_orderkey % 10 <> 7",
-    "rawmeasure": "SELECT concat(CAST(year(o_orderdate) AS string), 'R1') AS SessionKey, CASE CAST(o_orderkey % 5 AS int) WHEN 0 THEN 'hb' WHEN 1 THEN 'SB' WHEN 2 THEN 'hjr' WHEN 3 THEN 'SCR' ELSE 'X' END AS MeasurePrefix, o_orderkey % 100000 AS MeasureNumber, concat(' ', o_orderpriority, ' ') AS RelatingTo, CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE o_orderpriority END AS CatchLine, o_orderstatus AS CurrentVersion, CASE CAST(o_orderkey % 4 AS int) WHEN 0 THEN 'true' WHEN 1 THEN 'No' WHEN 2 THEN ' 1 ' END AS Vetoed, CASE WHEN o_orderkey % 2 = 0 THEN 'y' ELSE 'FALSE' END AS EmergencyClause, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS string) END AS ChapterNumber, o_custkey AS LCNumber, CAST(o_orderdate AS string) AS ModifiedDate FROM {orders}",
+    "rawmeasure": "SELECT concat(CAST(year(o_orderdate) AS string), 'R1') AS SessionKey, CASE CAST(o_orderkey % 5 AS int) WHEN 0 THEN 'hb' WHEN 1 THEN 'SB' WHEN 2 THEN 'hjr' WHEN 3 THEN 'SCR' ELSE 'X' END AS MeasurePrefix, o_orderkey AS MeasureNumber, concat(' ', o_orderpriority, ' ') AS RelatingTo, CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE o_orderpriority END AS CatchLine, o_orderstatus AS CurrentVersion, CASE CAST(o_orderkey % 4 AS int) WHEN 0 THEN 'true' WHEN 1 THEN 'No' WHEN 2 THEN ' 1 ' END AS Vetoed, CASE WHEN o_orderkey % 2 = 0 THEN 'y' ELSE 'FALSE' END AS EmergencyClause, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS string) END AS ChapterNumber, o_custkey AS LCNumber, CAST(o_orderdate AS string) AS ModifiedDate FROM {orders}",
     "rawperson": "SELECT concat(CAST(1992 + c_custkey % 7 AS string), 'R1') AS SessionKey, concat('L', CAST(c_custkey AS string)) AS LegislatorCode, concat(' ', c_mktsegment) AS FirstName, CASE WHEN c_custkey % 6 = 0 THEN ' ' ELSE c_name END AS LastName, CASE CAST(c_custkey % 3 AS int) WHEN 0 THEN 'h' WHEN 1 THEN 'Senate' ELSE 'J' END AS Chamber, CASE WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'no' END AS Active, c_nationkey AS DistrictNumber FROM {customer}",
     "rawcommittee": "SELECT '1995R1' AS SessionKey, concat('C', CAST(s_suppkey AS string)) AS CommitteeCode, concat(s_name, '  Board') AS CommitteeName, CASE WHEN s_suppkey % 2 = 0 THEN 'H' ELSE 'S' END AS HouseOfAction, s_nationkey AS CommitteeId FROM {supplier}",
     "rawdoc": "SELECT DISTINCT concat(CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string), '-', CAST(l_partkey AS string), '-', CAST(l_suppkey AS string)) AS ident, l_orderkey AS bill_id, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE concat('Part  ', CAST(l_partkey AS string)) END AS title, CASE CAST(l_partkey % 4 AS int) WHEN 0 THEN 'Presentation' WHEN 1 THEN 'Agenda' WHEN 2 THEN 'Map' END AS kind, concat('C', CAST(l_suppkey AS string)) AS code, CASE WHEN l_suppkey % 3 > 0 THEN concat('https://example.org/d/', CAST(l_partkey AS string)) END AS url, CASE WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 'house' END AS chamber, CAST(l_shipdate AS string) AS held, l_linenumber AS n, l_suppkey AS who FROM {lineitem}",
@@ -26,6 +26,11 @@ VIEWS = {
     "werr": "SELECT event_id AS id, user_id AS run_id, concat(CAST(1992 + event_id % 7 AS string), 'R1') AS session_key, concat('HB', CAST(event_id % 200 AS string)) AS bill, CASE CAST(event_id % 3 AS int) WHEN 0 THEN 'download_documents' WHEN 1 THEN 'inventory' ELSE 'reconcile' END AS stage, CASE WHEN event_id % 2 = 0 THEN 'FloorLetter' ELSE 'CommitteeMeetingDocument' END AS source_entity_type, CAST(event_id % 50 AS string) AS source_id, CASE WHEN event_id % 4 > 0 THEN event_id % 6000 END AS document_id, CASE WHEN event_id % 5 < 3 THEN 'HttpError' ELSE 'Timeout' END AS error_class, (event_id % 3 = 0) AS retryable, props AS message, 1 + event_id % 5 AS attempt_count, ts AS first_occurred_at, ts AS last_occurred_at, CASE WHEN event_id % 4 = 0 THEN ts END AS resolved_at, concat('https://example.org/', CAST(event_id AS string)) AS source_url FROM {events} WHERE event_type IN ('error', 'click')",
     "wanom": "SELECT event_id AS id, user_id AS first_run_id, user_id % 40 AS last_run_id, concat(CAST(1992 + event_id % 7 AS string), 'R1') AS session_key, CASE WHEN event_id % 3 > 0 THEN concat('HB', CAST(event_id % 200 AS string)) END AS bill, CASE WHEN event_id % 2 = 0 THEN 'FloorLetter' ELSE 'CommitteeMeetingDocument' END AS source_entity_type, CAST(event_id % 50 AS string) AS source_id, CASE WHEN event_id % 4 > 0 THEN event_id % 6000 END AS document_id, CASE CAST(event_id % 4 AS int) WHEN 0 THEN 'source_only' WHEN 1 THEN 'page_only' WHEN 2 THEN 'count_mismatch' ELSE 'type_drift' END AS anomaly_type, CASE CAST(event_id % 3 AS int) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'error' END AS severity, (event_id % 6 = 0) AS affects_completeness, props AS message, 1 + event_id % 4 AS occurrence_count, ts AS first_observed_at, ts AS last_observed_at, CASE WHEN event_id % 5 = 0 THEN ts END AS resolved_at, concat('https://example.org/', CAST(event_id AS string)) AS source_url FROM {events} WHERE event_type IN ('signup', 'view')",
     "docid": "SELECT o_orderkey AS document_id, CASE CAST(o_orderkey % 3 AS int) WHEN 0 THEN 'public_testimony' WHEN 1 THEN 'floor_letter' ELSE 'committee_presentation' END AS document_kind, CASE WHEN o_orderkey % 5 = 0 THEN 503 WHEN o_orderkey % 5 = 1 THEN 404 END AS http_status, concat(CAST(year(o_orderdate) AS string), 'R1') AS session_key, concat('HB', CAST(o_orderkey AS string)) AS bill, o_orderkey % 400 AS bill_id FROM {orders}",
+    "inbill": "SELECT concat(CAST(year(o_orderdate) AS string), 'R1') AS session_key, CASE CAST(o_orderkey % 5 AS int) WHEN 0 THEN 'hb' WHEN 1 THEN 'SB' WHEN 2 THEN 'HJR' WHEN 3 THEN 'SCR' ELSE 'SM' END AS measure_prefix, o_orderkey AS measure_number, CASE WHEN o_orderkey % 13 = 0 THEN 'HB 1' WHEN o_orderkey % 5 = 1 THEN concat('sb-', CAST(o_orderkey AS string)) END AS bill_id_compact, CASE WHEN o_orderkey % 17 = 0 THEN 'Joint' WHEN o_orderkey % 5 = 2 THEN ' House' END AS bill_chamber, CASE WHEN o_orderkey % 19 = 0 THEN 'Petition' END AS measure_type, o_orderpriority AS bill_title FROM {orders} WHERE o_orderkey % 10 <> 7",
+    "oldbill": "SELECT concat(CAST(year(o_orderdate) AS string), 'R1') AS session_key, concat(CASE CAST(o_orderkey % 5 AS int) WHEN 0 THEN 'HB' WHEN 1 THEN 'SB' WHEN 2 THEN 'HJR' WHEN 3 THEN 'SCR' ELSE 'SM' END, CAST(o_orderkey AS string)) AS bill_id_compact, 'old' AS bill_title, CASE WHEN o_orderkey % 4 = 0 THEN 'missing' ELSE 'active' END AS source_presence, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END AS missing_since, o_orderdate AS first_collected_at FROM {orders} WHERE o_orderkey % 10 <> 3",
+    "refs": "SELECT c_custkey AS k, concat(CAST(1992 + c_custkey % 7 AS string), 'R1') AS session_key, CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE concat('K', CAST(c_custkey AS string)) END AS code, c_name AS name, c_mktsegment AS seg FROM {customer}",
+    "found": "SELECT CASE CAST(event_id % 3 AS int) WHEN 0 THEN 'source_only' WHEN 1 THEN 'page_only' ELSE 'type_drift' END AS anomaly_type, CASE WHEN event_id % 4 = 0 THEN ' 1999r1' END AS session_key, CASE WHEN event_id % 5 = 0 THEN 'HB7' END AS bill, CASE WHEN event_id % 3 > 0 THEN user_id * 7 END AS document_id, CASE WHEN event_id % 2 = 0 THEN user_id END AS bill_id, 'FloorLetter' AS source_entity_type, CAST(user_id AS string) AS source_id, CAST(NULL AS string) AS previous_value, CASE WHEN user_id % 2 = 0 THEN event_type END AS current_value, event_type AS message, CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'error' END AS severity, event_id AS run_id, ts AS at_, event_id % 2 = 0 AS late FROM {events}",
+    "billid": "SELECT o_orderkey AS bill_id, concat(CAST(year(o_orderdate) AS string), 'R1') AS session_key, concat('SB', CAST(o_orderkey AS string)) AS bill FROM {orders}",
     "source_side": "SELECT doc_id AS id, text FROM {documents} WHERE doc_id % 5 <> 0",
     "page_side": "SELECT doc_id AS id, text FROM {documents} WHERE doc_id % 7 <> 0",
 }
