@@ -14,14 +14,14 @@ C = F.col
 n_ = lambda: F.count("*").alias("n")
 
 
-@query("SELECT d.doc_key, b.session_key, p.content_length FROM doc d JOIN bill b ON d.bill_id = b.bill_id LEFT JOIN probe p ON d.doc_key = p.doc_key WHERE d.document_kind = 'floor_letter'")
+@query("SELECT d.doc_key, d.document_kind, b.session_key, p.content_length FROM doc d JOIN bill b ON d.bill_id = b.bill_id LEFT JOIN probe p ON d.doc_key = p.doc_key")
 def d1_documents_bills_probes(t: Tables) -> DataFrame:
-    return t.doc.where("document_kind = 'floor_letter'").join(t.bill, "bill_id").join(t.probe, "doc_key", "left").select("doc_key", "session_key", "content_length")
+    return t.doc.join(t.bill.select("bill_id", "session_key"), "bill_id").join(t.probe, "doc_key", "left").select("doc_key", "document_kind", "session_key", "content_length")
 
 
-@query("SELECT i.item_key, i.run_id, coalesce(d.bill_id, CASE WHEN i.item_key % 2 = 0 THEN i.item_key END) AS bill_id, b.session_key FROM item i LEFT JOIN (SELECT bill_id, min(doc_key) AS doc_key FROM doc WHERE source_id = 1 GROUP BY 1) d ON i.item_key = d.bill_id LEFT JOIN bill b ON b.bill_id = coalesce(d.bill_id, CASE WHEN i.item_key % 2 = 0 THEN i.item_key END)")
+@query("SELECT i.item_key, i.run_id, coalesce(d.bill_id, CASE WHEN i.item_key % 2 = 0 THEN i.item_key END) AS bill_id, b.session_key FROM item i LEFT JOIN (SELECT bill_id, min(doc_key) AS doc_key FROM doc GROUP BY 1) d ON i.item_key = d.bill_id LEFT JOIN bill b ON b.bill_id = coalesce(d.bill_id, CASE WHEN i.item_key % 2 = 0 THEN i.item_key END)")
 def d2_items(t: Tables) -> DataFrame:
-    docs = t.doc.where("source_id = 1").groupBy(C("bill_id").alias("doc_bill")).agg(F.min("doc_key"))
+    docs = t.doc.groupBy(C("bill_id").alias("doc_bill")).agg(F.min("doc_key"))
     items = t.item.join(docs, C("item_key") == C("doc_bill"), "left").withColumn("key", F.coalesce("doc_bill", F.when(C("item_key") % 2 == 0, C("item_key"))))
     return items.join(t.bill.select(C("bill_id").alias("b"), "session_key"), C("key") == C("b"), "left").select("item_key", "run_id", C("key").alias("bill_id"), "session_key")
 
@@ -66,9 +66,9 @@ def d12_parents(t: Tables) -> DataFrame:
     return rollups.one_row([t.doc.agg(F.count("*").alias("children")), orphans])
 
 
-@query("SELECT d.bill_id, d.source_id, i.ts FROM (SELECT DISTINCT bill_id, source_id FROM doc WHERE source_id <= 2) d LEFT JOIN item i ON d.bill_id = i.item_key")
+@query("SELECT d.bill_id, d.source_id, i.ts FROM (SELECT DISTINCT bill_id, source_id FROM doc) d LEFT JOIN item i ON d.bill_id = i.item_key")
 def d13_agenda(t: Tables) -> DataFrame:
-    return t.doc.where("source_id <= 2").select("bill_id", "source_id").distinct().join(t.item, C("bill_id") == C("item_key"), "left").select("bill_id", "source_id", "ts")
+    return t.doc.select("bill_id", "source_id").distinct().join(t.item, C("bill_id") == C("item_key"), "left").select("bill_id", "source_id", "ts")
 
 
 @query("SELECT d.doc_key, i.status, p.content_length FROM doc d LEFT JOIN item i ON d.bill_id = i.item_key AND i.status <> 'completed' LEFT JOIN probe p ON d.doc_key = p.doc_key WHERE d.download_status = 'downloaded'")
@@ -188,10 +188,12 @@ def e13_reconciliation_counts(t: Tables) -> DataFrame:
     return both.select(F.when(C("s").isNull(), "page_only").when(C("p").isNull(), "source_only").otherwise("matched").alias("side")).groupBy("side").agg(n_())
 
 
-@query("SELECT session_key, CASE min(r) WHEN 0 THEN 'failed_fetch' WHEN 1 THEN 'parser_anomalous' WHEN 2 THEN 'checked_with_records' WHEN 3 THEN 'checked_zero' ELSE 'not_applicable' END AS display_status FROM (SELECT session_key, bill_id % 3 + 2 AS r FROM bill WHERE source_presence = 'unknown') GROUP BY 1")
+@query("SELECT session_key, CASE min(r) WHEN 0 THEN 'failed_fetch' WHEN 1 THEN 'parser_anomalous' WHEN 2 THEN 'checked_with_records' WHEN 3 THEN 'checked_zero' ELSE 'not_applicable' END AS display_status FROM (SELECT session_key, CASE WHEN CAST(substr(session_key, 1, 4) AS INT) % 4 = 0 THEN 4 WHEN source_presence = 'missing' AND CAST(substr(session_key, 1, 4) AS INT) % 4 = 1 THEN 0 WHEN source_presence = 'unknown' AND CAST(substr(session_key, 1, 4) AS INT) % 4 = 2 THEN 1 ELSE CAST(bill_id % 2 AS INT) + 2 END AS r FROM bill) GROUP BY 1")
 def e14_display_status(t: Tables) -> DataFrame:
     names = F.array(*map(F.lit, ["failed_fetch", "parser_anomalous", "checked_with_records", "checked_zero", "not_applicable"]))
-    ranked = t.bill.where("source_presence = 'unknown'").select("session_key", (C("bill_id") % 3 + 2).cast("int").alias("r"))
+    year = F.substring("session_key", 1, 4).cast("int") % 4
+    rank = F.when(year == 0, 4).when((C("source_presence") == "missing") & (year == 1), 0).when((C("source_presence") == "unknown") & (year == 2), 1).otherwise((C("bill_id") % 2).cast("int") + 2)
+    ranked = t.bill.select("session_key", rank.alias("r"))
     return ranked.groupBy("session_key").agg(F.min("r").alias("r")).select("session_key", F.element_at(names, C("r") + 1).alias("display_status"))
 
 
@@ -200,9 +202,9 @@ def e15_open_errors(t: Tables) -> DataFrame:
     return filters.open_rows(t.err).groupBy("run_id").agg(F.count("*").alias("open_errors"))
 
 
-@query("SELECT i.run_id, CASE WHEN done = 0 AND fatal > 0 THEN 'failed' WHEN failed > 0 OR coalesce(o, 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS outcome FROM (SELECT run_id, count(*) FILTER (status = 'completed') AS done, count(*) FILTER (status = 'failed_terminal') AS fatal, count(*) FILTER (status LIKE 'failed%') AS failed FROM item WHERE item_key % 40 < 3 GROUP BY 1) i LEFT JOIN (SELECT run_id, count(*) AS o FROM err WHERE resolved_at IS NULL AND id % 50 = 1 GROUP BY 1) e ON e.run_id = i.run_id")
+@query("SELECT i.run_id, CASE WHEN done = 0 AND fatal > 0 THEN 'failed' WHEN failed > 0 OR coalesce(o, 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS outcome FROM (SELECT run_id, count(*) FILTER (status = 'completed') AS done, count(*) FILTER (status = 'failed_terminal') AS fatal, count(*) FILTER (status LIKE 'failed%') AS failed FROM item GROUP BY 1) i LEFT JOIN (SELECT run_id, count(*) AS o FROM err WHERE resolved_at IS NULL GROUP BY 1) e ON e.run_id = i.run_id")
 def e16_run_outcome(t: Tables) -> DataFrame:
-    return rollups.run_outcome(t.item.where("item_key % 40 < 3"), t.err.where("id % 50 = 1"))
+    return rollups.run_outcome(t.item, t.err)
 
 
 @query("SELECT i.run_id, CASE WHEN done = 0 AND fatal > 0 THEN 'failed' WHEN failed > 0 OR coalesce(o, 0) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS outcome FROM (SELECT run_id, count(*) FILTER (status = 'completed') AS done, count(*) FILTER (status = 'failed_terminal') AS fatal, count(*) FILTER (status LIKE 'failed%') AS failed FROM item GROUP BY 1) i LEFT JOIN (SELECT run_id, count(*) AS o FROM err WHERE resolved_at IS NULL GROUP BY 1) e ON e.run_id = i.run_id")
@@ -216,9 +218,9 @@ def e17_completeness(t: Tables) -> DataFrame:
     return t.bill.groupBy("session_key").agg(rollups.completeness(gap, F.bool_or((C("source_presence") == "unknown") & (C("bill_id") % 70 == 0))).alias("status"))
 
 
-@query("SELECT b.session_key, CASE WHEN bool_or(download_status = 'failed_retryable') THEN 'retryable' WHEN bool_or(download_status = 'failed_terminal') THEN 'terminal' ELSE 'completed' END AS outcome FROM doc d JOIN bill b ON d.bill_id = b.bill_id WHERE d.bill_id % 2000 < 30 GROUP BY 1")
+@query("SELECT b.session_key, CASE WHEN bool_or(download_status = 'failed_retryable') THEN 'retryable' WHEN bool_or(download_status = 'failed_terminal') THEN 'terminal' ELSE 'completed' END AS outcome FROM doc d JOIN bill b ON d.bill_id = b.bill_id GROUP BY 1")
 def e18_download_outcome(t: Tables) -> DataFrame:
-    both = t.doc.where("bill_id % 2000 < 30").join(t.bill.select("bill_id", "session_key"), "bill_id")
+    both = t.doc.join(t.bill.select("bill_id", "session_key"), "bill_id")
     return both.groupBy("session_key").agg(F.when(F.bool_or(C("download_status") == "failed_retryable"), "retryable").when(F.bool_or(C("download_status") == "failed_terminal"), "terminal").otherwise("completed").alias("outcome"))
 
 
@@ -398,7 +400,7 @@ def r7_retry_documents(t: Tables) -> DataFrame:
     return found.groupBy("doc_key", "session_key").agg(F.max("last_attempt").alias("last_attempt"))
 
 
-@query("SELECT d.bill_id, CASE WHEN document_kind IN ('public_testimony', 'legacy_testimony') THEN 'testimony' ELSE document_kind END AS section, count(*) AS n, max(first_seen_at) AS latest FROM doc d JOIN bill b ON d.bill_id = b.bill_id WHERE session_key = '1996R1' GROUP BY 1, 2")
+@query("SELECT d.bill_id, CASE WHEN document_kind IN ('public_testimony', 'legacy_testimony') THEN 'testimony' ELSE document_kind END AS section, count(*) AS n, max(first_seen_at) AS latest FROM doc d JOIN bill b ON d.bill_id = b.bill_id GROUP BY 1, 2")
 def r9_bill_detail(t: Tables) -> DataFrame:
     section = F.when(C("document_kind").endswith("testimony"), "testimony").otherwise(C("document_kind"))
-    return t.doc.join(t.bill.where("session_key = '1996R1'").select("bill_id"), "bill_id").groupBy("bill_id", section.alias("section")).agg(n_(), F.max("first_seen_at").alias("latest"))
+    return t.doc.join(t.bill.select("bill_id"), "bill_id").groupBy("bill_id", section.alias("section")).agg(n_(), F.max("first_seen_at").alias("latest"))

@@ -60,12 +60,12 @@ def a6_select_range(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH req AS (SELECT DISTINCT source AS entity, lang AS property FROM documents), act AS (SELECT DISTINCT source AS entity, lang AS property FROM documents WHERE doc_id % 11 = 0 AND source <> 'src3'),
+WITH req AS (SELECT DISTINCT source AS entity, lang AS property FROM documents), act AS (SELECT DISTINCT source AS entity, lang AS property FROM documents WHERE n_chars >= 2000 AND source <> 'src3'),
 miss AS (SELECT r.*, r.entity IN (SELECT entity FROM act) AS there FROM req r WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.entity = r.entity AND a.property = r.property))
 SELECT entity, property, 'missing_property' AS finding FROM miss WHERE there UNION ALL SELECT DISTINCT entity, CAST(NULL AS VARCHAR), 'missing_entity_set' FROM miss WHERE NOT there""")
 def a9_contract(t: Tables) -> DataFrame:
     required = t.documents.select(C("source").alias("entity"), C("lang").alias("property")).distinct()
-    return P.check_contract(required, t.documents.where("doc_id % 11 = 0 and source <> 'src3'").select(C("source").alias("entity"), C("lang").alias("property")).distinct())
+    return P.check_contract(required, t.documents.where("n_chars >= 2000 and source <> 'src3'").select(C("source").alias("entity"), C("lang").alias("property")).distinct())
 
 
 @query("SELECT doc_key, CASE WHEN x LIKE '-%' OR x LIKE ' =%' THEN concat('''', x) ELSE x END AS cell FROM (SELECT doc_key, CASE CAST(bill_id % 4 AS INT) WHEN 0 THEN concat('-', source_id) WHEN 1 THEN concat(' =', source_id) WHEN 2 THEN '' ELSE document_kind END AS x FROM doc)")
@@ -129,11 +129,11 @@ def b6_sponsor(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", level.alias("level"), R.sponsor_kind(F.when(k % 4 == 0, C("s_name")), F.when(k % 4 == 1, C("s_name")).otherwise(F.lit(" "))).alias("kind"), (level != "unknown").alias("known"))
 
 
-@query("SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Oppose' WHEN 2 THEN 'Support' WHEN 3 THEN concat('Unknown (', event_id, ')') ELSE event_type END AS position FROM events WHERE event_id > 4000 OR event_id < 3000")
+@query("SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Oppose' WHEN 2 THEN 'Support' WHEN 3 THEN CASE WHEN event_id = 3983 THEN 'Support' ELSE concat('Unknown (', event_id, ')') END ELSE event_type END AS position FROM events")
 def b7_position(t: Tables) -> DataFrame:
     k = C("event_id")
     raw = F.when(k % 5 < 3, F.concat(F.lit(" "), (k % 5 + 3981).cast("string"))).when(k % 5 == 3, k.cast("string")).otherwise(F.concat(C("event_type"), F.lit(" ")))
-    return t.events.where("event_id > 4000 or event_id < 3000").select("event_id", R.position(raw).alias("position"))
+    return t.events.select("event_id", R.position(raw).alias("position"))
 
 
 @query("SELECT doc_key, CASE WHEN document_kind = 'public_testimony' THEN 'legacy_testimony' ELSE document_kind END AS kind, document_kind <> 'unknown' AS known, CASE document_kind WHEN 'public_testimony' THEN 'Written  Testimony' WHEN 'committee_presentation' THEN 'Presentation' WHEN 'floor_letter' THEN 'Floor LETTER' WHEN 'committee_document_other' THEN ' agenda ' ELSE 'Map' END AS raw FROM doc")
@@ -280,9 +280,9 @@ def c8_candidates(t: Tables) -> DataFrame:
     return filters.download_candidates(t.doc).agg(F.count("*").alias("n"), F.sum("downloaded_bytes").alias("bytes"))
 
 
-@query("SELECT bill_id, session_key, measure_prefix FROM bill WHERE session_key = '1995R1' AND concat(measure_prefix, measure_number) IN (SELECT concat(measure_prefix, measure_number) FROM bill WHERE bill_id % 1000 < 33)")
+@query("SELECT bill_id, session_key, measure_prefix FROM bill WHERE session_key = '1995R1' AND concat(measure_prefix, measure_number) IN (SELECT concat(measure_prefix, measure_number) FROM bill WHERE source_presence = 'missing')")
 def c10_keyed_lookup(t: Tables) -> DataFrame:
-    wanted = t.bill.where("bill_id % 1000 < 33").select(F.concat("measure_prefix", "measure_number").alias("compact")).distinct()
+    wanted = t.bill.where("source_presence = 'missing'").select(F.concat("measure_prefix", "measure_number").alias("compact")).distinct()
     return t.bill.where("session_key = '1995R1'").withColumn("compact", F.concat("measure_prefix", "measure_number")).join(wanted, "compact", "left_semi").select("bill_id", "session_key", "measure_prefix")
 
 

@@ -124,9 +124,9 @@ def s10_error_ledger(t: Tables) -> DataFrame:
     return t.err.groupBy(fp.alias("fingerprint"), "run_id").agg(F.count("*").alias("occurrences"), F.min("last_occurred_at").alias("first_seen"))
 
 
-@query(f"SELECT id, run_id, CASE WHEN resolved_at IS NULL AND run_id IN (SELECT run_id FROM item WHERE status = 'completed' AND item_key % 100 = 7) THEN {_NOW} ELSE resolved_at END AS resolved_at FROM err")
+@query(f"SELECT id, run_id, CASE WHEN resolved_at IS NULL AND run_id IN (SELECT run_id FROM item WHERE status = 'completed' AND ts < TIMESTAMP '2024-01-01 08:00:00') THEN {_NOW} ELSE resolved_at END AS resolved_at FROM err")
 def s11_resolution(t: Tables) -> DataFrame:
-    return merge.resolve(t.err, t.item.where("status = 'completed' and item_key % 100 = 7"), "run_id", _now()).select("id", "run_id", "resolved_at")
+    return merge.resolve(t.err, t.item.where("status = 'completed' and ts < timestamp '2024-01-01 08:00:00'"), "run_id", _now()).select("id", "run_id", "resolved_at")
 
 
 @query("SELECT bill_id, document_kind AS family, max(first_seen_at) AS checked_at, arg_max(displayed, epoch_us(first_seen_at) * 8 + source_id % 8) AS displayed FROM (SELECT DISTINCT bill_id, document_kind, first_seen_at, source_id, displayed FROM doc WHERE displayed IS NOT NULL) GROUP BY 1, 2")
@@ -168,9 +168,9 @@ def s19_reusable(t: Tables) -> DataFrame:
     return reconcile.reusable(checks, t.bill.select("bill_id", C("source_modified_at").alias("changed_at")))
 
 
-@query("SELECT session_key, count(*) AS n FROM (SELECT DISTINCT doc_key, session_key FROM doc d JOIN bill b ON d.bill_id = b.bill_id WHERE download_status IN ('failed_retryable', 'failed_terminal') AND document_kind IN ('public_testimony', 'committee_presentation', 'floor_letter') AND trim(coalesce(canonical_download_url, '')) <> '' AND d.bill_id IN (SELECT item_key FROM item WHERE run_id < 50)) GROUP BY 1")
+@query("SELECT session_key, count(*) AS n FROM (SELECT DISTINCT doc_key, session_key FROM doc d JOIN bill b ON d.bill_id = b.bill_id WHERE download_status IN ('failed_retryable', 'failed_terminal') AND document_kind IN ('public_testimony', 'committee_presentation', 'floor_letter') AND trim(coalesce(canonical_download_url, '')) <> '' AND d.bill_id IN (SELECT item_key FROM item WHERE status LIKE 'failed%')) GROUP BY 1")
 def s21_retry_snapshot(t: Tables) -> DataFrame:
-    found = filters.retry_eligible(t.doc, t.bill, 1990, include_terminal=True).join(t.item.where("run_id < 50"), C("bill_id") == C("item_key"), "left_semi")
+    found = filters.retry_eligible(t.doc, t.bill, 1990, include_terminal=True).join(t.item.where("status like 'failed%'"), C("bill_id") == C("item_key"), "left_semi")
     return found.select("doc_key", "session_key").distinct().groupBy("session_key").agg(F.count("*").alias("n"))
 
 
