@@ -39,3 +39,23 @@ def reconcile_pages(source: DataFrame, rendered: DataFrame, todo: DataFrame, reu
     known = source.join(bills, "bill_id", "left_semi").join(outcomes, "bill_id", "left").select(record("bill_id"), "outcome").dropDuplicates(["record"])
     read = outcomes.where(C("outcome").isin("checked_with_records", "checked_zero"))
     return reconcile.two_sources(known, shown, "record", C("outcome"), now), merge.resolve(ledger, read, "bill_id", now)
+
+
+def inventory_run(target: DataFrame, states: DataFrame, landed: DataFrame, sync: DataFrame, failures: DataFrame, key: str, prefixes: list[str], modified: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, presence, sync) after a load of many sessions at once.
+
+    sync: (session_key, entity, cursor, complete, last_error) of the sessions to load; those without a cursor are read in
+    full, others from the cursor on. failures: (session_key, error) of reads that broke off: they merge nothing, prove
+    no absence and leave the cursor where it is. states: (key, presence, missing_since).
+    """
+    failed = failures.select("session_key").distinct()
+    plan = sync.select("session_key", "cursor").join(failed, "session_key", "left_anti")
+    fresh = landed.where(C("measure_prefix").isin(prefixes)).join(plan, "session_key").where(C("cursor").isNull() | (C(modified) >= C("cursor")))
+    known = target.where(C("measure_prefix").isin(prefixes)).join(plan, "session_key").select(key, "cursor").join(states, key)
+    whole, part = C("cursor").isNull(), C("cursor").isNotNull()
+    seen = merge.presence(known.where(whole).drop("cursor"), fresh.where(whole), key, True, now).unionByName(merge.presence(known.where(part).drop("cursor"), fresh.where(part), key, False, now))
+    done = fresh.groupBy("session_key").agg(F.max(modified).alias("new_cursor"))
+    outcome = plan.join(done, "session_key", "left").select("session_key", F.lit(True).alias("ok"), "new_cursor", F.lit(None).cast("string").alias("error"))
+    broken = failures.groupBy("session_key").agg(F.lit(False).alias("ok"), F.max(F.lit(None).cast("timestamp")).alias("new_cursor"), F.min("error").alias("error"))
+    entity = sync.select("session_key", "entity").distinct()
+    return merge.merge_keyed(target, fresh.select(*target.columns), [key]), seen, merge.commit_cursor(sync, outcome.unionByName(broken).join(entity, "session_key"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketlake.functions import records as R
-from docketlake.operators import filters, jobs, rollups
+from docketlake.functions import text as X
+from docketlake.operators import filters, jobs, paging, rollups, searches
 from docketlake.plans import model_queries, state_queries
 from docketlake.plans.registry import ORACLES, query
 from docketlake.plans.standins import Tables
-from docketlake.sources import html_tables, pages
+from docketlake.sources import exports, html_tables, pages
 from docketlake.streaming import loads
 
 C = F.col
@@ -195,3 +196,70 @@ def s2_incremental_load(t: Tables) -> DataFrame:
         delivery.write.mode("append").json(f"{root}/landing")
         loads.incremental_load(t.spark, f"{root}/landing", events.schema.simpleString()[7:-1].replace(":", " "), ["event_id"], f"{root}/snapshots", f"{root}/offsets").awaitTermination()
     return loads.latest_snapshot(t.spark, f"{root}/snapshots")
+
+
+@query("SELECT doc_key, CASE WHEN x LIKE '-%' OR x LIKE ' =%' THEN concat(chr(39), x) ELSE x END AS cell, CAST(bill_id AS VARCHAR) AS bill FROM (SELECT doc_key, bill_id, CASE CAST(bill_id % 4 AS INT) WHEN 0 THEN concat('-', source_id) WHEN 1 THEN concat(' =', chr(34), source_id, ',') WHEN 2 THEN '-' ELSE document_kind END AS x, bill_id % 4 = 2 AS none FROM doc) WHERE NOT none UNION ALL SELECT doc_key, CAST(NULL AS VARCHAR), CAST(bill_id AS VARCHAR) FROM doc WHERE bill_id % 4 = 2")
+def a12_csv_export(t: Tables) -> DataFrame:
+    """Documents written as an audit CSV in the shared folder and read back."""
+    path = loads.shared_folder(t.spark, "export")
+    raw = F.when(C("bill_id") % 4 == 0, F.concat(F.lit("-"), C("source_id"))).when(C("bill_id") % 4 == 1, F.concat(F.lit(' ="'), C("source_id"), F.lit(","))).when(C("bill_id") % 4 == 3, C("document_kind"))
+    exports.export_csv(t.doc.select("doc_key", raw.alias("cell"), C("bill_id").alias("bill")), path)
+    read = t.spark.read.csv(path, header=True, lineSep="\r\n", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, schema="doc_key string, cell string, bill string", enforceSchema=True)
+    return read
+
+
+@query("SELECT event_type AS entity, event_id % 50 AS row_count, event_id % 9 = 0 AS failed FROM events")
+def a14_append_fetches(t: Tables) -> DataFrame:
+    """Fetch records appended to a ledger in two runs, without the columns that it does not allow."""
+    path = loads.shared_folder(t.spark, "fetches")
+    records = t.events.select(C("event_type").alias("entity"), (C("event_id") % 50).alias("row_count"), (C("event_id") % 9 == 0).alias("failed"), "props", "user_id")
+    for half in (records.where("user_id % 2 = 0"), records.where("user_id % 2 <> 0")):
+        exports.append_fetches(half, path, ["entity", "row_count", "failed"])
+    return t.spark.read.parquet(path)
+
+
+def _inventory_run(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bill = t.bill.select("bill_id", "session_key", "measure_prefix", "bill_title", "source_modified_at")
+    target, landed = bill.where("bill_id % 10 <> 3"), bill.where("bill_id % 10 <> 7").withColumn("bill_title", F.when(C("bill_id") % 7 == 0, "changed").otherwise(C("bill_title")))
+    states = target.select("bill_id", F.lit("active").alias("presence"), F.lit(None).cast("timestamp").alias("missing_since"))
+    year = F.substring("session_key", 1, 4).cast("int")
+    cursor = F.when(year % 2 == 0, F.to_timestamp(F.concat(year, F.lit("-07-01"))))
+    sync = t.sess.select("session_key", F.lit("Measures").alias("entity"), cursor.alias("cursor"), F.lit(False).alias("complete"), F.lit("old").alias("last_error"))
+    failures = t.sess.where(year % 5 == 0).select("session_key", F.lit("timeout").alias("error"))
+    return jobs.inventory_run(target, states, landed, sync, failures, "bill_id", ["HB", "SB"], "source_modified_at", F.lit("2024-06-01 00:00:00").cast("timestamp"))
+
+
+_RUN = """w AS (SELECT *, CAST(substr(session_key, 1, 4) AS INT) AS y FROM bill WHERE measure_prefix IN ('HB', 'SB')), p AS (SELECT *, y % 2 = 1 AS whole, CASE WHEN y % 2 = 0 THEN CAST(concat(y, '-07-01') AS TIMESTAMP) END AS cur FROM w WHERE y % 5 > 0),
+o AS (SELECT * FROM p WHERE bill_id % 10 <> 3), n AS (SELECT * FROM p WHERE bill_id % 10 <> 7 AND (whole OR source_modified_at >= cur))"""
+
+
+@query(f"WITH {_RUN} SELECT coalesce(o.bill_id, n.bill_id) AS bill_id, CASE WHEN n.bill_id IS NULL AND o.whole THEN 'missing' ELSE 'active' END AS presence, CASE WHEN o.bill_id IS NULL THEN 'new' WHEN n.bill_id IS NULL AND o.whole THEN 'became_missing' ELSE 'unchanged' END AS transition FROM o FULL JOIN n ON o.bill_id = n.bill_id")
+def r11_inventory_presence(t: Tables) -> DataFrame:
+    return _inventory_run(t)[1].select("bill_id", "presence", "transition")
+
+
+@query(f"WITH {_RUN}, o2 AS (SELECT bill_id, bill_title FROM bill WHERE bill_id % 10 <> 3) SELECT coalesce(o2.bill_id, n.bill_id) AS bill_id, CASE WHEN n.bill_id IS NULL THEN o2.bill_title WHEN n.bill_id % 7 = 0 THEN 'changed' ELSE n.bill_title END AS bill_title FROM o2 FULL JOIN n ON o2.bill_id = n.bill_id")
+def r11_inventory_rows(t: Tables) -> DataFrame:
+    return _inventory_run(t)[0].select("bill_id", "bill_title")
+
+
+@query(f"WITH {_RUN} SELECT session_key, 'Measures' AS entity, CASE WHEN y % 5 = 0 THEN CASE WHEN y % 2 = 0 THEN CAST(concat(y, '-07-01') AS TIMESTAMP) END ELSE (SELECT max(source_modified_at) FROM n WHERE n.session_key = s.session_key) END AS cursor, y % 5 > 0 AS complete, CASE WHEN y % 5 = 0 THEN 'timeout' END AS last_error FROM (SELECT session_key, CAST(substr(session_key, 1, 4) AS INT) AS y FROM sess) s")
+def r11_inventory_sync(t: Tables) -> DataFrame:
+    return _inventory_run(t)[2]
+
+
+@query("""SELECT bill_id, bill_title, sponsors, total FROM (SELECT b.bill_id, bill_title, sponsors, count(*) OVER () AS total, row_number() OVER (ORDER BY session_key NULLS FIRST, measure_prefix NULLS FIRST, CAST(measure_number AS BIGINT) NULLS FIRST, b.bill_id) AS r FROM bill b JOIN (SELECT l_orderkey, string_agg(concat('S', l_suppkey), ', ' ORDER BY CASE WHEN l_linenumber % 2 = 0 THEN 2147483647 ELSE l_linenumber END, l_suppkey, l_partkey) AS sponsors, bool_or(concat('S', l_suppkey) LIKE '%7%') AS hit FROM lineitem GROUP BY 1) s ON s.l_orderkey = b.bill_id WHERE hit AND bill_chamber = 'Senate') WHERE r <= 100""")
+def r1_bills_by_sponsor(t: Tables) -> DataFrame:
+    sponsors = t.lineitem.select(C("l_orderkey").alias("bill_id"), F.concat(F.lit("S"), "l_suppkey").alias("sponsor_name"), F.when(C("l_linenumber") % 2 != 0, C("l_linenumber")).alias("print_order"), "l_suppkey", "l_partkey")
+    found = searches.bills_by_sponsor(filters.bill_search(t.bill, chamber="Senate"), sponsors, "7")
+    top = paging.with_total(paging.page(found, paging.bill_order("bill", False), 100), found)
+    entries = F.sort_array(F.collect_list(F.struct(F.coalesce("print_order", F.lit(2147483647)), "l_suppkey", "l_partkey", "sponsor_name")))
+    names = sponsors.join(top.select("bill_id"), "bill_id", "left_semi").groupBy("bill_id").agg(F.array_join(F.transform(entries, lambda x: x["sponsor_name"]), ", ").alias("sponsors"))
+    return top.join(names, "bill_id").select("bill_id", "bill_title", "sponsors", "total")
+
+
+@query("""SELECT d.doc_key, d.session_key, document_kind, committee_name, submitter, CASE WHEN displayed IS NULL THEN 'unknown' WHEN displayed THEN 'yes' ELSE 'no' END AS displayed, content_length FROM wdoc d LEFT JOIN (SELECT doc_key, max(content_length) AS content_length FROM probe GROUP BY 1) p ON p.doc_key = d.doc_key WHERE (lower(committee_code) LIKE '%of o%' OR lower(committee_name) LIKE '%of o%') AND source_presence = 'active'""")
+def r2_document_export(t: Tables) -> DataFrame:
+    sizes = t.probe.groupBy("doc_key").agg(F.max("content_length").alias("content_length"))
+    found = searches.documents(t.wdoc, committee="of o", presence="active").join(sizes, "doc_key", "left")
+    return found.select("doc_key", "session_key", "document_kind", "committee_name", "submitter", X.yes_no_unknown(C("displayed")).alias("displayed"), "content_length")
