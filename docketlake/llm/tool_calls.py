@@ -12,17 +12,18 @@ def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): length of the chain of parents above each call; null in or below a cycle.
 
     Each round doubles how far a call looks up (one join and a checkpoint), so a chain of n calls takes
-    log2(n) rounds. A parent that does not exist counts as none.
+    log2(n) rounds. A round that ends no chain is the last: of a longer chain, it would have ended the part
+    of that length, so what is left stands in or below a cycle. A parent that does not exist counts as none.
     """
     ids = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("up"))
     known = calls.join(ids, (F.col("conv_id") == F.col("c")) & (F.col("parent_id") == F.col("up")), "left")
     state = checkpoint(known.select("conv_id", "call_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(state.count().bit_length() + 1):
-        if state.where("up is not null").isEmpty():
-            break
+    left, before = state.where("up is not null").count(), -1
+    while left and left != before:
         above = state.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("up").alias("next"), F.col("depth").alias("more"))
         open_ = state.where("up is not null").join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("i")))
         state = checkpoint(state.where("up is null").union(open_.select("conv_id", "call_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))))
+        left, before = state.where("up is not null").count(), left
     return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 

@@ -396,6 +396,14 @@ def test_tool_calls(spark):
     assert got[1, "a"]["canonical"].startswith('{"arguments":{"a":[1.5],"z":1},"call_id":"a"')
 
 
+def test_depths_of_chains_and_cycles(spark):
+    rows = [(1, str(i), str(i - 1)) for i in range(100)] + [(2, str(i), str((i + 1) % 7)) for i in range(7)] + [(2, "x", "3"), (2, "y", "x"), (2, "z", "none"), (3, "a", "a"), (4, "a", None)]
+    got = {(r["conv_id"], r["call_id"]): r["depth"] for r in tool_calls.depths(spark.createDataFrame(rows, "conv_id long, call_id string, parent_id string")).collect()}
+    assert got == {**{(1, str(i)): i for i in range(100)}, **{(2, str(i)): None for i in range(7)}, (2, "x"): None, (2, "y"): None, (2, "z"): 0, (3, "a"): None, (4, "a"): 0}
+    only = spark.createDataFrame([(1, "a", "b"), (1, "b", "a")], "conv_id long, call_id string, parent_id string")
+    assert [r["depth"] for r in tool_calls.depths(only).collect()] == [None, None]
+
+
 def test_positions_of_a_hot_conversation(spark):
     rng = random.Random(3)
     rows = [(1, f"c{i}", rng.randint(0, 5), rng.randint(0, 9)) for i in range(3000)] + [(c, f"c{i}", 0, i) for c in range(2, 40) for i in range(3)]
