@@ -65,7 +65,11 @@ def test_near_duplicates_of_repeated_ids(spark):
 
 def test_components_of_long_paths_and_empty_tables(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7), (None, 3)], "a long, b long")
-    assert {r["id"]: r["component_id"] for r in graph.components(edges).collect()} == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+    for hub_edges in (graph.HUB_EDGES, 1):
+        assert {r["id"]: r["component_id"] for r in graph.components(edges, hub_edges=hub_edges).collect()} == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+    stars = spark.createDataFrame([(9_000, i) for i in range(0, 300)] + [(1_000, i) for i in range(1_001, 1_300)] + [(9_000, 1_299)], "a long, b long")
+    found = graph.components(stars, hub_edges=50).collect()
+    assert len(found) == 601 and {r["component_id"] for r in found} == {0}
     assert graph.components(edges.limit(0)).count() == 0
 
 
@@ -547,6 +551,31 @@ def test_odd_and_empty_documents(spark, name):
     assert empty.count() == 0 and empty.columns == found.columns
 
 
+def test_values_of_odd_documents(spark):
+    """What nulls, blanks, repeated rows and ids, a very long text and clashing columns give, row by row."""
+    from tokenizers import Tokenizer
+
+    odd = _odd_documents(spark)
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    taken = lambda found, *names: sorted((tuple(r[n] for n in names) for r in found.collect()), key=repr)
+    words = [(i, (t or "").split()) for i, t in rows]
+    shingles = lambda w: len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0
+    want = [(i, shingles(w), 3 if i == 4 else i, None if i is None else i != 4) for i, w in words]
+    assert taken(OPERATORS["near_duplicates"](odd), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
+    want = [(i, len(w), len(w) if i == 4 else 0, "" if i == 4 else " ".join(w)) for i, w in words]
+    assert taken(OPERATORS["repeats"](odd), "doc_id", "n_words", "n_removed", "kept_text") == sorted(want, key=repr)
+    email = lambda t: f"email:{len(t) - 7}:{len(t)}" if t and t.endswith("a@b.org") else ""
+    want = [(i, int(bool(email(t))), 0, email(t), t and t.replace("a@b.org", "[EMAIL]"), "clash") for i, t in rows]
+    assert taken(OPERATORS["personal_data"](odd), "doc_id", "n_email", "n_phone", "spans", "clean", "node") == sorted(want, key=repr)
+    want = [(i, len(w), [], [], 0.0) for i, w in ((i, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())) for i, t in rows)]
+    assert taken(OPERATORS["licences"](odd), "doc_id", "n_words", "base", "labels", "score") == sorted(want, key=repr)
+    theirs = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
+    want = [(i, theirs.encode(t or "", add_special_tokens=False).ids, t or "", "clash") for i, t in rows]
+    assert taken(OPERATORS["bpe"](odd), "doc_id", "ids", "decoded", "spans") == sorted(want, key=repr)
+    for r in OPERATORS["language"](odd).collect():
+        assert r["node"] == "clash" and ((r["lang_pred"] in ("en", "de") and 0.5 <= r["score"] <= 1) if r["text"] else (r["lang_pred"], r["score"]) == ("und", 0.0))
+
+
 def test_empty_chats_vectors_and_pages(spark):
     chats = spark.createDataFrame([(None, 0, "user", "a"), (1, None, "user", "b"), (1, 0, None, "c"), (1, 2, "user", None), (1, 2, "user", None)], "conv_id long, turn long, role string, text string").withColumn("status", F.lit(1))
     rows = tool_calls.link(*tool_calls.turn_calls(chats), tool_calls.REPLY).collect()
