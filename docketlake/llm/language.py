@@ -94,13 +94,14 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = 20_0
     """Learn from rows whose text and label are not null.
 
     Of more than about `max_rows` such rows, a sample of about that many is used, chosen by the hash
-    of the text, so equal tables give equal models. The counts of n-grams are summed by Spark; the
-    driver gets one number per language and bucket. More than `max_languages` labels are an error.
+    of the text (of 63 bits, so that the share may be as small as the table is large), so equal tables give equal models. The counts of n-grams are summed by Spark; the
+    driver gets one number per language and bucket, as Arrow columns. More than `max_languages` labels are an error, and so is a sample without any row of a
+    table with labels, from which nothing could be told.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null")
     total = rows.count()
     if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 1) < (max_rows << 63) // total)
     if rows.select("label").distinct().limit(max_languages + 1).count() > max_languages:
         raise ValueError(f"more than {max_languages} labels")
 
@@ -119,15 +120,17 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = 20_0
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([label] * (len(used) + 1)), pa.array([-1, *used.tolist()], pa.int32()), pa.array([docs[label], *counts[used].astype(np.int64).tolist()], pa.int64())], names=["label", "bucket", "n"])
 
-    found = map_batches(rows, run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r["label"] for r in found})
+    found = map_batches(rows, run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    labels = found["label"].combine_chunks().dictionary_encode()
+    names = labels.dictionary.to_pylist()
+    if total and not names:
+        raise ValueError(f"a sample of about {max_rows} of {total} rows is empty: raise max_rows")
+    languages = sorted(names)
+    place = np.array([languages.index(x) for x in names], dtype=np.int64)
+    row, bucket, n = place[labels.indices.to_numpy()], found["bucket"].to_numpy(), found["n"].to_numpy()
     counts, docs = np.zeros((len(languages), BUCKETS)), np.ones(len(languages))
-    at = {x: i for i, x in enumerate(languages)}
-    for r in found:
-        if r["bucket"] < 0:
-            docs[at[r["label"]]] = r["n"]
-        else:
-            counts[at[r["label"]], r["bucket"]] = r["n"]
+    docs[row[bucket < 0]] = n[bucket < 0]
+    counts[row[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
     counts += smoothing
     return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else counts, np.log(docs / docs.sum()))
 

@@ -251,6 +251,17 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_sample_of_a_large_table(spark):
+    """A share of less than one in a million still learns; a sample without a row is an error and no silent `und`."""
+    word = F.element_at(F.array(*[F.lit(w) for w in ("the house of stone", "das Haus aus Stein")]), (F.col("id") % 2 + 1).cast("int"))
+    rows = spark.range(3_000_000).select(F.concat_ws(" ", word, "id").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    assert language.fit(rows, "text", "lang", max_rows=60).languages == ["de", "en"]
+    few = sum(len(language.fit(rows.where(f"id % 2 = {k}"), "text", "lang", max_rows=4).languages) for k in (0, 1))
+    assert few == 2
+    with pytest.raises(ValueError, match="empty"):
+        language.fit(rows.where("id % 2 = 0"), "text", "lang", max_rows=0)
+
+
 def test_language_against_plain_naive_bayes(spark):
     assert not any(map(language.has_letter, ["½ ² ③", "12", "", None, "_ 3 !"])) and all(map(language.has_letter, ["½a", "語"]))
     table = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null").select("text", "lang")
