@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from docketlake.llm.base import checkpoint, map_batches
 
-#: A "<" outside quotes ends a tag that was never closed, so a search never looks past the next one.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>]++)*+)>", re.DOTALL)
+#: A "<" outside quotes ends a tag that was never closed, so a search never looks past the next one; a quote that is never closed is a plain character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>]++)*+(?=>)|[^<>]*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 #: Elements of HTML by what they mean for the text.
@@ -25,8 +25,12 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption tr ul ol table tbody thead dl b i em strong a span code q cite sub sup u s small mark br".split())
 BOILERPLATE = frozenset("script style noscript template iframe head title nav footer aside form button select textarea object svg canvas menu dialog".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored promo banner cookie cookies consent notice notices alert comment comments disqus replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social newsletter subscribe related popup modal widget pagination pager masthead".split())
+#: Words that are marks only as a whole class, id or role, the last one only outside an article; words that deny a mark they are joined with.
+WHOLE_MARKS, DENIALS = frozenset("topbar toolbar search searchbox searchform login signin responses respond header".split()), frozenset("has no non not with without free".split())
 #: Beginnings of joined marks (commentlist, sidebarleft), and a word of text that begins like one.
 STEMS, NO_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "newsletter", "sidebar", "sponsor"), ("commentar",)
+#: Share of links in the text, and links at least, of a block outside an article that only leads elsewhere.
+LINKED, LEAST_LINKS = 0.6, 3
 CLOSED_BY = {"li": frozenset(["li"]), "p": BLOCKS, "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 HOLDS = {"li": frozenset(["ul", "ol", "menu"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "p": frozenset(), "option": frozenset()}
 
@@ -36,13 +40,23 @@ _RAW_END = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])") for tag in RAW}
 _FRAME = frozenset(["#page", "html", "body", "article", "main", "head"])
 
 
-def _is_marked(attributes: str) -> bool:
-    """Whether class, id or role name an element as boilerplate."""
+def _named(word: str) -> bool:
+    return word in MARKS or word.startswith(STEMS) and not word.startswith(NO_STEMS)
+
+
+def _mark(attributes: str) -> str:
+    """How class, id or role name an element as boilerplate: `whole` by a name of its own, `header` by just that, `joined` by a part of a name, or not at all."""
+    found = ""
     for m in _ATTRIBUTE.finditer(attributes):
-        for word in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()):
-            if word in MARKS or word.startswith(STEMS) and not word.startswith(NO_STEMS):
-                return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = re.split(r"[_-]+", name)
+            if name == "header":
+                found = found or "header"
+            elif name in WHOLE_MARKS or len(parts) == 1 and _named(name):
+                return "whole"
+            elif not DENIALS.intersection(parts) and any(map(_named, parts)):
+                found = "joined"
+    return found
 
 
 class Page:
@@ -82,6 +96,7 @@ class Page:
                 at = stop
         if at < len(source):
             self.parts[stack[-1]].append(source[at:])
+        self._measure()
         self._find_mains()
 
     def _close_implied(self, stack: list[int], tag: str, open_tags: Counter[str]) -> None:
@@ -96,28 +111,64 @@ class Page:
             if tag in HOLDS.get(open_tag, ()) or open_tag in BLOCKS and not (tag in HOLDS and open_tag not in HOLDS[tag]):
                 return
 
+    def _measure(self) -> None:
+        """sizes and linked: characters of each element's text without white space and boilerplate tags, and those of them in links; links: how many; titled: whether a top heading, article or main stands in it."""
+        n = len(self.tags)
+        self.sizes, self.linked, self.links, self.titled, self.worded = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
+        for i in range(n - 1, -1, -1):
+            tag = self.tags[i]
+            if tag in BOILERPLATE:
+                continue
+            for part in self.parts[i]:
+                if isinstance(part, str):
+                    self.sizes[i] += sum(map(len, part.split()))
+                else:
+                    self.sizes[i] += self.sizes[part]
+                    self.linked[i] += self.linked[part]
+                    self.links[i] += self.links[part]
+                    self.titled[i] |= self.titled[part] or self.tags[part] in ("h1", "article", "main")
+                    self.worded[i] |= self.worded[part] or self.tags[part] in ("p", "h1", "h2", "h3", "pre", "blockquote")
+            if tag == "a":
+                self.linked[i], self.links[i] = self.sizes[i], 1
+
+    def _is_marked(self, i: int, mark: str) -> bool:
+        """Whether a mark counts. An element that holds the larger part of the page's text is marked only by a whole name, and only if no
+        top heading or article stands in it; a part of a name marks text of its own (a paragraph, say) only where it is mostly links."""
+        most = 2 * self.sizes[i] > self.sizes[0]
+        if mark == "whole":
+            return not (most and (self.titled[i] or self.tags[i] in ("article", "main")))
+        return mark == "joined" and (2 * self.linked[i] >= self.sizes[i] > 0 or not most and self.tags[i] not in CONTENT - {"ul", "ol", "table", "dl", "span", "small"})
+
+    def _outermost(self, tag: str, fit: list[bool]) -> list[int]:
+        found, inside = [], [False] * len(self.tags)
+        for i in range(1, len(self.tags)):
+            inside[i] = inside[self.parents[i]]
+            if self.tags[i] == tag and fit[i] and not inside[i]:
+                found.append(i)
+                inside[i] = True
+        return found
+
     def _find_mains(self) -> None:
-        """mains: the outermost article elements that stand in no boilerplate, else such main elements, else articles
-        that only a mark of an element around them (a layout's name) speaks against, else the whole page."""
-        self.marked = [tag not in _FRAME - {"article", "main"} and _is_marked(mark) for tag, mark in zip(self.tags, self.marks, strict=True)]
-        by_tag, by_mark = [False], [False]
+        """mains: the outermost article elements in main elements, all of them in no boilerplate; else of main elements and articles
+        outside of these, those with more text; else articles, then mains, that only a mark of an element around them (a layout's name) speaks against; else the whole page."""
+        marks = ["" if tag in _FRAME - {"article", "main"} else _mark(attributes) for tag, attributes in zip(self.tags, self.marks, strict=True)]
+        self.marked = [self._is_marked(i, mark) for i, mark in enumerate(marks)]
+        self.headers = [mark == "header" for mark in marks]
+        by_tag, by_mark, in_main = [False], [False], [False]
         for i in range(1, len(self.tags)):
             up = self.parents[i]
             by_tag.append(by_tag[up] or self.tags[i] in BOILERPLATE)
             by_mark.append(by_mark[up] or self.marked[i])
+            in_main.append(in_main[up] or self.tags[up] == "main" and not by_tag[up] and not by_mark[up])
         clean = [not t and not m for t, m in zip(by_tag, by_mark, strict=True)]
         near = [not t and not m for t, m in zip(by_tag, self.marked, strict=True)]
-        for tag, fit in (("article", clean), ("main", clean), ("article", near), ("main", near)):
-            self.mains: list[int] = []
-            inside = [False] * len(self.tags)
-            for i in range(1, len(self.tags)):
-                inside[i] = inside[self.parents[i]]
-                if self.tags[i] == tag and fit[i] and not inside[i]:
-                    self.mains.append(i)
-                    inside[i] = True
-            if self.mains:
-                return
-        self.mains = [0]
+        mains, articles = self._outermost("main", clean), self._outermost("article", clean)
+        size = lambda found: sum(self.sizes[i] for i in found)
+        if size(mains):
+            inner = self._outermost("article", [c and m for c, m in zip(clean, in_main, strict=True)])
+            self.mains = inner if size(inner) else mains if size(mains) >= size(articles) else articles
+        else:
+            self.mains = articles or mains or self._outermost("article", near) or self._outermost("main", near) or [0]
 
     def hashes(self) -> list[int]:
         """Hash of each element's subtree: its tag, texts and children in order."""
@@ -134,6 +185,12 @@ class Page:
             protected[i] = i in mains or protected[self.parents[i]]
         return [i for i, tag in enumerate(self.tags) if tag not in _FRAME and not (protected[i] and tag in CONTENT) and self.parts[i]]
 
+    def _leads_elsewhere(self, i: int) -> bool:
+        """Headers and blocks of links, which count on pages without an article only."""
+        if self.tags[i] == "header" or self.headers[i] and 2 * self.sizes[i] <= self.sizes[0]:
+            return True
+        return self.tags[i] in ("ul", "ol", "div", "section", "table") and self.links[i] >= LEAST_LINKS and not self.worded[i] and self.linked[i] >= LINKED * self.sizes[i]
+
     def text(self, templates: frozenset[int]) -> str:
         gone: set[int] = set()
         if templates:
@@ -147,7 +204,7 @@ class Page:
             i, k = work.pop()
             tag = self.tags[i]
             if k == 0:
-                if i in gone or i not in mains and (tag in BOILERPLATE or tag == "header" and not in_main or self.marked[i]):
+                if i in gone or i not in mains and (tag in BOILERPLATE or self.marked[i] or not in_main and self._leads_elsewhere(i)):
                     continue
                 if tag == "br":
                     blocks[-1].append(" ")
@@ -211,15 +268,16 @@ def with_templates(source: DataFrame, templates: DataFrame, most_broadcast: int,
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, share: float = 0.5, most_broadcast: int = 1_000_000, pages_a_key: int = 10_000) -> DataFrame:
     """(page_id, url, text): the main text of every page, one row per input row.
 
-    Text is that of the article elements that stand in no boilerplate, else of main, else of the whole page,
-    without elements that are boilerplate by their tag or by a word of their class, id or role, and without
-    subtrees that recur on at least `share` (and `min_pages`) of the pages of the host. Paragraphs, headings
-    and the like inside an article are never taken for a template: a site may publish an article many times.
+    Text is that of the article elements in main, else of main or of articles outside it, whichever has more text, else of
+    the whole page, without elements that are boilerplate by their tag or by the name that class, id or role give them, and without
+    subtrees that recur on at least `share` (and `min_pages`) of the pages of the host. A part of a joined name (`related-posts`) counts only for an element that holds less
+    than half of the page's text and is no paragraph or the like, unless it is mostly links; with `has`, `no`, `free` and the like beside it, it does not count. On pages without article and main, headers and blocks that are
+    mostly links go as well. Paragraphs, headings and the like inside an article are never taken for a template: a site may publish an article many times.
     Character references are decoded, white space inside a block becomes one space, and blocks are
     joined by a line break.
 
     Null and empty html gives an empty text; pages whose url has no host have no templates; a null id or url
-    stays null. Repeated rows count as pages of their own. A page is read in time that grows with its
+    stays null. Rows that repeat count as pages of their own and give their text each. A page is read in time that grows with its
     length, also where tags are left open. Other columns are not read. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))

@@ -389,12 +389,32 @@ def test_pages_with_odd_markup():
     assert text('<div class="has-sidebar"><article><p>story<div class="commentlist">no</div><div class="commentary">yes</div></article></div>') == "story\nyes"
     assert text("<script>if (a<b) x='<p>';</script><p>a<b>c</p><textarea><p>no") == "ac"
     assert text("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table></i>h") == "a\nb\nc\nd\ne\nf\ng\nh"
-    for hard in ("<a " * 100_000, "<!" * 100_000, "<a '" * 100_000, "<div>" * 50_000 + "</span>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<script>" + "<a " * 100_000):
+    wrap = "<body><nav>n</nav>{}<footer>f</footer></body>".format
+    story = "<h1>T</h1><p>Main story text.</p><p>It goes on.</p><p>It ends.</p>"
+    for layout in ('<article class="post ad-free">{}</article>', '<div class="layout has-sidebar"><div id="content">{}</div></div>', '<div class="page sidebar"><article>{}</article></div>', '<article class="related-work">{}</article>', '<div class="no-comments">{}</div>', '<main class="with-banner"><article id="ad_free">{}</article></main>'):
+        assert text(wrap(layout.format(story))) == "T\nMain story text.\nIt goes on.\nIt ends.", layout
+    assert text(wrap('<article><p class="social-science">a</p><p class="related-work">b</p><h2 class="notice-of-motion">c</h2><p class="share-links"><a href="x">d</a></p><div class="related-posts">e</div><p class="ad">f</p><p>g</p><p>h</p></article>')) == "a\nb\nc\ng\nh"
+    for name in ('id="header"', 'class="search"', 'class="login"', 'class="topbar"', 'class="responses"', 'id="respond"', 'class="comments-area"', 'class="site-nav"'):
+        assert text(wrap(f"<div {name}>Bob says hi</div><div>{story}</div>")) == "T\nMain story text.\nIt goes on.\nIt ends.", name
+    assert text(wrap(f"<article><p>teaser of another story, which is longer than this one is</p></article><main><article>{story}</article></main>")).startswith("T\nMain")
+    assert text(wrap(f"<article><p>teaser</p></article><main>{story}</main>")).startswith("T\nMain")
+    assert text(wrap(f"<div><ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul></div>{story}")).startswith("T\nMain")
+    assert text('<article><header class="header"><h1>T</h1></header><p>a</p></article>') == "T\na"
+    assert text('<p title="foo>Hello</p><p class=\'x>you</p><p a="<b>">all</p>') == "Hello\nyou\nall"
+    for hard in ("<a " * 100_000, '<a "' * 100_000, '<a b="' + "<p>" * 100_000, "<!" * 100_000, "<a '" * 100_000, "<div>" * 50_000 + "</span>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<script>" + "<a " * 100_000):
         began = time.perf_counter()
         text(hard)
         assert time.perf_counter() - began < 5
 
 
+def test_pages_that_repeat_are_long_or_clash(spark):
+    long = "<article>" + "<p>words &amp; more</p>" * 20_000 + "</article>"
+    rows = [(1, "http://a.org/1", "<article><p>one</p></article>")] * 3 + [(2, "http://a.org/2", long), (None, None, "<p>x</p>"), (3, "http://a.org/3", "<nav>only</nav>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("templates", F.lit(7)).withColumn("text", F.lit(None).cast("binary"))
+    got = sorted(((r["page_id"], r["url"], r["text"]) for r in html.main_text(table).collect()), key=str)
+    assert got == sorted([(1, "http://a.org/1", "one")] * 3 + [(2, "http://a.org/2", "\n".join(["words & more"] * 20_000)), (None, None, "x"), (3, "http://a.org/3", "")], key=str)
+
+
 def test_tool_calls(spark):
     say = '{"tool_calls":[{"id":"b","name":"reply","arguments":{"turn":"x"},"parent_id":"a"},{"id":"a","name":"nope","arguments":{"z":1,"a":[1.50]}}]}'
     loop = '{"tool_calls":[{"id":"q","name":"reply","arguments":{"turn":1,"prompt":"p"},"parent_id":"w"},{"id":"w","name":"reply","arguments":[1],"parent_id":"q"}]}'
