@@ -145,7 +145,7 @@ def frequent_only(relation: DataFrame, size: int, kept: Broadcast) -> DataFrame:
             ends = np.cumsum(lengths)
             out = codes.take(np.minimum(np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1]), len(codes) - 1))
             out[ends - 1] = 0
-            used = np.unique(out[out > 0])
+            used = np.flatnonzero(np.bincount(out, minlength=1)[1:]) + 1
             renumbered = np.zeros(len(words), dtype=np.int32)
             renumbered[used] = np.arange(1, len(used) + 1)
             yield _row(lang, renumbered.take(out), [_GAP, *(words[k] for k in used.tolist())])

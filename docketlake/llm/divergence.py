@@ -143,8 +143,8 @@ def prefix_counts(relation: DataFrame, width: int, before: int, kept) -> DataFra
                 group[k] = len(prefixes) - 1
             of = group.take(term)
             n_docs = int(doc.max()) + 1
-            pairs = np.unique(of[of >= 0] * n_docs + doc[of >= 0])
-            n = np.bincount(pairs // n_docs, minlength=len(prefixes))
+            pairs = np.sort(of[of >= 0] * n_docs + doc[of >= 0])
+            n = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] // n_docs, minlength=len(prefixes))
             for k in range(0, len(prefixes), 100_000):
                 part = prefixes[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array(n[k : k + 100_000].astype(np.int64))], names=["lang", "prefix", "n"])
