@@ -21,7 +21,7 @@ _PLAIN = bytes.maketrans(_UPPER + b"\t" + _ENDS, _UPPER.lower() + b" " + b"\n" *
 #: What stands between pieces; no word is equal to it, as it ends pieces itself.
 _GAP = b"."
 #: Words of one row of a relation, and bytes of text that are split at a time.
-CHUNK, SLICE = 1 << 21, 1 << 20
+CHUNK, SLICE = 1 << 20, 1 << 20
 WHOLE = "decimal(38,0)"
 
 
