@@ -22,6 +22,8 @@ FIRST = 2
 CHUNK, SLICE = 1 << 21, 1 << 20
 #: Sources and terms of a block of the comparison of pairs.
 TILE, BLOCK_TERMS = 256, 4096
+#: Kept terms and sources that are numbered for a broadcast (64 MB).
+MOST_NUMBERED = 1_000_000
 
 
 class Codes(dict):
@@ -188,8 +190,51 @@ def kept_terms(relation: DataFrame, least: int, most_bits: int = keyfilter.MOST_
     return out
 
 
-def source_counts(relation: DataFrame, terms: DataFrame, most_bits: int = keyfilter.MOST_BITS) -> DataFrame:
-    """(lang, source, term, n): occurrences of the kept terms in each source."""
+def source_counts(relation: DataFrame, terms: DataFrame, names: DataFrame, most_bits: int = keyfilter.MOST_BITS, most_numbered: int = MOST_NUMBERED) -> DataFrame:
+    """(lang, source, term, n): occurrences of the kept terms in each source.
+
+    While terms and names (lang, source) are at most `most_numbered`, and of at most 64 bytes each on average, they are broadcast with numbers, and pairs of numbers are counted;
+    beyond that the words themselves travel, those that pass a filter of bounded size, and are joined with the kept ones. Both give the same rows.
+    """
+    size = terms.agg(F.count("*"), F.sum(F.octet_length("term") + F.octet_length("lang"))).union(names.agg(F.count("*"), F.sum(F.octet_length("source") + F.octet_length("lang")))).toPandas()
+    if size.iloc[:, 0].sum() <= most_numbered and size.iloc[:, 1].fillna(0).sum() <= 64 * most_numbered:
+        return _counts_by_number(relation, terms, names)
+    return _counts_by_word(relation, terms, most_bits)
+
+
+def _counts_by_number(relation: DataFrame, terms: DataFrame, names: DataFrame) -> DataFrame:
+    words, groups = (rows.toArrow() for rows in (terms.select("lang", "term"), names.select("lang", "source")))
+    shared = terms.sparkSession.sparkContext.broadcast((words, groups))
+
+    def numbers(table: pa.Table) -> dict[str, dict[bytes, int]]:
+        out: dict[str, dict[bytes, int]] = {}
+        for k, (lang, word) in enumerate(zip(*(c.to_pylist() for c in table.columns), strict=True)):
+            out.setdefault(lang, {})[word.encode("utf-8", "surrogatepass")] = k
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_term, of_source = (numbers(x) for x in shared.value)
+        for lang, names, term, doc, sources, owner, n in _opened(batches, counts=True):
+            known = of_term.get(lang, {})
+            number = np.array([known.get(t, -1) for t in names], dtype=np.int64).take(term)
+            group = np.array([of_source[lang][s.encode("utf-8", "surrogatepass")] for s in sources], dtype=np.int64)
+            some = number >= 0
+            pairs, at = np.unique(group.take(owner.take(doc[some])) << 32 | number[some], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(at, weights=n[some], minlength=len(pairs)).astype(np.int64))], names=["pair", "n"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, groups = (x.combine_chunks() for x in shared.value)
+        for batch in batches:
+            pair = batch.column(0).to_numpy()
+            group, word = pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF)
+            columns = [groups[name].take(group).combine_chunks() for name in ("lang", "source")] + [words["term"].take(word).combine_chunks()]
+            yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in columns), batch.column(1)], names=["lang", "source", "term", "n"])
+
+    found = map_batches(relation, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return map_batches(found, named, "lang string, source string, term string, n long")
+
+
+def _counts_by_word(relation: DataFrame, terms: DataFrame, most_bits: int) -> DataFrame:
     ends = terms.select("lang", F.expr("cast(term as binary) || X'00'").alias("prefix"))
     kept = terms.sparkSession.sparkContext.broadcast(_filter(ends, most_bits))
 
@@ -261,7 +306,7 @@ def pair_sums(shares: DataFrame, groups: DataFrame, tile: int = TILE, block_term
     return found.groupBy("lang", "a", "b").agg(F.sum("extra").alias("extra"))
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 10, top: int = 10, chunk: int = CHUNK, most_bits: int = keyfilter.MOST_BITS, tile: int = TILE, block_terms: int = BLOCK_TERMS) -> DataFrame:
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 10, top: int = 10, chunk: int = CHUNK, most_bits: int = keyfilter.MOST_BITS, tile: int = TILE, block_terms: int = BLOCK_TERMS, most_numbered: int = MOST_NUMBERED) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source is from the others of its language, and by which terms from the language.
 
     A language keeps the terms in at least `least` of its documents (rows). Counts of kept terms, smoothed by 2, give each source and each language
@@ -276,8 +321,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     occurrences(docs, text_col, lang_col, source_col, chunk).write.option("compression", "zstd").parquet(folder)
     relation = spark.read.schema(_SCHEMA).parquet(folder)
     terms = checkpoint(kept_terms(relation, least, most_bits))
-    counts = checkpoint(source_counts(relation, terms, most_bits))
     names = checkpoint(relation.select("lang", F.explode("sources").alias("source")).distinct())
+    counts = checkpoint(source_counts(relation, terms, names, most_bits, most_numbered))
     remove_folder(spark, folder)
 
     kinds = terms.groupBy("lang").agg(F.count("*").alias("kinds"))

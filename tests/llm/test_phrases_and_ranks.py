@@ -100,9 +100,9 @@ def plain_audit(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk,bits,tile,block", [(divergence.CHUNK, keyfilter.MOST_BITS, divergence.TILE, divergence.BLOCK_TERMS), (300, 20, 2, 3)])
-def test_audit(docs, chunk, bits, tile, block):
-    got = divergence.audit(docs, chunk=chunk, most_bits=bits, tile=tile, block_terms=block)
+@pytest.mark.parametrize("chunk,bits,tile,block,numbered", [(divergence.CHUNK, keyfilter.MOST_BITS, divergence.TILE, divergence.BLOCK_TERMS, 1000), (300, 20, 2, 3, 1000), (300, 20, 2, 3, 5)])
+def test_audit(docs, chunk, bits, tile, block, numbered):
+    got = divergence.audit(docs, chunk=chunk, most_bits=bits, tile=tile, block_terms=block, most_numbered=numbered)
     want = plain_audit(docs.collect(), 10, 10)
     assert sorted(map(tuple, got.collect())) == want
     assert {w[4] for w in want if w[0] == "fr"} == {0}
