@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_ascii(value: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(value, _UPPER, _LOWER)
@@ -70,6 +77,21 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def canonical_value(value: Column) -> Column:
+    """Compact JSON of a struct, map or array with the keys of every level in order, nulls kept, dates and times in ISO form.
+
+    Keys are put in order by the variant type, by their UTF-8 bytes; equal values give equal text in whatever order their maps stand.
+    """
+    plain = F.to_json(value, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"})
+    return F.to_json(F.parse_json(F.regexp_replace(plain, r"(\d{2}:\d{2}:\d{2})\.000000\"", '$1"')))
+
+
+def canonical_text(value: Column) -> Column:
+    """Text that is JSON stays as it is, to the byte; other text becomes a JSON string; null is null."""
+    quoted = F.to_json(F.array(value))
+    return F.when(F.try_parse_json(value).isNotNull(), value).when(value.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
+
 def csv_safe(value: Column) -> Column:
     """Text for a spreadsheet: null is empty, and what could be read as a formula gets a leading apostrophe."""
     text = F.coalesce(value.cast("string"), F.lit(""))

@@ -30,13 +30,13 @@ def merge_keyed(target: DataFrame, source: DataFrame, keys: list[str], preserve:
     return both.select(*out)
 
 
-def presence(existing: DataFrame, observed: DataFrame, key: str, complete: bool, now: Column) -> DataFrame:
+def presence(existing: DataFrame, observed: DataFrame, key: str, complete: bool, now: Column, exempt: Column | None = None) -> DataFrame:
     """(key, presence, missing_since, reconciled_at, transition) of existing (key, presence, missing_since) against observed keys.
 
-    Only a complete read may prove absence; any read proves presence.
+    Only a complete read may prove absence; any read proves presence. Known rows that are exempt (documents that only pages show) are left as they are.
     """
-    both = existing.withColumn("was", F.lit(True)).join(observed.select(key).distinct().withColumn("seen", F.lit(True)), key, "full_outer")
-    was, seen, full = C("was").isNotNull(), C("seen").isNotNull(), F.lit(complete)
+    both = existing.withColumn("was", F.lit(True)).withColumn("exempt_", F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))).join(observed.select(key).distinct().withColumn("seen", F.lit(True)), key, "full_outer")
+    was, seen, full = C("was").isNotNull(), C("seen").isNotNull(), F.lit(complete) & ~F.coalesce("exempt_", F.lit(False))
     state = F.when(seen, "active").when(full, "missing").otherwise(C("presence"))
     since = F.when(seen, None).when(full, F.coalesce("missing_since", now)).otherwise(C("missing_since"))
     transition = F.when(~was, "new").when(seen & (C("presence") == "missing"), "reappeared").when(~seen & full & (C("presence") != "missing"), "became_missing").otherwise("unchanged")

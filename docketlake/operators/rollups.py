@@ -86,8 +86,8 @@ def completeness(material_gap: Column, probe_failures: Column) -> Column:
     return F.when(material_gap, "inventory_incomplete").when(probe_failures, "inventory_complete_with_errors").otherwise("inventory_complete")
 
 
-def dashboard(sessions: DataFrame, boundary: str, states: DataFrame, bills: DataFrame, docs: DataFrame, probes: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row of the archive's scalars. Without the boundary session, no session is in scope."""
+def dashboard(sessions: DataFrame, boundary: str, states: DataFrame, bills: DataFrame, docs: DataFrame, probes: DataFrame, runs: DataFrame, versions: DataFrame) -> DataFrame:
+    """One row of the archive's scalars; archive_bytes is the size of all versions. Without the boundary session, no session is in scope."""
     since = sessions.where(C("session_key") == boundary).agg(F.min("begin_date").alias("since"))  # one row
     sized = docs.join(probes.groupBy("doc_key").agg(F.max("content_length").alias("size")), "doc_key", "left")
     current, kind, status = C("source_presence") != "missing", C("document_kind"), C("download_status")
@@ -103,22 +103,22 @@ def dashboard(sessions: DataFrame, boundary: str, states: DataFrame, bills: Data
             F.count_if(kind == "floor_letter").alias("floor_letters"),
             F.count_if((status == "downloaded") & (C("validation_status") == "valid") & C("has_version")).alias("documents_downloaded"),
             F.count_if(status.isin("failed_retryable", "failed_terminal")).alias("download_failures"),
-            when_sum(C("downloaded_bytes"), status == "downloaded").alias("archive_bytes"),
             when_sum(C("size"), current).alias("known_remote_bytes"),
             F.count_if(current & C("size").isNotNull()).alias("known_size_documents"),
             F.count_if(current & ~blank(C("canonical_download_url")) & C("size").isNull()).alias("unknown_size_documents"),
         ),
+        versions.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("archive_bytes")),
         runs.agg(F.max(F.when(done, C("finished_at"))).alias("last_historical_inventory")),
     ])
 
 
 def finished_runs(runs: DataFrame, items: DataFrame, historical: list[str]) -> DataFrame:
-    """(run_id, outcome) of runs that end now: canceled and paused stay; fatal without any bill is failed; errors, or
+    """(run_id, outcome) of runs that end now: canceled and paused stay; fatal without any bill (null counts as 0) is failed; errors, or
     sessions that a historical run left incomplete or failed, are completed_with_errors; else completed."""
     failed = items.where((C("item_type") == "session") & C("status").isin("failed_retryable", "failed_terminal")).groupBy("run_id").agg(F.count("*").alias("failed_sessions"))
     left_open = (C("sessions_incomplete") > 0) | (C("sessions_failed") > 0) | (F.coalesce("failed_sessions", F.lit(0)) > 0)
     errors = (C("error_count") > 0) | C("run_type").isin(historical) & left_open
-    outcome = F.when(C("status").isin("canceled", "paused"), C("status")).when(C("fatal_error").isNotNull() & (C("bills_completed") == 0), "failed").when(errors, "completed_with_errors").otherwise("completed")
+    outcome = F.when(C("status").isin("canceled", "paused"), C("status")).when(C("fatal_error").isNotNull() & (F.coalesce("bills_completed", F.lit(0)) == 0), "failed").when(errors, "completed_with_errors").otherwise("completed")
     return runs.join(failed, "run_id", "left").select("run_id", outcome.alias("outcome"))
 
 

@@ -163,16 +163,18 @@ def r6_operations_all_filters(t: Tables) -> DataFrame:
 
 @query("""SELECT (SELECT count(*) FROM sess WHERE begin_date >= (SELECT begin_date FROM sess WHERE session_key = '1994R1')) AS sessions_in_scope, (SELECT count(*) FROM sess WHERE CAST(substr(session_key, 1, 4) AS INT) % 3 > 0) AS sessions_inventory_complete, (SELECT count(*) FROM bill) AS bills, count(*) AS documents_discovered,
 count(*) FILTER (document_kind = 'public_testimony') AS public_testimony, count(*) FILTER (document_kind IN ('legacy_testimony', 'committee_presentation')) AS presentation_legacy, count(*) FILTER (document_kind = 'floor_letter') AS floor_letters, count(*) FILTER (download_status = 'downloaded' AND validation_status = 'valid' AND has_version) AS documents_downloaded,
-count(*) FILTER (download_status IN ('failed_retryable', 'failed_terminal')) AS download_failures, CAST(coalesce(sum(downloaded_bytes) FILTER (download_status = 'downloaded'), 0) AS BIGINT) AS archive_bytes, CAST(coalesce(sum(size) FILTER (source_presence <> 'missing'), 0) AS BIGINT) AS known_remote_bytes, count(*) FILTER (source_presence <> 'missing' AND size IS NOT NULL) AS known_size_documents,
+count(*) FILTER (download_status IN ('failed_retryable', 'failed_terminal')) AS download_failures, (SELECT CAST(coalesce(sum(downloaded_bytes * CASE WHEN bill_id % 2 = 0 THEN 3 ELSE 1 END), 0) AS BIGINT) FROM wdoc WHERE has_version) AS archive_bytes, CAST(coalesce(sum(size) FILTER (source_presence <> 'missing'), 0) AS BIGINT) AS known_remote_bytes, count(*) FILTER (source_presence <> 'missing' AND size IS NOT NULL) AS known_size_documents,
 count(*) FILTER (source_presence <> 'missing' AND trim(coalesce(canonical_download_url, '')) <> '' AND size IS NULL) AS unknown_size_documents, (SELECT max(finished_at) FROM wrun WHERE run_type = 'inventory_backfill' AND status IN ('completed', 'completed_with_errors')) AS last_historical_inventory
 FROM wdoc d LEFT JOIN (SELECT doc_key, max(content_length) AS size FROM probe GROUP BY 1) p ON p.doc_key = d.doc_key""")
 def e3_dashboard_all(t: Tables) -> DataFrame:
     year = F.substring("session_key", 1, 4).cast("int")
     states = t.sess.select("session_key", F.when(year % 3 == 0, "not_started").when(year % 3 == 1, "inventory_complete").otherwise("inventory_complete_with_errors").alias("inventory_status"))
-    return rollups.dashboard(t.sess, "1994R1", states, t.bill, t.wdoc, t.probe, t.wrun)
+    first = t.wdoc.where("has_version").select("doc_key", "bill_id", F.lit(1).alias("version"), C("downloaded_bytes").alias("size"))
+    versions = first.union(first.where("bill_id % 2 = 0").select("doc_key", "bill_id", F.lit(2), C("size") * 2))
+    return rollups.dashboard(t.sess, "1994R1", states, t.bill, t.wdoc, t.probe, t.wrun, versions)
 
 
-@query("""SELECT run_id, CASE WHEN status IN ('canceled', 'paused') THEN status WHEN fatal_error IS NOT NULL AND bills_completed = 0 THEN 'failed' WHEN error_count > 0 OR (run_type IN ('inventory_backfill', 'archive_download') AND (sessions_incomplete > 0 OR sessions_failed > 0 OR coalesce(f, 0) > 0)) THEN 'completed_with_errors' ELSE 'completed' END AS outcome
+@query("""SELECT run_id, CASE WHEN status IN ('canceled', 'paused') THEN status WHEN fatal_error IS NOT NULL AND coalesce(bills_completed, 0) = 0 THEN 'failed' WHEN error_count > 0 OR (run_type IN ('inventory_backfill', 'archive_download') AND (sessions_incomplete > 0 OR sessions_failed > 0 OR coalesce(f, 0) > 0)) THEN 'completed_with_errors' ELSE 'completed' END AS outcome
 FROM wrun LEFT JOIN (SELECT run_id AS r, count(*) AS f FROM item WHERE item_key % 2 = 0 AND status LIKE 'failed%' GROUP BY 1) i ON i.r = run_id""")
 def e16_run_outcome_all(t: Tables) -> DataFrame:
     return rollups.finished_runs(t.wrun, t.item.withColumn("item_type", F.when(C("item_key") % 2 == 0, "session").otherwise("document")), ["inventory_backfill", "archive_download"])

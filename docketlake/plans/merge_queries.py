@@ -176,18 +176,23 @@ def s17_type_drift(t: Tables) -> DataFrame:
 _FIT = "document_kind IN ('public_testimony', 'committee_presentation', 'floor_letter') AND trim(coalesce(canonical_download_url, '')) <> ''"
 
 
-@query(f"SELECT DISTINCT CAST(99 AS BIGINT) AS run_id, 'document' AS item_type, doc_key AS item_key, d.bill_id, session_key, 'queued' AS status FROM doc d JOIN bill b ON d.bill_id = b.bill_id WHERE download_status IN ('failed_retryable', 'failed_terminal') AND {_FIT} AND CAST(substr(session_key, 1, 4) AS INT) >= 1994 AND d.bill_id IN (SELECT item_key FROM item WHERE status LIKE 'failed%')")
+def _items(t: Tables) -> DataFrame:
+    """Items of a run: every other document of each bill, and bills, which are no documents."""
+    return t.doc.where("source_id % 2 = 1").select(F.lit("document").alias("item_type"), C("doc_key").alias("item_key")).union(t.doc.select(F.lit("bill"), C("bill_id").cast("string")))
+
+
+@query(f"SELECT DISTINCT CAST(99 AS BIGINT) AS run_id, 'document' AS item_type, doc_key AS item_key, d.bill_id, session_key, 'queued' AS status FROM doc d JOIN bill b ON d.bill_id = b.bill_id WHERE download_status IN ('failed_retryable', 'failed_terminal') AND {_FIT} AND CAST(substr(session_key, 1, 4) AS INT) >= 1994 AND d.source_id % 2 = 1")
 def s21_retry_items(t: Tables) -> DataFrame:
-    return archive.retry_items(99, t.doc, t.bill, 1994, True, t.item.where(C("status").startswith("failed")))
+    return archive.retry_items(99, t.doc, t.bill, 1994, True, _items(t))
 
 
-@query(f"SELECT DISTINCT CAST(o AS INT) AS ordinal, b.session_key, doc_key FROM doc d JOIN bill b ON d.bill_id = b.bill_id JOIN (SELECT session_key, row_number() OVER (ORDER BY begin_date, session_key) AS o FROM sess) s ON s.session_key = b.session_key WHERE CAST(substr(b.session_key, 1, 4) AS INT) % 3 > 0 AND d.source_presence = 'active' AND first_seen_at <= TIMESTAMP '1998-01-01' AND {_FIT} AND download_status IN ('discovered', 'queued', 'failed_retryable', 'changed_remote') AND d.bill_id NOT IN (SELECT item_key FROM item WHERE status = 'completed')")
+@query(f"SELECT DISTINCT CAST(o AS INT) AS ordinal, b.session_key, doc_key FROM doc d JOIN bill b ON d.bill_id = b.bill_id JOIN (SELECT session_key, row_number() OVER (ORDER BY begin_date, session_key) AS o FROM sess) s ON s.session_key = b.session_key WHERE CAST(substr(b.session_key, 1, 4) AS INT) % 3 > 0 AND d.source_presence IN ('active', 'unknown') AND first_seen_at <= TIMESTAMP '1998-01-01' AND {_FIT} AND download_status IN ('discovered', 'queued', 'failed_retryable', 'changed_remote') AND d.source_id % 2 = 0")
 def s22_ordered_work_list(t: Tables) -> DataFrame:
     from docketlake.plans.model_queries import f7_session_ordinal
 
     year = F.substring("session_key", 1, 4).cast("int")
     states = t.sess.select("session_key", F.when(year % 3 == 0, "interrupted").when(year % 3 == 1, "inventory_complete").otherwise("inventory_complete_with_errors").alias("inventory_status"))
-    return archive.work_list(f7_session_ordinal(t), states, t.doc, t.bill, t.item.where("status = 'completed'"), F.lit("1998-01-01").cast("timestamp"), filters.RETRYABLE, filters.PAYLOAD_KINDS)
+    return archive.work_list(f7_session_ordinal(t), states, t.doc, t.bill, _items(t), F.lit("1998-01-01").cast("timestamp"), filters.RETRYABLE, filters.PAYLOAD_KINDS)
 
 
 _SYNC = "SELECT session_key, CASE measure_prefix WHEN 'HB' THEN 'Measures' WHEN 'SB' THEN 'Committees' ELSE 'FloorLetters' END AS entity, max(source_modified_at) AS cursor, min(source_modified_at) AS last_full_at, max(bill_id) AS last_successful_run_id, 'complete' AS outcome, count(*) > 5 AS complete FROM {bill} GROUP BY 1, 2"

@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable:
 def load() -> None:
     """Import the modules that register queries."""
     from docketlake.plans import detail_queries, merge_queries, model_queries, scalar_queries, state_queries  # noqa: F401, I001
-    from docketlake.plans import job_queries, load_queries  # noqa: F401
+    from docketlake.plans import audit_queries, job_queries, load_queries  # noqa: F401
 
 
 load()

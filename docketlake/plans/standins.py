@@ -22,7 +22,7 @@ VIEWS = {
     "rawcommittee": "SELECT '1995R1' AS SessionKey, concat('C', CAST(s_suppkey AS string)) AS CommitteeCode, concat(s_name, '  Board') AS CommitteeName, CASE WHEN s_suppkey % 2 = 0 THEN 'H' ELSE 'S' END AS HouseOfAction, s_nationkey AS CommitteeId FROM {supplier}",
     "rawdoc": "SELECT DISTINCT concat(CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string), '-', CAST(l_partkey AS string), '-', CAST(l_suppkey AS string)) AS ident, l_orderkey AS bill_id, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE concat('Part  ', CAST(l_partkey AS string)) END AS title, CASE CAST(l_partkey % 4 AS int) WHEN 0 THEN 'Presentation' WHEN 1 THEN 'Agenda' WHEN 2 THEN 'Map' END AS kind, concat('C', CAST(l_suppkey AS string)) AS code, CASE WHEN l_suppkey % 3 > 0 THEN concat('https://example.org/d/', CAST(l_partkey AS string)) END AS url, CASE WHEN l_linenumber % 2 = 0 THEN 'S' ELSE 'house' END AS chamber, CAST(l_shipdate AS string) AS held, l_linenumber AS n, l_suppkey AS who FROM {lineitem}",
     "wdoc": f"SELECT {_KEY} AS doc_key, l_orderkey AS bill_id, concat('HB', CAST(l_orderkey % 300 AS string)) AS bill_id_compact, concat(CAST(1992 + l_orderkey % 7 AS string), 'R1') AS session_key, CASE WHEN l_returnflag = 'A' THEN 'public_testimony' WHEN l_returnflag = 'R' THEN 'committee_presentation' ELSE 'floor_letter' END AS document_kind, CASE CAST(l_partkey % 4 AS int) WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Oppose' WHEN 2 THEN 'Support' END AS testimony_position, CASE CAST(l_partkey % 5 AS int) WHEN 0 THEN 'downloaded' WHEN 1 THEN 'failed_retryable' WHEN 2 THEN 'failed_terminal' ELSE 'discovered' END AS download_status, CASE WHEN l_linenumber % 2 = 0 THEN 'valid' ELSE 'unchecked' END AS validation_status, l_linenumber % 3 > 0 AS has_version, CASE WHEN l_suppkey % 17 = 0 THEN 'missing' ELSE 'active' END AS source_presence, concat('C', CAST(l_suppkey % 30 AS string)) AS committee_code, CASE WHEN l_suppkey % 4 > 0 THEN concat('Board of ', l_linestatus) END AS committee_name, CASE WHEN l_linenumber <> 4 THEN concat('Person ', CAST(l_suppkey AS string)) END AS submitter, CASE WHEN l_linenumber % 3 = 0 THEN concat('City ', CAST(l_suppkey % 9 AS string)) END AS city_organization, CASE WHEN l_linenumber % 3 = 1 THEN concat('Club ', CAST(l_suppkey % 9 AS string)) END AS on_behalf_of, CASE WHEN l_suppkey % 3 > 0 THEN l_linenumber % 2 = 0 END AS displayed, CASE WHEN l_partkey % 11 > 0 THEN concat('https://example.org/d/', CAST(l_partkey AS string)) END AS canonical_download_url, CAST(floor(l_extendedprice) AS bigint) AS downloaded_bytes FROM {{lineitem}}",
-    "wrun": "SELECT c_custkey AS run_id, CASE WHEN c_custkey % 3 = 0 THEN 'inventory_backfill' WHEN c_custkey % 3 = 1 THEN 'archive_download' ELSE 'bill_collection' END AS run_type, CASE CAST(c_custkey % 7 AS int) WHEN 0 THEN 'canceled' WHEN 1 THEN 'paused' WHEN 2 THEN 'completed' WHEN 3 THEN 'completed_with_errors' ELSE 'running' END AS status, concat(CAST(1992 + c_custkey % 7 AS string), 'R1') AS requested_session_key, concat('HB', CAST(c_custkey % 90 AS string)) AS requested_bill, CASE WHEN c_custkey % 4 > 0 THEN concat('name ', c_mktsegment) END AS requested_scope_json, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 3 ELSE 0 END AS error_count, c_custkey % 2 AS bills_completed, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS sessions_incomplete, 0 AS sessions_failed, CASE WHEN c_custkey % 8 = 0 THEN 'stopped' END AS fatal_error, concat('2024-01-', lpad(CAST(1 + c_custkey % 28 AS string), 2, '0')) AS finished_at FROM {customer}",
+    "wrun": "SELECT c_custkey AS run_id, CASE WHEN c_custkey % 3 = 0 THEN 'inventory_backfill' WHEN c_custkey % 3 = 1 THEN 'archive_download' ELSE 'bill_collection' END AS run_type, CASE CAST(c_custkey % 7 AS int) WHEN 0 THEN 'canceled' WHEN 1 THEN 'paused' WHEN 2 THEN 'completed' WHEN 3 THEN 'completed_with_errors' ELSE 'running' END AS status, concat(CAST(1992 + c_custkey % 7 AS string), 'R1') AS requested_session_key, concat('HB', CAST(c_custkey % 90 AS string)) AS requested_bill, CASE WHEN c_custkey % 4 > 0 THEN concat('name ', c_mktsegment) END AS requested_scope_json, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 3 ELSE 0 END AS error_count, CASE WHEN c_custkey % 6 < 5 THEN c_custkey % 2 END AS bills_completed, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS sessions_incomplete, 0 AS sessions_failed, CASE WHEN c_custkey % 8 = 0 THEN 'stopped' END AS fatal_error, concat('2024-01-', lpad(CAST(1 + c_custkey % 28 AS string), 2, '0')) AS finished_at FROM {customer}",
     "werr": "SELECT event_id AS id, user_id AS run_id, concat(CAST(1992 + event_id % 7 AS string), 'R1') AS session_key, concat('HB', CAST(event_id % 200 AS string)) AS bill, CASE CAST(event_id % 3 AS int) WHEN 0 THEN 'download_documents' WHEN 1 THEN 'inventory' ELSE 'reconcile' END AS stage, CASE WHEN event_id % 2 = 0 THEN 'FloorLetter' ELSE 'CommitteeMeetingDocument' END AS source_entity_type, CAST(event_id % 50 AS string) AS source_id, CASE WHEN event_id % 4 > 0 THEN event_id % 6000 END AS document_id, CASE WHEN event_id % 5 < 3 THEN 'HttpError' ELSE 'Timeout' END AS error_class, (event_id % 3 = 0) AS retryable, props AS message, 1 + event_id % 5 AS attempt_count, ts AS first_occurred_at, ts AS last_occurred_at, CASE WHEN event_id % 4 = 0 THEN ts END AS resolved_at, concat('https://example.org/', CAST(event_id AS string)) AS source_url FROM {events} WHERE event_type IN ('error', 'click')",
     "wanom": "SELECT event_id AS id, user_id AS first_run_id, user_id % 40 AS last_run_id, concat(CAST(1992 + event_id % 7 AS string), 'R1') AS session_key, CASE WHEN event_id % 3 > 0 THEN concat('HB', CAST(event_id % 200 AS string)) END AS bill, CASE WHEN event_id % 2 = 0 THEN 'FloorLetter' ELSE 'CommitteeMeetingDocument' END AS source_entity_type, CAST(event_id % 50 AS string) AS source_id, CASE WHEN event_id % 4 > 0 THEN event_id % 6000 END AS document_id, CASE CAST(event_id % 4 AS int) WHEN 0 THEN 'source_only' WHEN 1 THEN 'page_only' WHEN 2 THEN 'count_mismatch' ELSE 'type_drift' END AS anomaly_type, CASE CAST(event_id % 3 AS int) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'error' END AS severity, (event_id % 6 = 0) AS affects_completeness, props AS message, 1 + event_id % 4 AS occurrence_count, ts AS first_observed_at, ts AS last_observed_at, CASE WHEN event_id % 5 = 0 THEN ts END AS resolved_at, concat('https://example.org/', CAST(event_id AS string)) AS source_url FROM {events} WHERE event_type IN ('signup', 'view')",
     "docid": "SELECT o_orderkey AS document_id, CASE CAST(o_orderkey % 3 AS int) WHEN 0 THEN 'public_testimony' WHEN 1 THEN 'floor_letter' ELSE 'committee_presentation' END AS document_kind, CASE WHEN o_orderkey % 5 = 0 THEN 503 WHEN o_orderkey % 5 = 1 THEN 404 END AS http_status, concat(CAST(year(o_orderdate) AS string), 'R1') AS session_key, concat('HB', CAST(o_orderkey AS string)) AS bill, o_orderkey % 400 AS bill_id FROM {orders}",

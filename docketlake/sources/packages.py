@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.functions.text import let
+
 C = F.col
 #: Bounds of a package that may be opened, and the member that each Office type must have.
 MOST_ENTRIES, MOST_EXPANDED, MOST_RATIO = 10_000, 512 * 1024 * 1024, 250
@@ -30,12 +32,14 @@ def number(data: Column | str, at: Column, size: int) -> Column:
 def directory(content: Column) -> Column:
     """struct(entries, offset, size, readable) of the end record, which is searched from the end of the file; not readable without a whole one."""
     tail = F.decode(F.substring(content, F.greatest(F.length(content) - _END - _COMMENT, F.lit(0)) + 1, F.lit(_END + _COMMENT)), "ISO-8859-1")
-    after = F.encode(F.substring_index(tail, "PK\x05\x06", -1), "ISO-8859-1")  # what follows the last signature
-    at = F.length(content) - F.length(after)
-    found = tail.contains("PK\x05\x06") & (F.length(after) >= _END - 4)
-    entries, size, offset, comment = (number(content, at + k, n) for k, n in ((6, 2), (8, 4), (12, 4), (16, 2)))
-    whole = found & (comment == F.length(after) - _END + 4) & (offset + size <= at - 4)
-    return F.struct(entries.alias("entries"), offset.alias("offset"), size.alias("size"), F.coalesce(whole, F.lit(False)).alias("readable"))
+
+    def read(after: Column) -> Column:
+        entries, size, offset, comment = (number(after, F.lit(k), n) for k, n in ((6, 2), (8, 4), (12, 4), (16, 2)))
+        whole = (F.length(after) >= _END - 4) & (comment == F.length(after) - _END + 4) & (offset + size <= F.length(content) - F.length(after) - 4)
+        return F.struct(entries.alias("entries"), offset.alias("offset"), size.alias("size"), F.coalesce(whole, F.lit(False)).alias("readable"))
+
+    # what follows the last signature
+    return let(tail, lambda t: let(F.when(t.contains("PK\x05\x06"), F.encode(F.substring_index(t, "PK\x05\x06", -1), "ISO-8859-1")), read))
 
 
 def members(central: Column, entries: Column) -> Column:
@@ -75,16 +79,20 @@ def inspect(files: DataFrame, content: str = "content") -> DataFrame:
     type is docx, xlsx, xlsm or pptx by the members, else zip; a package with a problem is a zip. Only the end record and the central directory are
     read, by built-in functions; directories of more than MOST_ENTRIES entries are not walked. Names compare without case.
     """
-    rows = files.withColumn("end_", F.when(F.hex(F.substring(content, 1, 4)) == "504B0304", directory(C(content))))
-    fit = C("end_.readable") & (C("end_.entries") <= MOST_ENTRIES)
-    rows = rows.withColumn("central_", F.when(fit, F.substring(C(content), C("end_.offset").cast("int") + 1, C("end_.size").cast("int"))))
-    rows = rows.withColumn("found_", F.when(C("central_").isNotNull(), members(C("central_"), C("end_.entries"))))
-    rows = rows.withColumn("problem_", F.when(~C("end_.readable"), "unreadable_package").otherwise(package_problem(C("end_.entries"), C("found_"))))
-    names = F.transform("found_", lambda e: F.lower(e["name"]))
-    has = lambda member: F.array_contains("names_", member)
-    kind = F.when(C("problem_").isNotNull(), "zip").when(has(MEMBERS["docx"]), "docx").when(has(MEMBERS["xlsx"]) & has(MACROS), "xlsm").when(has(MEMBERS["xlsx"]), "xlsx").when(has(MEMBERS["pptx"]), "pptx").otherwise("zip")
-    rows = rows.withColumn("names_", names)
-    return rows.withColumn("package", F.when(C("end_").isNotNull(), F.struct(kind.alias("type"), C("problem_").alias("problem"), C("names_").alias("members")))).drop("end_", "central_", "found_", "problem_", "names_")
+    data = C(content)
+
+    def described(found: Column, problem: Column) -> Column:
+        names = F.transform(found, lambda e: F.lower(e["name"]))
+        has = lambda held, member: F.array_contains(held, member)
+        kind = lambda held: F.when(problem.isNotNull(), "zip").when(has(held, MEMBERS["docx"]), "docx").when(has(held, MEMBERS["xlsx"]) & has(held, MACROS), "xlsm").when(has(held, MEMBERS["xlsx"]), "xlsx").when(has(held, MEMBERS["pptx"]), "pptx").otherwise("zip")
+        return let(names, lambda held: F.struct(kind(held).alias("type"), problem.alias("problem"), held.alias("members")))
+
+    def package(end: Column) -> Column:
+        central = F.when(end["readable"] & (end["entries"] <= MOST_ENTRIES), F.substring(data, end["offset"].cast("int") + 1, end["size"].cast("int")))
+        problem = lambda found: F.when(~end["readable"], "unreadable_package").otherwise(package_problem(end["entries"], found))
+        return let(central, lambda c: let(members(c, end["entries"]), lambda found: let(problem(found), lambda p: described(found, p))))
+
+    return files.withColumn("package", F.when(F.hex(F.substring(data, 1, 4)) == "504B0304", let(directory(data), package)))
 
 
 def broken_members(packages: DataFrame) -> DataFrame:
