@@ -17,9 +17,9 @@ from docketlake.llm.base import checkpoint, map_batches, remove_folder, shared_f
 #: A-Z become lower case, other bytes than letters and those of characters beyond ASCII part terms.
 _PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 #: Bytes of the shortest prefix; each level doubles them.
-FIRST = 2
+FIRST = 4
 #: Terms of one row of the relation, bytes of text that are split at a time.
-CHUNK, SLICE = 1 << 21, 1 << 20
+CHUNK, SLICE = 1 << 20, 1 << 20
 #: Sources and terms of a block of the comparison of pairs.
 TILE, BLOCK_TERMS = 256, 4096
 #: Kept terms and sources that are numbered for a broadcast (64 MB).
@@ -168,7 +168,7 @@ def _filter(rows: DataFrame, most_bits: int) -> np.ndarray:
 def kept_terms(relation: DataFrame, least: int, most_bits: int = keyfilter.MOST_BITS) -> DataFrame:
     """(lang, term, n_docs) of the terms in at least `least` documents of a language.
 
-    Prefixes grow from level to level, 2, 4, 8 bytes and so on. A prefix in too few documents goes with all its terms; a term that ends within the prefix is complete, and is kept if enough documents hold it. The last level is the one that leaves no longer prefix.
+    Prefixes grow from level to level, 4, 8, 16 bytes and so on. A prefix in too few documents goes with all its terms; a term that ends within the prefix is complete, and is kept if enough documents hold it. The last level is the one that leaves no longer prefix.
     Prefixes pass to the next level as a filter of bounded size; what it lets pass besides is counted and dropped there, so that its size changes the work and not the result.
     """
     spark = relation.sparkSession
