@@ -15,8 +15,10 @@ from docketlake.llm.graph import components
 
 #: Random signs in the sort key of a pass over all vectors, in that of a pass within a range, and in a sketch.
 OUTER_BITS, INNER_BITS, SKETCH_BITS = 60, 32, 128
-#: Vectors of a range of a pass, which are held in one task: a quarter of all, within these bounds.
-LEAST_RANGE, MOST_RANGE = 1 << 15, 1 << 19
+#: Vectors of a range of a pass, which are held in one task: a quarter of all, within these bounds, and of so many bytes at most (six a component).
+LEAST_RANGE, MOST_RANGE, RANGE_BYTES = 1 << 15, 1 << 19, 256 << 20
+#: Lengths of vectors whose mean is taken off, the most frequent ones; the least similarity that pairs at the threshold are held to have beyond the mean.
+CENTRED, LEAST_BEYOND = 100, 0.25
 #: How often the passes within a range may miss a pair at the threshold that the range holds.
 INNER_MISS = 0.02
 #: Components that are broadcast by id and size (16 bytes each); with more of them Spark splits the skewed side of a sorted join.
@@ -39,7 +41,7 @@ def usable(x: Column) -> Column:
 def needed_passes(rows: int, threshold: float, window: float, miss: float, least: int, found: float = 1.0) -> int:
     """How many passes leave a lone pair at the threshold unmet with a chance of `miss` at most, `least` at least.
 
-    A random sign agrees for the pair with chance p = 1 - acos(threshold) / pi, and evenly spread vectors fall
+    A random sign agrees for the pair with chance p = 1 - acos(threshold) / pi, and vectors evenly spread around their mean fall
     within `window` of each other once about log2(rows / window) leading signs agree; a pair that does is
     found with a chance of `found`.
     """
@@ -47,13 +49,39 @@ def needed_passes(rows: int, threshold: float, window: float, miss: float, least
     return max(least, math.ceil(math.log(miss) / math.log1p(-meets))) if meets < 1 else least
 
 
-def range_size(rows: int) -> int:
-    return min(MOST_RANGE, max(LEAST_RANGE, rows // 4))
+def range_size(rows: int, dim: int = 64) -> int:
+    return max(2, min(MOST_RANGE, max(LEAST_RANGE, rows // 4), RANGE_BYTES // (6 * max(dim, 1))))
 
 
-def outer_passes(rows: int, threshold: float, miss: float) -> int:
+def means(points: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
+    """Mean of the unit vectors of each length in dims; sums are added up by component, so the driver gets a number a component."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for dim in np.unique(of).tolist():
+                units = _units(batch.column(1).filter(pa.array(of == dim)))
+                sums[dim] = sums.get(dim, 0) + np.append(units.sum(axis=0), len(units))
+        for dim, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(dim + 1, dim, dtype=np.int32)), pa.array(np.arange(dim + 1, dtype=np.int32)), pa.array(total)], names=["dim", "place", "total"])
+
+    found = map_batches(points.where(F.col("dim").isin(dims)).select("dim", "x"), add, "dim int, place int, total double").groupBy("dim", "place").agg(F.sum("total").alias("total")).toArrow() if dims else pa.table({"dim": [], "place": [], "total": []})
+    out = {d: np.zeros(d + 1) for d in dims}
+    for dim, place, total in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        out[dim][place] = total
+    return {d: x[:-1] / max(x[-1], 1) for d, x in out.items()}
+
+
+def beyond(mean: np.ndarray, threshold: float) -> float:
+    """Cosine that a pair at the threshold has once the mean is taken off: what all vectors share says nothing about a pair."""
+    shared = min(float(mean @ mean), 0.999)
+    return max(LEAST_BEYOND, (threshold - shared) / (1 - shared))
+
+
+def outer_passes(rows: int, threshold: float, miss: float, dim: int = 64) -> int:
     """Passes over all vectors. A range of a pass is cut anywhere, which costs a pair about one more leading sign."""
-    held = range_size(rows)
+    held = range_size(rows, dim)
     return needed_passes(rows, threshold, held / 2 if rows > held else held, miss, 2, 1 - INNER_MISS)
 
 
@@ -61,16 +89,17 @@ def _planes(dim: int, run: int, bits: int) -> np.ndarray:
     return np.random.default_rng((dim, run, bits)).standard_normal((dim, bits)).astype(np.float32)
 
 
-def _signs(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """The signs of the projections as one number each, first sign highest; at most 64."""
+def _signs(x: np.ndarray, planes: np.ndarray, mean: np.ndarray | None = None) -> np.ndarray:
+    """The signs of the projections, from that of the mean on, as one number each, first sign highest; at most 64."""
+    cut = 0 if mean is None else mean.astype(np.float32) @ planes
     weights = np.uint64(1) << np.arange(planes.shape[1] - 1, -1, -1, dtype=np.uint64)
     out = np.empty(len(x), dtype=np.uint64)
     for k in range(0, len(x), 1 << 14):
-        out[k : k + (1 << 14)] = np.where(x[k : k + (1 << 14)] @ planes > 0, weights, np.uint64(0)).sum(axis=1)
+        out[k : k + (1 << 14)] = np.where(x[k : k + (1 << 14)] @ planes > cut, weights, np.uint64(0)).sum(axis=1)
     return out
 
 
-def passes(points: DataFrame, count: int) -> DataFrame:
+def passes(points: DataFrame, count: int, centres: dict[int, np.ndarray]) -> DataFrame:
     """(run, code, rep, body): in each pass a vector gets the concatenated signs of random projections of its own.
 
     body is the unit vector in eight bits a component, with its scale and the length of what that leaves out.
@@ -88,13 +117,13 @@ def passes(points: DataFrame, count: int) -> DataFrame:
                 body = np.concatenate([scale.view(np.int8), lost.view(np.int8), small], axis=1)
                 body = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((np.arange(len(part) + 1) * body.shape[1]).astype(np.int32)), pa.py_buffer(body.tobytes())])
                 for run in range(count):
-                    codes = _signs(units.astype(np.float32), _planes(dim, run, OUTER_BITS)).view(np.int64)
+                    codes = _signs(units.astype(np.float32), _planes(dim, run, OUTER_BITS), centres.get(dim)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dim * count + run)), pa.array(codes), part.column(0), body], names=["run", "code", "rep", "body"])
 
     return map_batches(points.select("rep", "dim", "x"), project, "run long, code long, rep long, body binary")
 
 
-def range_links(bodies: np.ndarray, seed: int, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+def range_links(bodies: np.ndarray, seed: int, threshold: float, window: int, mean: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows among the vectors of a range: links that span what is surely similar, and pairs too close to tell.
 
     The range is sorted again and again by short concatenated hashes; neighbours within `window` whose
@@ -103,13 +132,15 @@ def range_links(bodies: np.ndarray, seed: int, threshold: float, window: int) ->
     n, dim = len(bodies), bodies.shape[1] - 8
     scale, lost = bodies[:, :4].copy().view(np.float32).ravel(), bodies[:, 4:8].copy().view(np.float32).ravel()
     small = bodies[:, 8:]
-    x = small.astype(np.float32)  # the scale does not change a sign
+    x = small.astype(np.float32)
+    x *= scale[:, None]
+    held_to = threshold if mean is None else beyond(mean, threshold)
     sketch = [_signs(x, _planes(dim, -1 - k & 0xFF, 64)) for k in range(SKETCH_BITS // 64)]
     differ = math.acos(threshold) / math.pi * SKETCH_BITS
     most = math.ceil(differ + 4.5 * math.sqrt(differ * (1 - differ / SKETCH_BITS)))
     root, spanning, close = np.arange(n), [], []
-    for run in range(needed_passes(n, threshold, window, INNER_MISS, 1)):
-        order = np.argsort(_signs(x, _planes(dim, (seed << 16) + run, INNER_BITS)), kind="stable")
+    for run in range(needed_passes(n, held_to, window, INNER_MISS, 1)):
+        order = np.argsort(_signs(x, _planes(dim, (seed << 16) + run, INNER_BITS), mean), kind="stable")
         here = [s[order] for s in sketch]
         for d in range(1, min(window, n - 1) + 1):
             far = sum(np.bitwise_count(s[d:] ^ s[:-d]).astype(np.uint16) for s in here)
@@ -119,7 +150,7 @@ def range_links(bodies: np.ndarray, seed: int, threshold: float, window: int) ->
             a, b = a[apart], b[apart]
             if not len(a):
                 continue
-            cosine = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 8192]], x[b[k : k + 8192]]) for k in range(0, len(a), 8192)]) * scale[a] * scale[b]
+            cosine = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 8192]], x[b[k : k + 8192]]) for k in range(0, len(a), 8192)])
             slack = lost[a] + lost[b] + lost[a] * lost[b] + np.float32(1e-4)
             sure = cosine >= threshold + slack
             unsure = ~sure & (cosine >= threshold - slack)
@@ -141,7 +172,7 @@ def range_links(bodies: np.ndarray, seed: int, threshold: float, window: int) ->
     return np.array(spanning, dtype=np.int64).reshape(-1, 2), unsure
 
 
-def window_links(points: DataFrame, ordered: DataFrame, window: int, threshold: float, held: int) -> DataFrame:
+def window_links(points: DataFrame, ordered: DataFrame, window: int, threshold: float, held: int, centres: dict[int, np.ndarray]) -> DataFrame:
     """Verified links (a, b) found in the ranges of every pass; each range is at most `held` neighbours of one pass."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +180,7 @@ def window_links(points: DataFrame, ordered: DataFrame, window: int, threshold:
 
         def done() -> pa.RecordBatch:
             ids, flat = np.concatenate(reps), np.concatenate(bodies)
-            links, unsure = range_links(flat, int(run), threshold, window) if len(ids) > 1 else (np.empty((0, 2), np.int64),) * 2
+            links, unsure = range_links(flat, int(run), threshold, window, centres.get(flat.shape[1] - 8)) if len(ids) > 1 else (np.empty((0, 2), np.int64),) * 2
             both = np.concatenate([links, unsure])
             return pa.RecordBatch.from_arrays([pa.array(ids[both[:, 0]]), pa.array(ids[both[:, 1]]), pa.array(np.arange(len(both)) < len(links))], names=["a", "b", "sure"])
 
@@ -236,7 +267,8 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, window: int = 64, block: int = 512, miss: float = 0.001) -> DataFrame:
     """Embedding classes: (vec_id, n_links, component_id, kept), one row per input row.
 
-    Equal vectors are one representative. In each pass the representatives are sorted by concatenated random
+    Equal vectors are one representative. Hashes are signs of projections from the mean of all vectors on, since what all share tells no
+    pair apart; the mean covers all rows. In each pass the representatives are sorted by concatenated random
     hashes and cut into ranges of neighbours, small enough for one task; a range is sorted again by other
     hashes, and each vector is compared with the `window` before it. Verified pairs of all passes are united
     into components, and links are then counted exactly within components. The number of passes grows with
@@ -253,12 +285,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     exact = F.col("x").cast("array<double>")
     keyed = every.where(fine).withColumn("k1", F.xxhash64("dim", exact)).withColumn("k2", F.xxhash64(F.lit(7), "dim", exact))
     reps = checkpoint(keyed.groupBy("k1", "k2", "dim").agg(F.min("vec").alias("rep"), F.count("*").alias("copies"), F.any_value("x").alias("x")))
-    by_dim = reps.groupBy("dim").count().agg(F.max("count"), F.sum("count")).first()
-    largest, total = by_dim[0] or 0, by_dim[1] or 0
-    count, held = outer_passes(largest, threshold, miss), range_size(largest)
+    sizes = reps.groupBy("dim").count()
+    by_dim = sizes.agg(F.max("count"), F.sum("count"), F.max("dim")).first()
+    largest, total, dim = by_dim[0] or 0, by_dim[1] or 0, by_dim[2] or 1
+    centres = means(reps, [r["dim"] for r in sizes.orderBy(F.desc("count"), "dim").limit(CENTRED).collect()])
+    count, held = outer_passes(largest, min([beyond(m, threshold) for m in centres.values()], default=threshold), miss, dim), range_size(largest, dim)
     ranges = max(1, math.ceil(total * count / held))
-    ordered = passes(reps, count).repartitionByRange(ranges, "run", "code", "rep").sortWithinPartitions("run", "code", "rep")
-    linked = components(window_links(reps, ordered, window, threshold, held))
+    ordered = passes(reps, count, centres).repartitionByRange(ranges, "run", "code", "rep").sortWithinPartitions("run", "code", "rep")
+    linked = components(window_links(reps, ordered, window, threshold, held, centres))
     same_id = reps.groupBy("rep").count().where("count > 1").select("rep", "rep").toDF("id", "component_id")  # other vectors of one id
     classes = checkpoint(linked.union(same_id.join(linked, "id", "left_anti")))
     members = reps.join(classes, reps["rep"] == classes["id"]).select("k1", "k2", "copies", "x", "component_id")

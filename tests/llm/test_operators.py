@@ -350,6 +350,53 @@ def test_vector_passes_grow_with_the_table(spark):
     assert sum(got[i] != got[i + 2500] for i in range(2500)) <= 12
 
 
+def _around_a_mean(n, pairs, mean, cosine, dim=64):
+    """n unit vectors of a mean cosine, and a partner at `cosine` for each of the first `pairs`."""
+    rng = np.random.default_rng(5)
+
+    def spread(k):
+        e = rng.standard_normal((k, dim))
+        e[:, 0] = 0
+        return e / np.linalg.norm(e, axis=1, keepdims=True)
+
+    a, b = spread(n), spread(pairs)
+    b -= (a[:pairs] * b).sum(axis=1, keepdims=True) * a[:pairs]
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = (cosine - mean) / (1 - mean)
+    every = math.sqrt(1 - mean) * np.concatenate([a, c * a[:pairs] + math.sqrt(1 - c * c) * b])
+    every[:, 0] = math.sqrt(mean)
+    return every
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.7, 0.8])
+def test_vectors_around_a_mean(spark, mean):
+    n, pairs = 5000, 500
+    every = _around_a_mean(n, pairs, mean, 0.905)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicates(rows, window=16).collect()}
+    assert sum(got[i] == got[n + i] for i in range(pairs)) >= 0.98 * pairs
+    cosine = every @ every.T
+    links = [(i, j) for i, j in zip(*np.nonzero(np.triu(cosine >= 0.9, 1)), strict=True)]
+    want = _components(range(n + pairs), links)
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing that is not linked meets
+
+
+def test_ranges_of_vectors_are_bounded_by_bytes():
+    for rows, dim in ((10, 64), (2_000_000, 64), (2_000_000, 1024), (10**9, 4096)):
+        assert 6 * dim * vectors.range_size(rows, dim) <= vectors.RANGE_BYTES
+    assert vectors.range_size(2_000_000, 64) == 500_000 and vectors.beyond(np.array([0.6, 0.0]), 0.9) == pytest.approx((0.9 - 0.36) / 0.64)
+
+
+def test_odd_vectors_have_values(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.9, 0.1, 0.1], [0.0, 1.0, 0.0]
+    rows = [(3, a), (1, b), (7, a), (7, a), (9, c), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (8, [1.0, None, 0.0]), (2, [1.0, float("nan"), 0.0]), (None, a), (10, [1.0, 0.0]), (11, a * 400), (12, a * 400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("component_id", F.lit("clash")).withColumn("dim", F.lit(1)).withColumn("rep", F.lit(2))
+    got = sorted((tuple(r) for r in vectors.near_duplicates(table).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    want = [(3, 3, 1, False), (1, 3, 1, True), (7, 3, 1, False), (7, 3, 1, False), (None, 0, None, None), (11, 1, 11, True), (12, 1, 11, False)]
+    want += [(i, 0, i, True) for i in (9, 4, 5, 6, 8, 2, 10)]
+    assert got == sorted(want, key=str) and vectors.near_duplicates(table.limit(0)).collect() == []
+
+
 def test_main_text(spark):
     page = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav>{}<footer>f</footer></body></html>'
     rows = [
