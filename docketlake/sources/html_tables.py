@@ -60,14 +60,25 @@ class _Tables(HTMLParser):
             self.heading.append(data)
 
 
+#: Characters of pages that are parsed at a time.
+PARSED = 4_000_000
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, rows, links, sections, says_empty, error) of (page_id, html). The only Python step; all rules are expressions below."""
+    """(page_id, rows, links, sections, says_empty, error) of (page_id, html). The only Python step; all rules are expressions below. What is
+    parsed is passed on after every PARSED characters, so memory is bound by bytes and not by rows."""
     schema = "page_id long, rows array<struct<cells:map<string,string>,links:array<string>>>, links array<string>, sections array<string>, says_empty boolean, error string"
 
+    columns = ["page_id", "rows", "links", "sections", "says_empty", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             for page_id, source in zip(batch["page_id"], batch["html"], strict=True):
+                held += len(source or "")
+                if held > PARSED:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], len(source or "")
                 p, error = _Tables(), None
                 try:
                     p.feed(source or "")
@@ -75,7 +86,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 except (ValueError, AssertionError) as e:  # what html.parser raises on broken markup
                     error = str(e)
                 out.append((page_id, p.rows, p.links, p.sections, EMPTY_MARKER in " ".join("".join(p.text).lower().split()), error))
-            yield pd.DataFrame(out, columns=["page_id", "rows", "links", "sections", "says_empty", "error"])
+            yield pd.DataFrame(out, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(run, schema)
 
