@@ -126,13 +126,13 @@ def url_findings(url: Column, hosts: list[str]) -> Column:
 
 
 def nfkc(value: Column) -> Column:
-    """Unicode compatibility form, composed; Spark has no function for it, so text goes through Python in Arrow batches."""
+    """Unicode compatibility form, composed; Spark has no function for it, so text beyond ASCII, whose form may differ, goes through Python in Arrow batches."""
 
     @F.pandas_udf("string")
     def normalise(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) else None)
 
-    return normalise(value)
+    return F.coalesce(normalise(F.when(~value.rlike(r"^[\x00-\x7F]*$"), value)), value)
 
 
 def safe_name(value: Column, limit: int = 180) -> Column:
