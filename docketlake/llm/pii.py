@@ -31,22 +31,51 @@ DIGIT_WORDS |= dict(zip("null eins zwei drei vier fünf sechs sieben acht neun".
 DIGIT_WORDS |= dict(zip("zéro un deux trois quatre cinq six sept huit neuf".split(), "0123456789", strict=True))
 DIGIT_WORDS |= dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True))
 
+#: More such letters, of Greek, Cyrillic, Armenian and Cherokee.
+LOOKALIKES |= dict(zip("ικνρυѵһӏոսօցհքᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ikvpuvhlnuoghpABCDEGHJKLMPSTVWZ", strict=True))
+#: Stops of other scripts, which stand for a dot between plain letters or digits.
+STOPS = "。｡․﹒"
+#: Named character references of what identifiers are made of.
+REFERENCES = {"commat": "@", "period": ".", "plus": "+"}
+#: Letters that stand for a digit within a number.
+DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
+#: Words for a dot, and words for an at-mark that mean nothing else in an address.
+DOT_WORDS = ("dot", "point", "punto", "punkt")
+AT_WORDS = ("arroba", "arobase")
+
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9])"
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s,-]+)?{_DIGIT}(?:[\s,-]+{_DIGIT}(?!\w)|[\s,-]+(?:dot|point)\b[\s,-]*{_DIGIT}(?!\w)){{3,}}")
-_SPELLED_WORD = re.compile(r"(?i)\s*\b(?:dot|point)\b\s*|\bplus\b\s*|[^\W\d_]+|,\s*|\s+")
-_DOT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:dot|\.)\s{0,4}[\])}>]\s{0,4}|\s{1,4}dot\s{1,4})"
-_AT_MARK = re.compile(r"(?i)[\[({<]\s{0,4}(?:at|@)\s{0,4}[\])}>]|(?<=\s)at(?=\s)|@")
-_NAME = re.compile(rf"(?i)[a-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[a-z0-9_%+-]{{1,64}}){{0,8}}\Z")
-_HOST = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[a-z0-9-]{{1,63}}){{1,8}}")
+_DOTS = "|".join(DOT_WORDS)
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s,-]+)?{_DIGIT}(?:[\s,-]+{_DIGIT}(?!\w)|[\s,-]+(?:{_DOTS})\b[\s,-]*{_DIGIT}(?!\w)){{3,}}")
+_SPELLED_WORD = re.compile(rf"(?i)\s*\b(?:{_DOTS})\b\s*|\bplus\b\s*|[^\W\d_]+|,\s*|\s+|-")
+_REFERENCE = re.compile(r"&(?:#(?:0{0,8}([0-9]{2,3})|[xX]0{0,8}([0-9A-Fa-f]{2}))|(" + "|".join(REFERENCES) + "));")
+_STOP = re.compile(rf"(?<=[A-Za-z0-9])[{STOPS}](?=[A-Za-z0-9])")
+_NUMBER_LIKE = re.compile(r"(?<!\w)[0-9](?:[ -]?[0-9OoIl]){8,18}(?!\w)")
+
+
+def _dot(words: str) -> str:
+    return rf"(?:\s{{0,4}}[\[({{<]\s{{0,4}}(?:{words}|\.)\s{{0,4}}[\])}}>]\s{{0,4}}|\s{{1,4}}(?:{words})\s{{1,4}})"
+
+
+def _address(words: str) -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """Name, host, part for a dot and word for a dot, where these words stand for one."""
+    dot = _dot(words)
+    name = re.compile(rf"(?i)[a-z0-9_%+-]{{1,64}}(?:(?:\.|{dot})[a-z0-9_%+-]{{1,64}}){{0,8}}\Z")
+    host = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:(?:\.|{dot})[a-z0-9-]{{1,63}}){{1,8}}")
+    return name, host, re.compile(rf"(?i){dot}"), re.compile(rf"(?i)\s(?:{words})\s")
+
+
+_DOT = _dot("dot")
+_AT_MARK = re.compile(rf"(?i)[\[({{<]\s{{0,4}}(?:at|@|({'|'.join(AT_WORDS)}))\s{{0,4}}[\])}}>]|(?<=\s)(?:at|({'|'.join(AT_WORDS)}))(?=\s)|@")
+#: After "at", which sentences are full of, only "dot" is a dot; the other at-words go with all of them.
+_ENGLISH, _ANY_TONGUE = _address("dot"), _address(_DOTS)
 #: What the longest name before an at-mark takes, in characters.
-_NAME_SIZE = 9 * 64 + 8 * 21
+_NAME_SIZE = 9 * 64 + 8 * 23
 _SPACES = 4
 _TOP = re.compile(r"(?<![A-Za-z0-9-])[A-Za-z]{2,24}\Z")
-_DOT_WORD = re.compile(r"(?i)\sdot\s")
 _DISGUISED_IP = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
 _DOT_PART = re.compile(rf"(?i){_DOT}")
 _ODD = re.compile("[" + "".join(LOOKALIKES) + "！-～​-‍⁠­٠-٩\U0001d400-\U0001d7ff①-⑳⁰-⁹₀-₉]")
-_SPOKEN = frozenset(w.encode("latin-1") for w in DIGIT_WORDS) | frozenset(b"%d" % d for d in range(10)) | {b"dot", b"point", b"plus"}
+_SPOKEN = frozenset(w.encode("latin-1") for w in DIGIT_WORDS) | frozenset(b"%d" % d for d in range(10)) | frozenset(w.encode() for w in DOT_WORDS) | {b"plus"}
 #: Bytes of Latin-1 that are no word characters become spaces.
 _WORD_BYTES = bytes(b if re.match(r"\w", chr(b)) else 32 for b in range(256))
 #: Letters that match i or s where case does not count, and all that Latin-1 lacks and U+0100 to U+024F do not cover.
@@ -63,8 +92,11 @@ def may_be_spelled(text: str) -> bool:
 
 
 def may_be_addressed(text: str) -> bool:
-    """Whether at_and_dot() could change a text: what it changes has an @, the word dot, or a bracket before at or a dot."""
-    return "@" in text or "dot" in text.lower() or _BRACKETED.search(text) is not None
+    """Whether at_and_dot() could change a text: what it changes has an @, the word dot, an at-word, or a bracket before at or a dot."""
+    if "@" in text:
+        return True
+    lower = text.lower()
+    return "dot" in lower or "arroba" in lower or "aroba" in lower or _BRACKETED.search(text) is not None  # "aroba", as a long s is no s in lower case
 
 
 def luhn(digits: str) -> bool:
@@ -137,20 +169,70 @@ def plain_letters(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
-def spelled_digits(tape: Tape) -> None:
-    """Runs of at least four digits of which some are spelled become digits, with single spaces, dots and plus."""
+def references(tape: Tape) -> None:
+    """Character references of printable ASCII, and the named ones of marks, become the character."""
     edits = []
-    for run in _SPELLED.finditer(tape.text):
-        for m in _SPELLED_WORD.finditer(tape.text, run.start(), run.end()):
+    for m in _REFERENCE.finditer(tape.text):
+        code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else 0
+        if m[3] or 32 <= code < 127:
+            edits.append((m.start(), m.end(), REFERENCES[m[3]] if m[3] else chr(code)))
+    tape.rewrite(edits)
+
+
+def stops(tape: Tape) -> None:
+    """Stops of other scripts between plain letters or digits become dots."""
+    tape.rewrite([(m.start(), m.end(), ".") for m in _STOP.finditer(tape.text)])
+
+
+def lettered_digits(tape: Tape) -> None:
+    """In numbers of nine digits or more, letters that touch a digit and look like one become it, where they are at most a fourth."""
+    edits = []
+    for run in _NUMBER_LIKE.finditer(tape.text):
+        letters = [i for i, c in enumerate(run[0]) if c in DIGIT_LETTERS]
+        if letters and 4 * len(letters) <= sum(c not in " -" for c in run[0]):
+            touching = [i for i in letters if not {run[0][i - 1], run[0][i + 1 : i + 2]} <= {" ", "-", ""}]
+            edits += [(run.start() + i, run.start() + i + 1, DIGIT_LETTERS[run[0][i]]) for i in touching]
+    tape.rewrite(edits)
+
+
+def spelled_digits(tape: Tape) -> None:
+    """Runs of at least four digits of which some are spelled become digits, with single spaces, dots and plus.
+
+    A run, or a part of it between commas, of four parts with dots between, each of three digits at most and not over 255,
+    is an IP: its spelled digits are joined. Numerals are not, as they may be parts of their own.
+    """
+    text, edits = tape.text, []
+    for run in _SPELLED.finditer(text):
+        own = []
+        for m in _SPELLED_WORD.finditer(text, run.start(), run.end()):
             word = m[0].strip().lower()
-            new = "." if word in ("dot", "point") else "+" if word == "plus" else " " if word in ("", ",") else DIGIT_WORDS.get(word, m[0])
-            if new != m[0]:
-                edits.append((m.start(), m.end(), new))
+            new = "." if word in DOT_WORDS else "+" if word == "plus" else " " if word in ("", ",") else DIGIT_WORDS.get(word, m[0])
+            own.append((m.start(), m.end(), new))
+        if sum(new == "." for _, _, new in own) >= 3:
+            own = _join_octets(text, run.start(), run.end(), own)
+        edits += [e for e in own if text[e[0] : e[1]] != e[2]]
     tape.rewrite(edits)
 
 
+def _join_octets(text: str, start: int, end: int, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits of a spelled run, without what they leave between the spelled digits of its IPs."""
+    commas = [k for k, (lo, _, new) in enumerate(edits) if text[lo] == "," and new == " "]
+    out = list(edits)
+    for ks in ([], commas):
+        for a, b in zip([-1, *ks], [*ks, len(edits)], strict=True):
+            part, at = edits[a + 1 : b], edits[a][1] if a >= 0 else start
+            said = []
+            for lo, hi, new in part:
+                said += [text[at:lo], new.strip(" -")]
+                at = hi
+            octets = "".join([*said, text[at : edits[b][0] if b < len(edits) else end]]).split(".")
+            if len(octets) == 4 and all(o.isascii() and o.isdecimal() and len(o) <= 3 and int(o) <= 255 for o in octets):
+                out[a + 1 : b] = [(lo, hi, "" if new in (" ", "-") and not (text[lo - 1].isdecimal() or text[hi].isdecimal()) else new) for lo, hi, new in part]
+    return out
+
+
 def at_and_dot(tape: Tape) -> None:
-    """`name at host dot org`, `name [at] host [dot] org` and the like become an address; likewise dots of an IP.
+    """`name at host dot org`, `name [at] host [dot] org`, `name arroba host punto org` and the like become an address; likewise dots of an IP.
 
     Each at-mark is looked at once: the host must follow it, then the name is matched back from it.
     """
@@ -161,15 +243,17 @@ def at_and_dot(tape: Tape) -> None:
             start -= 1
         while end < min(len(text), m.end() + _SPACES) and text[end].isspace():
             end += 1
-        host = _HOST.match(text, end)
+        foreign = m[1] or m[2]
+        a_name, a_host, dot_part, dot_word = _ANY_TONGUE if foreign else _ENGLISH
+        host = a_host.match(text, end)
         if m.start() < done or not host or not _TOP.search(host[0]):
             continue
-        name = _NAME.search(text[max(done, start - _NAME_SIZE) : start])
+        name = a_name.search(text[max(done, start - _NAME_SIZE) : start])
         whole = text[start - len(name[0]) : host.end()] if name else ""
-        if any(c in whole for c in "[({<@") or _DOT_WORD.search(whole):  # "at" alone between words of a sentence is no disguise
-            edits += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, start - len(name[0]), start)]
+        if whole and (foreign or any(c in whole for c in "[({<@") or dot_word.search(whole)):  # "at" alone between words of a sentence is no disguise
+            edits += [(x.start(), x.end(), ".") for x in dot_part.finditer(text, start - len(name[0]), start)]
             edits.append((start, end, "@"))
-            edits += [(x.start(), x.end(), ".") for x in _DOT_PART.finditer(text, end, host.end())]
+            edits += [(x.start(), x.end(), ".") for x in dot_part.finditer(text, end, host.end())]
             done = host.end()
     edits += [(x.start(), x.end(), ".") for m in _DISGUISED_IP.finditer(text) for x in _DOT_PART.finditer(text, m.start(), m.end())]
     merged, at = [], -1
@@ -184,7 +268,11 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and those together with what the transducers uncover; a base span is never replaced or doubled."""
     base = base_spans(text)
     tape = Tape(text)
+    if "&" in text:
+        references(tape)
     plain_letters(tape)
+    stops(tape)
+    lettered_digits(tape)
     if may_be_spelled(tape.text):
         spelled_digits(tape)
     if may_be_addressed(tape.text):
