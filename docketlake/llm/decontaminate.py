@@ -69,8 +69,8 @@ class PieceIndex:
         if places:
             self.automaton.make_automaton()
 
-    def matches(self, text: str) -> dict[int, tuple[int, int]]:
-        """item_id -> (least distance, end) of every item that occurs within its budget in a normalised text; end is its last word's."""
+    def matches(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """item_id -> (least distance, its first end, budget) of every item that occurs within its budget in a normalised text; end is its last word's."""
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if not self.items or not text:
             return {}
@@ -80,7 +80,7 @@ class PieceIndex:
                 _, item, budget = self.items[k]
                 lo = end + 1 - length - offset - budget
                 windows[k].append((max(lo, 0), lo + len(item) + 2 * budget))
-        found: dict[int, tuple[int, int]] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         for k, spans in windows.items():
             item_id, item, budget = self.items[k]
             spans.sort()
@@ -90,10 +90,12 @@ class PieceIndex:
                     stop = max(stop, hi)
                     continue
                 distance, end = best_match(item, text[at:stop])
-                if distance <= budget and distance < found.get(item_id, (budget + 1, 0))[0]:
-                    found[item_id] = distance, at + end
+                if distance <= budget:
+                    end += at
+                    here = distance, end - 1 - (text[end - 1] == " "), budget
+                    found[item_id] = min(here, found.get(item_id, here))
                 at, stop = lo, hi
-        return {i: (d, end - 1 - (text[end - 1] == " ")) for i, (d, end) in found.items()}
+        return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
@@ -103,10 +105,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     characters: then it must occur exactly). Items begin and end at words: to begin or end inside one costs
     an edit. Of several places the closest counts, then the first; end_char is where it ends in the normalised document.
 
-    The items are broadcast in blocks of about `block_chars` characters, whose number is computed
-    from the size of the benchmark. One block is held against all documents, which are never shuffled; of
-    several, each is collected, broadcast, matched, written to the shared folder and dropped before the
-    next, so driver and workers hold one. The index of a block is built once in a Python worker.
+    Equal normalised items of one id are one. The items are broadcast in blocks of at most `block_chars` characters, put
+    together from buckets of a sixteenth by their measured sizes, so that no repeated id or very long item falls in with
+    a full block. One block is held against all documents, which are never shuffled. For several,
+    the normalised documents are written once to the shared folder; then each block is collected, broadcast, matched,
+    written and dropped before the next, so driver and workers hold one. The index of a block is built once in a Python worker.
 
     Null and blank items match nothing, null and blank texts hold nothing. A null doc_id is reported as
     such, an item without an id is left out. Rows of one document id are matched each on its own; items
@@ -115,32 +118,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, distance int, budget int, end_char int"
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null and item_id is not null")
+    items = checkpoint(map_batches(items, _normalised, "id long, text string").where("text <> ''").distinct())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
 
-    def held_against(block: int) -> tuple[DataFrame, Broadcast]:
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], normalise(r["text"])) for r in rows])
-        name = uuid.uuid4().hex
+    def held_against(rows: list, texts: DataFrame, clean: bool, extra: str) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in rows])
+        name, names = uuid.uuid4().hex, ["doc_id", "item_id", "distance", "budget", "end_char", *texts.columns[2:]]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(name, shared, error_rate)
-            budget = {i: b for i, _, b in index.items}
             for batch in batches:
-                out = [(doc, item, d, budget[item], end) for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for item, (d, end) in index.matches(normalise(text)).items()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "distance", "budget", "end_char"])
-
-        return map_batches(source, run, schema), shared
-
-    if blocks == 1:
-        return held_against(0)[0]
-    found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        part, shared = held_against(block)
+                held = [index.matches(text if clean else normalise(text)) for text in batch.column(1).to_pylist()]
+                row = pa.array([k for k, h in enumerate(held) for _ in h], pa.int64())
+                out = [(item, d, budget, end) for h in held for item, (d, end, budget) in h.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))), *(c.take(row) for c in batch.columns[2:])], names=names)
+
+        return map_batches(texts, run, schema + extra), shared
+
+    if total <= block_chars:
+        return held_against(items.collect(), source, False, "")[0]
+    texts = checkpoint(map_batches(source, _normalised, "id long, text string").where("text <> ''").withColumn("row", F.monotonically_increasing_id()))
+    found = spark.createDataFrame([], schema + ", row long")
+    for block in _blocks(items, total, block_chars):
+        part, shared = held_against(block.collect(), texts, True, ", row long")
         found = found.union(checkpoint(part))
         shared.unpersist()
-    return found
+    # texts of one item may stand in several blocks
+    best = F.min(F.struct("distance", "end_char", "budget")).alias("best")
+    return found.groupBy("row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.distance", "best.budget", "best.end_char")
+
+
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(normalise, batch.column(1).to_pylist()), pa.string())], names=["id", "text"])
+
+
+def _blocks(items: DataFrame, total: int, block_chars: int) -> Iterator[DataFrame]:
+    """The items in blocks of whole buckets of a hash of id and text, which hold at most `block_chars` characters where a bucket does."""
+    buckets = max(1, 16 * total // block_chars)
+    hashed = items.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)))
+    sizes = hashed.groupBy("bucket").agg(F.sum(F.length("text")).alias("size")).orderBy("bucket")
+    first, held = 0, 0
+    for bucket, size in [*sizes.collect(), (buckets, block_chars)]:  # some 16 rows a block
+        if held and held + size > block_chars:
+            yield hashed.where(F.col("bucket").between(first, bucket - 1)).select("id", "text")
+            first, held = bucket, 0
+        held += size
 
 
 _indexes: dict[str, PieceIndex] = {}

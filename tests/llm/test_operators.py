@@ -126,6 +126,27 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(documents.limit(0), items).count() == 0 and decontaminate.contaminated(documents, items.limit(0)).count() == 0
 
 
+def test_blocks_of_items_are_bounded_and_lose_nothing(spark):
+    """Repeated ids, repeated texts and one very long item, held against repeated documents in one block and in many."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    items = [(i % 5, say(12)) for i in range(60)]
+    items += items[:10] + [(9, say(900)), (5, items[0][1].upper() + "!"), (6, None), (None, "river stone")]
+    rows = [(i % 40, f"{say(4)} {items[i % 60][1].replace('a', 'e', i % 2)}, {items[-4][1]}") for i in range(80)] + [(None, items[3][1]), (90, "")]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decontaminate.contaminated(docs, bench).collect(), key=str)
+    many = decontaminate.contaminated(docs, bench, block_chars=400)
+    assert many.columns == ["doc_id", "item_id", "distance", "budget", "end_char"] and sorted(many.collect(), key=str) == whole and len(whole) > 160
+    clean = spark.createDataFrame([(i, decontaminate.normalise(t)) for i, t in items if t and i is not None], "id long, text string").distinct()
+    total = clean.agg(F.sum(F.length("text"))).first()[0]
+    blocks = [b.collect() for b in decontaminate._blocks(clean, total, 400)]
+    assert sorted(r for b in blocks for r in b) == sorted(clean.collect())
+    alone = [len(b) for b in blocks if any(len(r["text"]) > 400 for r in b)]
+    assert alone == [1] or max(sum(len(r["text"]) for r in b if len(r["text"]) <= 400) for b in blocks) <= 400
+    assert decontaminate.contaminated(docs, bench.limit(0), block_chars=1).count() == 0
+
+
 def _edits(item, text):
     """Least edit distance of the item to any part of the text that begins and ends at words, by rows."""
     row = [0] * (len(text) + 1)
@@ -177,7 +198,7 @@ def test_disguises_and_odd_digits(spark):
     assert spans("call «plus one five zero nine five five five six nine seven three» or ten") == "phone:6:65"
     many = pii.all_spans("1.2.3.4 1 dot 2 dot 3 dot 4 " * 20_000)
     assert len(many[0]) == 20_000 and len(many[1]) == 40_000
-    words = ["one", "two ", "Dot ", "at", "@", " ", "[", "]", "(", ")", "a", ".", "5", "-", ",", "\t", "\xa0", "«", "plus ", "\u017fix ", "f\u0131ve ", "é", "com", "mail", "_", "œ", "point ", "0", "а"]
+    words = ["one", "two ", "Dot ", "at", "@", " ", "[", "]", "(", ")", "a", ".", "5", "-", ",", "\t", "\xa0", "«", "plus ", "\u017fix ", "f\u0131ve ", "é", "com", "mail", "_", "œ", "point ", "0", "а", "punto ", " arroba ", "aroba\u017fe", "pun\u212at "]
     rng, changed = random.Random(6), 0
     for _ in range(20_000):
         text = "".join(rng.choice(words) for _ in range(rng.randint(1, 24)))
@@ -189,6 +210,31 @@ def test_disguises_and_odd_digits(spark):
     assert changed > 50
 
 
+def test_spelled_ips_references_stops_and_lettered_digits():
+    """Each disguise is one span that covers it whole; what only looks like one stays clean."""
+    whole = {
+        "ip": ["one nine two dot one six eight dot one dot one", "one-nine-two dot one six eight point one, dot, one", "uno nueve dos punto uno seis ocho punto cero punto uno", "eins null punkt null punkt null punkt acht", "zero dot two five five dot zero dot nine"],
+        "email": ["john@mail。com", "john@mail｡example․org", "john&#64;mail.com", "john&#x40;mail&period;com", "john&commat;mail&#46;com", "john arroba mail punto com", "juan arroba mail.com", "jean (arobase) mail point fr", "jean AROBASE mail point fr", "hanѕ@mаil.de", "jim@mаιl.org"],
+        "card": ["4111 1111 1111 1I11", "41l1-1111-1111-1111", "5000 OO00 0000 0009"],
+        "phone": ["+1 5O9 555 5697", "+44 2O79 46O 958"],
+    }
+    for kind, texts in whole.items():
+        for t in texts:
+            if kind == "card":
+                digits = re.sub(r"[ -]", "", t.translate(str.maketrans("OoIl", "0011")))
+                assert pii.luhn(digits), t
+            base, spans = pii.all_spans(f"see {t}; ok")
+            assert base == [] and f"{kind}:4:{4 + len(t)}" in pii.write(spans).split(","), (t, pii.write(spans))
+            assert f"{kind}:0:{len(t)}" in pii.write(pii.all_spans(t)[1]).split(",")
+    for t in ("one nine two dot one six eight dot one", "three zero zero dot one dot one dot one and so on", "a。b。c", "好@b。下一句", "&#9;&#200;&amp;", "pesa una arroba y media. punto", "meet at home point blank", "4111 1111 1111 111 I think", "5OO OIl OOO OIl", "Il0 lO1"):
+        spans = pii.all_spans(t)[1]
+        assert [s for s in spans if s[1] != 1] == [], (t, pii.write(spans))
+    assert pii.all_spans("three zero zero dot one dot one dot one")[1] == [(11, 1, 39)]  # digits of a part over 255 stay apart
+    long = "one nine two dot one six eight dot one dot one, " * 5000 + "1O" * 20_000
+    began = time.perf_counter()
+    assert len([s for s in pii.all_spans(long)[1] if s[1] == 1]) == 5000 and time.perf_counter() - began < 10
+
+
 def test_added_spans_against_plain_version():
     """Every disguise of an identifier is found where it stands, in any surroundings, and base spans stay."""
     rng = random.Random(7)
