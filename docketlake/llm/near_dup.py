@@ -17,6 +17,8 @@ from docketlake.llm.graph import components
 SENT_BYTES = 64 << 20
 #: Nodes that are broadcast by id and size (16 bytes each); with more of them Spark splits the skewed side of a sorted join.
 BROADCAST_NODES = 1_000_000
+#: Shingles of the sets of a node or block, 8 bytes each; larger ones branch on or are cut, like those of too many documents.
+NODE_SHINGLES = 2_000_000
 
 
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -55,40 +57,47 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordina
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), run, "doc long, n long, set_key binary, sig array<int>")
 
 
-def chosen_path_nodes(reps: DataFrame, trees: int, leaf: int, depth: int, coordinates: int) -> DataFrame:
-    """(doc, set_key, node): the small nodes in which documents are to be compared.
+def chosen_path_nodes(reps: DataFrame, trees: int, leaf: int, depth: int, coordinates: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, set_key, node): the small nodes in which documents are to be compared; and, if any, (doc, set_key, n, node, blocks): the members of large ones.
 
     Each tree branches a node by a minwise token, one chosen by the node for all its documents; now
     and then by two, so that a pair at the threshold keeps one common path in expectation. Nodes of
-    at most `leaf` documents end a path. What is still larger at the last level is cut into blocks,
-    and each pair of blocks becomes a node, so no pair of it is lost and no node is large.
+    at most `leaf` documents and NODE_SHINGLES shingles end a path. What is still larger at the last level is
+    cut into blocks, and each block with one member for all becomes a node: most of a class is connected by that. The
+    large nodes are returned too, for what it leaves apart.
     """
-    member = ["doc", "set_key"]
+    member = ["doc", "set_key", "n"]
     work = reps.select(*member, F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sig")[t]).alias("node")) for t in range(trees)])).alias("x")).select(*member, "x.tree", "x.node")
-    found = None
+    found = large = None
     for level in range(1, depth + 1):
         work = checkpoint(work)
-        counts = checkpoint(work.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))  # summed before the shuffle
-        big = counts.where(F.col("size") > leaf)
+        counts = checkpoint(work.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1"))  # summed before the shuffle
+        fits = (F.col("size") <= leaf) & (F.col("shingles") <= NODE_SHINGLES)
+        big = counts.where(~fits)
         n_big = big.count()
         if n_big <= BROADCAST_NODES:  # members of a hot node stay where they are
             sized = work.join(F.broadcast(big), "node") if n_big else None
             rest = work.join(F.broadcast(big), "node", "left_anti") if n_big else work
         else:
             sized, rest = work.join(big.hint("merge"), "node"), work.join(big.hint("merge"), "node", "left_anti")
-        small = rest.join(counts.where(F.col("size") <= leaf), "node").select(*member, "node")
+        small = rest.join(counts.where(fits), "node").select("doc", "set_key", "node")
         found = small if found is None else found.union(small)
         if not n_big:
             break
         if level == depth:
-            found = found.union(_block_pairs(sized, leaf))
+            large = checkpoint(sized.select(*member, "node", _blocks("size", "shingles", leaf).alias("blocks")))
+            found = found.union(_blocks_with_one(large))
         else:
-            work = sized.join(reps.select(*member, "sig"), member).select(*member, "tree", F.explode(_children(level, trees, coordinates)).alias("node"))
+            work = sized.drop("n").join(reps.select(*member, "sig"), ["doc", "set_key"]).select(*member, "tree", F.explode(_children(level, trees, coordinates)).alias("node"))
+    return _once(found), large
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """Trees that gathered the same documents ask for the same comparison: it is made in one of the nodes."""
     found = checkpoint(found)
-    # trees that gathered the same documents ask for the same comparison
     same = found.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_key")).alias("y"))
-    once = same.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node")
-    return found.join(once, "node", "left_semi")
+    once = same.where("size > 1").groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node")
+    return checkpoint(found.join(once, "node", "left_semi"))
 
 
 def _children(level: int, trees: int, coordinates: int) -> Column:
@@ -98,16 +107,50 @@ def _children(level: int, trees: int, coordinates: int) -> Column:
     return F.when(F.pmod(F.hash("node"), F.lit(100)) < 18, F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def _block_pairs(large: DataFrame, leaf: int) -> DataFrame:
-    blocks = F.ceil(F.col("size") / leaf).cast("int")
-    mine = F.pmod(F.xxhash64("set_key", "node"), blocks).cast("int")
-    pair = lambda other: F.xxhash64(F.col("node"), F.least("mine", other), F.greatest("mine", other))
-    return large.select("doc", "set_key", "node", blocks.alias("blocks"), mine.alias("mine")).select("doc", "set_key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("node"))
+def _blocks(size: str, shingles: str, leaf: int) -> Column:
+    return F.greatest(F.ceil(F.col(size) / leaf), F.ceil(F.col(shingles) / NODE_SHINGLES)).cast("int")
+
+
+def _block(blocks: str | Column) -> Column:
+    """The block of a set, the same in all nodes of as many blocks."""
+    return F.pmod(F.xxhash64("set_key"), blocks).cast("int")
+
+
+def _with_nodes(members: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+    """Members with the columns of their node; those of a hot one stay where they are."""
+    return members.join(F.broadcast(nodes) if few else nodes.hint("merge"), "node")
+
+
+def _blocks_with_one(large: DataFrame) -> DataFrame:
+    """Each block of a large node as a node, with one member of the large node in all of them."""
+    one = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("set_key"), "doc", "set_key", "blocks")).alias("one"))
+    everywhere = one.select("one.doc", "one.set_key", F.explode(F.transform(F.sequence(F.lit(0), F.col("one.blocks") - 1), lambda b: F.xxhash64("node", b))).alias("node"))
+    return large.select("doc", "set_key", F.xxhash64("node", _block(F.col("blocks"))).alias("node")).union(everywhere).distinct()
+
+
+def left_apart(large: DataFrame, classes: DataFrame, leaf: int) -> DataFrame:
+    """(doc, set_key, node): nodes that compare what is apart from the largest class of a large node with all of the node.
+
+    Two members of one class need no comparison, so what remains is each member outside the largest class against every
+    block: n times the strays by `leaf` sets are sent, and none where a class fills its node.
+    """
+    members = checkpoint(large.join(classes.select(F.col("id").alias("doc"), "component_id"), "doc", "left").withColumn("class", F.coalesce("component_id", "doc")).drop("component_id"))
+    classed = checkpoint(members.groupBy("node", "class").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
+    nodes = classed.groupBy("node").agg(F.max_by("class", F.struct("size", -F.col("class"))).alias("top"), F.max(F.struct("size", -F.col("class"), "shingles")).alias("most"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"))
+    nodes = nodes.select("node", "top", (F.col("size") - F.col("most.size")).alias("strays"), (F.col("shingles") - F.col("most.shingles")).alias("of_strays")).where("strays > 0")
+    nodes = checkpoint(nodes.select("node", "top", F.greatest(_blocks("strays", "of_strays", leaf), F.lit(1)).alias("stray_blocks")))
+    held = _with_nodes(members, nodes, nodes.count() <= BROADCAST_NODES)
+    pair = lambda s, b: F.xxhash64("node", F.lit("apart"), s, b)
+    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    all_strays = each("stray_blocks", lambda s: pair(s, _block(F.col("blocks"))))
+    all_blocks = each("blocks", lambda b: pair(_block(F.col("stray_blocks")), b))
+    at = F.when(F.col("class") != F.col("top"), F.array_distinct(F.concat(all_strays, all_blocks))).otherwise(all_strays)
+    return _once(held.select("doc", "set_key", F.explode(at).alias("node")))
 
 
 def links_in_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) that span the similar documents of every node, confirmed on full shingle sets."""
-    # at most a few nodes a tree, but for members of a node cut into blocks: one for each block of it
+    # at most a few nodes a tree, but for what is compared with all blocks of a large node: one for each
     wanted = nodes.groupBy("doc").agg(F.collect_list(F.struct("set_key", "node")).alias("nodes"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
 
@@ -189,6 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `trees` independent chosen-path trees; links are confirmed on full sets. A pair at the threshold is missed
     by all eight trees once in four million times where its nodes are small at the first level, and once in about
     1,400 where they stay large down to the last; other links of a class that large mostly connect it all the same.
+    A node that is large to the last is compared block by block with one member for all, then what stays apart from its
+    largest class with every block: no pair of it is lost, and the cost grows with the node and what stays apart in it.
 
     Shingles are 64-bit hashes of 64-bit word hashes, and links turn on the full sets of them.
 
@@ -202,9 +247,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = checkpoint(signatures(docs, id_col, text_col, width, coordinates))
     named = each.where("set_key is not null and doc is not null")
     groups = checkpoint(named.groupBy("set_key").agg(F.min("doc").alias("rep")))
-    reps = checkpoint(named.join(groups.withColumnRenamed("rep", "doc"), ["doc", "set_key"]).dropDuplicates(["doc", "set_key"]).select("doc", "set_key", "sig"))
-    nodes = checkpoint(chosen_path_nodes(reps, trees, leaf, depth, coordinates))
+    reps = checkpoint(named.join(groups.withColumnRenamed("rep", "doc"), ["doc", "set_key"]).dropDuplicates(["doc", "set_key"]).select("doc", "set_key", "n", "sig"))
+    nodes, large = chosen_path_nodes(reps, trees, leaf, depth, coordinates)
     links = links_in_nodes(docs, nodes, id_col, text_col, width, percent)
+    if large is not None:
+        links = checkpoint(links)
+        links = links.union(links_in_nodes(docs, left_apart(large, components(links), leaf), id_col, text_col, width, percent))
     several = named.groupBy("doc").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc")
     same_id = named.join(several, "doc", "left_semi").join(groups, "set_key").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     classes = components(links.union(same_id))
