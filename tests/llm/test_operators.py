@@ -63,31 +63,6 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert found == sorted([(5, True, 4, False), (5, True, 4, False), (7, True, 4, False), (8, True, 4, False), (5, False, 5, True), (None, True, None, None), (9, True, 4, False), (4, True, 4, True), (9, True, 4, False)], key=str)
 
 
-def test_near_duplicates_of_nodes_that_stay_large(spark, monkeypatch):
-    """Near copies of one text with members at the edge of the class: as by brute force, and only strays meet every block."""
-    rng = random.Random(21)
-    base = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(150)]
-
-    def changed(times):
-        words = list(base)
-        for k in rng.sample(range(0, 150, 6), times):
-            words[k] = f"other{rng.randint(0, 10**9)}"
-        return " ".join(words)
-
-    rows = [(i, changed(rng.choice([0, 1, 1, 1, 2, 2, 3, 6]))) for i in range(400)]
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
-    want = _components(sets, [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
-    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
-    links_in_nodes = near_dup.links_in_nodes
-    monkeypatch.setattr(near_dup, "links_in_nodes", lambda d, nodes, *a: seen.append(nodes.groupBy("node").count().collect()) or links_in_nodes(d, nodes, *a))
-    for leaf, shingles in ((16, near_dup.NODE_SHINGLES), (10**6, 16 * 146)):  # bounded by documents, then by their sets
-        monkeypatch.setattr(near_dup, "NODE_SHINGLES", shingles)
-        seen.clear()
-        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, leaf=leaf).collect()}
-        assert got == want and 1 < len(set(want.values())) < 200
-        assert len(seen) == 2 and max(r["count"] for nodes in seen for r in nodes) < 80
-
-
 def test_components_of_long_paths_and_empty_tables(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7), (None, 3)], "a long, b long")
     for hub_edges in (graph.HUB_EDGES, 1):
