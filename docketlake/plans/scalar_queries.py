@@ -23,8 +23,9 @@ SELECT url, finding, n FROM (
   FULL JOIN (SELECT concat(q.page_id, ' ', q.url) AS url, count(*) AS n FROM pages p JOIN pages q ON q.page_id = CASE WHEN p.page_id % 40 = 5 THEN p.page_id - 3 ELSE p.page_id + 1 END GROUP BY 1) t ON u.url = t.url) x
 WHERE finding IS NOT NULL""")
 def a2_page_chain(t: Tables) -> DataFrame:
+    """Reads of 40 pages each, whose last page links back into its own read."""
     name = F.concat(C("page_id"), F.lit(" "), C("url"))
-    this = t.pages.select("page_id", name.alias("url"), F.when(C("page_id") % 40 == 5, C("page_id") - 3).otherwise(C("page_id") + 1).alias("next_id"))
+    this = t.pages.select("page_id", name.alias("url"), F.when(C("page_id") % 40 == 5, C("page_id") - 3).otherwise(C("page_id") + 1).alias("next_id"), F.floor((C("page_id") - 6) / 40).alias("chain"))
     names = t.pages.select(C("page_id").alias("next_id"), name.alias("next_url"))
     return P.audit_page_chain(this.join(names, "next_id", "left"))
 

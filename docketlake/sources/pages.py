@@ -34,15 +34,16 @@ def read_pages(spark: SparkSession, path: str, item_schema: str) -> tuple[DataFr
 def audit_page_chain(pages: DataFrame, longest: int = 10_000) -> DataFrame:
     """(url, finding, n): dangling next links, pages linked more than once, pages that nothing links to, and a chain that is too long.
 
-    pages: url, next_url. A sound chain has one unlinked page, its first. A loop shows as a page linked
-    twice or as no unlinked page at all.
+    pages: url, next_url[, chain]. A sound chain has one unlinked page, its first. A loop shows as a page linked
+    twice or as no unlinked page at all. `longest` bounds each chain, the pages of one read; without the column all pages are one.
     """
     targets = pages.where("next_url is not null").groupBy(F.col("next_url").alias("url")).agg(F.count("*").alias("n"))
     urls = pages.groupBy("url").agg(F.count("*").alias("pages"))
     both = urls.join(targets, "url", "full_outer")
     finding = F.when(F.col("pages").isNull(), "dangling").when(F.col("n") > 1, "linked_twice").when(F.col("pages") > 1, "repeated_page").when(F.col("n").isNull(), "unlinked")
     found = both.select("url", finding.alias("finding"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).where("finding is not null")
-    size = pages.agg(F.count("*").alias("n")).where(F.col("n") > longest).select(F.lit(None).cast("string").alias("url"), F.lit("too_long").alias("finding"), "n")
+    sizes = pages.groupBy("chain") if "chain" in pages.columns else pages
+    size = sizes.agg(F.count("*").alias("n")).where(F.col("n") > longest).select(F.lit(None).cast("string").alias("url"), F.lit("too_long").alias("finding"), "n")
     return found.unionByName(size)
 
 
