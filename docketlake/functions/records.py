@@ -34,9 +34,9 @@ def session_key(value: Column) -> Column:
     return F.when(key.rlike(r"^20\d{2}[A-Z][A-Z0-9]{0,4}$"), key)
 
 
-def bill_parts(value: Column) -> Column:
-    """struct(prefix, number, compact, display) of a bill id as people write it; null unless well formed."""
-    pattern = r"(?i)^\s*(" + "|".join(sorted(PREFIXES, key=len, reverse=True)) + r")\s*[- ]?\s*(\d{1,6})\s*$"
+def bill_parts(value: Column, digits: str = "{1,6}") -> Column:
+    """struct(prefix, number, compact, display) of a bill id as people write it; null unless well formed. `digits`: how many its number may have."""
+    pattern = r"(?i)^\s*(" + "|".join(sorted(PREFIXES, key=len, reverse=True)) + r")\s*[- ]?\s*(\d" + digits + r")\s*$"
     prefix, number = F.upper(F.regexp_extract(value, pattern, 1)), F.regexp_extract(value, pattern, 2).try_cast("bigint").cast("string")
     return F.when(value.rlike(pattern), F.struct(prefix.alias("prefix"), number.alias("number"), F.concat(prefix, number).alias("compact"), F.concat_ws(" ", prefix, number).alias("display")))
 
