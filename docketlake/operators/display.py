@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ def reconcile_families(bills: DataFrame, source: DataFrame, rendered: DataFrame,
     todo = reasons.select("bill_id").distinct().join(reuse.select("bill_id"), "bill_id", "left_anti")
     failed = failures.select("bill_id").distinct().join(todo, "bill_id", "left_semi")
     parsed = html_tables.parse_pages(rendered.join(todo.join(failed, "bill_id", "left_anti").select(C("bill_id").alias("page_id")), "page_id", "left_semi"))
-    outcomes = html_tables.classify_pages(parsed).select(C("page_id").alias("bill_id"), C("outcome").alias("status"))
+    checked = html_tables.check_pages(parsed).persist(StorageLevel.DISK_ONLY)  # pages are parsed once for records, checks, ledger and sessions
+    outcomes = html_tables.outcomes_of(checked).select(C("page_id").alias("bill_id"), C("outcome").alias("status"))
     read = outcomes.union(todo.join(outcomes, "bill_id", "left_anti").select("bill_id", F.lit("failed_fetch")))  # a page that is not there could not be fetched
     rest = bills.select("bill_id").join(reasons.select("bill_id").distinct(), "bill_id", "left_anti").select("bill_id", F.lit("not_applicable").alias("status"))
     earlier = reuse.join(reasons.select("bill_id").distinct(), "bill_id", "left_semi").select("bill_id", "status")
@@ -46,7 +48,7 @@ def reconcile_families(bills: DataFrame, source: DataFrame, rendered: DataFrame,
 
     record = F.to_json(F.struct("bill_id", "family", "source_id"))
     ident = F.from_json("record", "bill_id bigint, family string, source_id bigint")
-    shown = html_tables.extract_rows(parsed).where("not conflict").select(C("page_id").alias("bill_id"), "family", "source_id").where(C("family").isin(TESTIMONY, COMMITTEE)).select(record.alias("record")).distinct()
+    shown = html_tables.records_of(checked).where("not conflict").select(C("page_id").alias("bill_id"), "family", "source_id").where(C("family").isin(TESTIMONY, COMMITTEE)).select(record.alias("record")).distinct()
     ours = source.join(read, "bill_id").select(record.alias("record"), "expected", "status").dropDuplicates(["record"])
     both = reconcile.two_sources(ours, shown, "record", C("status"), now, expected=C("expected")).join(ours.select("record", "expected"), "record", "left")
     records = both.select(ident.alias("r"), "origin", "displayed", "presence", "reclassified", "expected").select("r.*", "origin", "displayed", "presence", "reclassified", "expected")

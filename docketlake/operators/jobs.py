@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ def reconcile_pages(source: DataFrame, rendered: DataFrame, todo: DataFrame, reu
     """
     bills = todo.select("bill_id").distinct().join(reuse.select("bill_id"), "bill_id", "left_anti")
     parsed = html_tables.parse_pages(rendered.join(bills.select(C("bill_id").alias("page_id")), "page_id", "left_semi"))
-    outcomes = html_tables.classify_pages(parsed).select(C("page_id").alias("bill_id"), "outcome")
+    checked = html_tables.check_pages(parsed).persist(StorageLevel.DISK_ONLY)  # pages are parsed once for records, outcomes and ledger
+    outcomes = html_tables.outcomes_of(checked).select(C("page_id").alias("bill_id"), "outcome")
     record = lambda bill: F.concat_ws("-", C(bill).cast("string"), C("source_id").cast("string")).alias("record")
-    shown = html_tables.extract_rows(parsed).where("not conflict").select(record("page_id"))
+    shown = html_tables.records_of(checked).where("not conflict").select(record("page_id"))
     known = source.join(bills, "bill_id", "left_semi").join(outcomes, "bill_id", "left").select(record("bill_id"), "outcome").dropDuplicates(["record"])
     read = outcomes.where(C("outcome").isin("checked_with_records", "checked_zero"))
     return reconcile.two_sources(known, shown, "record", C("outcome"), now), merge.resolve(ledger, read, "bill_id", now)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import html
+import itertools
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketlake.functions.text import let
+
 C = F.col
 #: Download route of a record: its family and number.
 ROUTE = r"(?i)/downloads/([A-Za-z]+)/([1-9]\d*)"
@@ -60,8 +65,38 @@ class _Tables(HTMLParser):
             self.heading.append(data)
 
 
+#: Plain markup: text and tags without special content, whose attributes are quoted and hold neither markup nor references. It is cut into tokens by one expression; all else goes through HTMLParser.
+_NAMES = "table|thead|tbody|tfoot|tr|td|th|a|h[1-6]|caption|p|div|span|ul|ol|li|b|i|em|strong|br|html|head|body"
+_QUOTED = r"""(?:'[^'<>&\0]*'|"[^"<>&\0]*")"""
+_TOKEN = rf"""<(?:/((?i:{_NAMES}))|((?i:{_NAMES}))((?:[ \t\n]+[A-Za-z][A-Za-z-]*={_QUOTED})*+))[ \t\n]*>|([^<\0]++)"""
+TOKEN, PLAIN = re.compile(_TOKEN), re.compile(rf"(?:{_TOKEN})*+")
+ATTRIBUTE = re.compile(rf"([A-Za-z][A-Za-z-]*)=({_QUOTED})")
+
+
+def read_tables(source: str) -> tuple[_Tables, str | None]:
+    """The tables of a page, and what is wrong with its markup."""
+    p = _Tables()
+    if PLAIN.fullmatch(source):
+        for end, start, attributes, text in TOKEN.findall(source):
+            if text:
+                p.handle_data(html.unescape(text) if "&" in text else text)
+            elif end:
+                p.handle_endtag(end.lower())
+            else:
+                p.handle_starttag(start.lower(), [(k.lower(), v[1:-1]) for k, v in ATTRIBUTE.findall(attributes)] if attributes else [])
+        return p, None
+    try:
+        p.feed(source)
+        p.close()
+    except (ValueError, AssertionError) as e:  # what html.parser raises on broken markup
+        return p, str(e)
+    return p, None
+
+
 #: Characters of pages that are parsed at a time.
 PARSED = 4_000_000
+_ROW = pa.struct([("cells", pa.map_(pa.string(), pa.string())), ("links", pa.list_(pa.string()))])
+_PARSED = pa.schema([("page_id", pa.int64()), ("rows", pa.list_(_ROW)), ("links", pa.list_(pa.string())), ("sections", pa.list_(pa.string())), ("says_empty", pa.bool_()), ("error", pa.string())])
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -69,50 +104,90 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     parsed is passed on after every PARSED characters, so memory is bound by bytes and not by rows."""
     schema = "page_id long, rows array<struct<cells:map<string,string>,links:array<string>>>, links array<string>, sections array<string>, says_empty boolean, error string"
 
-    columns = ["page_id", "rows", "links", "sections", "says_empty", "error"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for page_id, source in zip(batch["page_id"], batch["html"], strict=True):
-                held += len(source or "")
+            for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                source = source.as_py() or ""
+                held += len(source)
                 if held > PARSED:
-                    yield pd.DataFrame(out, columns=columns)
-                    out, held = [], len(source or "")
-                p, error = _Tables(), None
-                try:
-                    p.feed(source or "")
-                    p.close()
-                except (ValueError, AssertionError) as e:  # what html.parser raises on broken markup
-                    error = str(e)
+                    yield _batch(out)
+                    out, held = [], len(source)
+                p, error = read_tables(source)
                 out.append((page_id, p.rows, p.links, p.sections, EMPTY_MARKER in " ".join("".join(p.text).lower().split()), error))
-            yield pd.DataFrame(out, columns=columns)
+            yield _batch(out)
 
-    return pages.select("page_id", "html").mapInPandas(run, schema)
+    return pages.select(C("page_id").cast("long"), "html").mapInArrow(run, schema)
 
 
-def extract_rows(parsed: DataFrame, route: str = ROUTE) -> DataFrame:
-    """(page_id, family, source_id, title, submitter, on_behalf_of, position, organization, meeting, committee, conflict): one row per record of a page.
+def _lists(values: list[list], inner: pa.Array, kind: pa.DataType) -> pa.Array:
+    offsets = pa.array(itertools.accumulate(map(len, values), initial=0), pa.int32())
+    return (pa.MapArray if pa.types.is_map(kind) else pa.ListArray).from_arrays(offsets, *([inner] if not isinstance(inner, tuple) else inner))
+
+
+def _strings(values: list[list[str]]) -> pa.Array:
+    return _lists(values, pa.array(list(itertools.chain.from_iterable(values)), pa.string()), pa.list_(pa.string()))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Arrow columns, built flat rather than from nested objects."""
+    ids, tables, links, sections, empty, errors = list(zip(*rows, strict=True)) if rows else [()] * len(_PARSED)
+    every = list(itertools.chain.from_iterable(tables))
+    cells = [r["cells"] for r in every]
+    keys, values = (pa.array(list(itertools.chain.from_iterable(part)), pa.string()) for part in (cells, (c.values() for c in cells)))
+    inner = pa.StructArray.from_arrays([_lists(cells, (keys, values), _ROW["cells"].type), _strings([r["links"] for r in every])], fields=list(_ROW))
+    return pa.record_batch([pa.array(ids, pa.int64()), _lists(tables, inner, pa.list_(_ROW)), _strings(links), _strings(sections), pa.array(empty, pa.bool_()), pa.array(errors, pa.string())], names=_PARSED.names)
+
+
+#: Columns of a record and their headers.
+COLUMNS = {"title": "title", "submitter": "submitter", "on_behalf_of": "on behalf of", "position": "position", "organization": "city or organization", "meeting": "meeting", "committee": "committee"}
 
-    Equal records are one; records of one identity with different content are in conflict.
+
+def check_pages(parsed: DataFrame, route: str = ROUTE) -> DataFrame:
+    """(page_id, records, pages): the records of a page, sorted, each struct(family, source_id, COLUMNS, conflict), and the outcome of each of its rows in `parsed`, struct(outcome, n_rows).
+
+    Equal records are one; records of one identity with different content are in conflict, and the least is kept. A page is parsed and shuffled once for both; rows of equal page_id count as one page.
+    parser_anomalous on an error, a conflict or links without rows; checked_with_records with rows; checked_zero for a recognised section that says it is empty; otherwise parser_anomalous.
     """
-    each = parsed.select("page_id", F.explode("rows").alias("r"))
-    link = F.element_at(F.filter("r.links", lambda x: x.rlike(route)), 1)
-    cell = lambda name: F.nullif(F.element_at("r.cells", F.lit(name)), F.lit(""))
-    columns = {"title": "title", "submitter": "submitter", "on_behalf_of": "on behalf of", "position": "position", "organization": "city or organization", "meeting": "meeting", "committee": "committee"}
-    rows = each.where(link.isNotNull()).select("page_id", F.lower(F.regexp_extract(link, route, 1)).alias("family"), F.regexp_extract(link, route, 2).cast("bigint").alias("source_id"), *[cell(h).alias(c) for c, h in columns.items()])
-    found = rows.groupBy("page_id", "family", "source_id").agg(F.min(F.struct(*columns)).alias("first"), (F.countDistinct(F.to_json(F.struct(*columns))) > 1).alias("conflict"))
-    return found.select("page_id", "family", "source_id", "first.*", "conflict")
+    cell = lambda r, name: F.nullif(F.element_at(r["cells"], F.lit(name)), F.lit(""))
+    number = lambda link: F.regexp_extract(link, route, 2).cast("bigint")
+    routed = F.filter(F.transform("rows", lambda r: F.struct(F.element_at(F.filter(r["links"], lambda x: x.rlike(route)), 1).alias("link"), *[cell(r, h).alias(c) for c, h in COLUMNS.items()])), lambda r: r["link"].isNotNull())
+    found = F.transform(routed, lambda r: F.struct(F.lower(F.regexp_extract(r["link"], route, 1)).alias("family"), number(r["link"]).alias("source_id"), F.struct(*[r[c].alias(c) for c in COLUMNS]).alias("said")))
+    linked = F.array_distinct(F.transform(F.filter("links", lambda x: x.rlike(route)), number))
+    empty = F.exists("sections", lambda s: s.contains(SECTION)) & C("says_empty")
+    flat = parsed.select("page_id", found.alias("found"), F.struct(linked.alias("linked"), empty.alias("empty"), C("error").isNotNull().alias("error")).alias("page"))
+    pages = flat.groupBy("page_id").agg(F.collect_list("found").alias("found"), F.collect_list("page").alias("pages"))
+    same = lambda a, b: a["family"].eqNullSafe(b["family"]) & a["source_id"].eqNullSafe(b["source_id"])
+    differs = lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1)))
+    marked = lambda a: F.transform(a, lambda x, i: F.struct(x["family"].alias("family"), x["source_id"].alias("source_id"), *[x["said"][c].alias(c) for c in COLUMNS], (((i == 0) | ~same(x, F.get(a, i - 1)))).alias("first"), F.coalesce(same(x, F.get(a, i + 1)), F.lit(False)).alias("conflict")))
+    kept = lambda a: F.transform(F.filter(marked(a), lambda x: x["first"]), lambda x: x.dropFields("first"))
+    # sorted, so equal records are neighbours; each array is computed once, since a lambda that named a column's expression would compute it again for each element
+    pages = pages.select("page_id", let(let(F.sort_array(F.flatten("found")), differs), kept).alias("records"), "pages")
+
+    def outcome(known: Column) -> Column:
+        bad = lambda p: p["error"] | known["conflict"] | (F.size(F.array_except(p["linked"], known["ids"])) > 0)
+        named = lambda p: F.when(bad(p), "parser_anomalous").when(known["n_rows"] > 0, "checked_with_records").when(p["empty"], "checked_zero").otherwise("parser_anomalous")
+        return F.transform("pages", lambda p: F.struct(named(p).alias("outcome"), known["n_rows"].alias("n_rows")))
+
+    known = lambda r: F.struct(F.exists(r, lambda x: x["conflict"]).alias("conflict"), F.array_distinct(F.transform(r, lambda x: x["source_id"])).alias("ids"), F.size(r).cast("long").alias("n_rows"))
+    return pages.select("page_id", "records", let(let(C("records"), known), outcome).alias("pages"))
+
+
+def records_of(checked: DataFrame) -> DataFrame:
+    """(page_id, family, source_id, title, submitter, on_behalf_of, position, organization, meeting, committee, conflict) of checked pages, a row a record."""
+    return checked.select("page_id", F.explode("records").alias("r")).select("page_id", "r.*")
+
+
+def outcomes_of(checked: DataFrame) -> DataFrame:
+    """(page_id, outcome, n_rows) of checked pages, a row a page that was parsed."""
+    return checked.select("page_id", F.explode("pages").alias("p")).select("page_id", "p.*")
+
+
+def extract_rows(parsed: DataFrame, route: str = ROUTE) -> DataFrame:
+    """The records of parsed pages; see check_pages and records_of."""
+    return records_of(check_pages(parsed, route))
 
 
 def classify_pages(parsed: DataFrame, route: str = ROUTE) -> DataFrame:
-    """(page_id, outcome, n_rows): parser_anomalous on an error, a conflict or links without rows; checked_with_records with rows;
-    checked_zero for a recognised section that says it is empty; otherwise parser_anomalous."""
-    rows = extract_rows(parsed, route).groupBy("page_id").agg(F.count("*").alias("n_rows"), F.bool_or("conflict").alias("conflict"), F.collect_set("source_id").alias("ids"))
-    both = parsed.join(rows, "page_id", "left")
-    linked = F.array_distinct(F.transform(F.filter("links", lambda x: x.rlike(route)), lambda x: F.regexp_extract(x, route, 2).cast("bigint")))
-    unparsed = F.size(F.array_except(linked, F.coalesce("ids", F.array().cast("array<bigint>")))) > 0
-    section = F.exists("sections", lambda s: s.contains(SECTION))
-    bad = C("error").isNotNull() | F.coalesce("conflict", F.lit(False)) | unparsed
-    outcome = F.when(bad, "parser_anomalous").when(C("n_rows") > 0, "checked_with_records").when(section & C("says_empty"), "checked_zero").otherwise("parser_anomalous")
-    return both.select("page_id", outcome.alias("outcome"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    """The outcomes of parsed pages; see check_pages and outcomes_of."""
+    return outcomes_of(check_pages(parsed, route))

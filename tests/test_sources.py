@@ -74,3 +74,37 @@ def test_files_of_every_verdict(spark, tmp_path):
     assert unopened["l.zip"] == "valid" and unopened["g.zip"] == "unsafe_path"
     odd = spark.createDataFrame([("n", None), ("n", b"%PDF-%%EOF"), ("e.pdf", b"")], "path string, content binary")
     assert sorted(r["verdict"] for r in payloads.validate_files(odd, expected.limit(0)).collect()) == ["empty", "unavailable", "valid"]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    import random
+
+    from docketlake.sources import html_tables as H
+
+    draw = random.Random(3)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<TH>", "</th >", "<a href='/Downloads/X/1'>", '<A HREF="/downloads/y/22" class=\'q\'>', "</a>", "<h2>", "</h2>", "<caption>", "</caption>", "Title", "title", " a\n b ", "&amp;", "&lt;x", "&copy", "&#65;", "é", "<br>", "no items to display", " > ", "<a>"]
+    odd = ["<!-- <tr> -->", "<a href=x>", "<script><td></script>", "< td>", "<td", "<a href='?a=1&amp;b'>", "<![CDATA[x]]>"]
+    plain = 0
+    for k in range(3000):
+        source = "".join(draw.choice(bits if k % 3 else bits + odd) for _ in range(draw.randint(0, 30)))
+        plain += bool(H.PLAIN.fullmatch(source))
+        want = H._Tables()
+        want.feed(source)
+        want.close()
+        got, error = H.read_tables(source)
+        assert error is None and (got.rows, got.links, got.sections, "".join(got.text)) == (want.rows, want.links, want.sections, "".join(want.text)), source
+    assert 2000 < plain < 3000
+
+
+def test_pages_are_checked_once_with_conflicts_copies_and_repeated_ids(spark):
+    from docketlake.sources import html_tables as H
+
+    row = "<tr><td><a href='/Downloads/X/{}'>{}</a></td></tr>"
+    page = lambda *rows: "<h2>Testimony</h2><table><tr><th>Title</th></tr>" + "".join(row.format(*r) for r in rows) + "</table>"
+    pages = [(1, page((1, "a"), (1, "a"), (2, "b"))), (2, page((1, "a"), (1, "b"), (3, ""))), (3, page((1, "a"))), (3, page((1, "c"), (2, "d"))), (4, "<h2>Testimony</h2>No items to display"), (5, "<a href='/Downloads/X/9'>x</a>"), (6, None)]
+    checked = H.check_pages(H.parse_pages(spark.createDataFrame(pages, "page_id long, html string")))
+    outcomes = sorted(tuple(r) for r in H.outcomes_of(checked).collect())
+    bad = "parser_anomalous"
+    assert outcomes == [(1, "checked_with_records", 2), (2, bad, 2), (3, bad, 2), (3, bad, 2), (4, "checked_zero", 0), (5, bad, 0), (6, bad, 0)]
+    records = sorted((r["page_id"], r["source_id"], r["title"], r["conflict"]) for r in H.records_of(checked).collect())
+    assert records == [(1, 1, "a", False), (1, 2, "b", False), (2, 1, "a", True), (2, 3, None, False), (3, 1, "a", True), (3, 2, "d", False)]
