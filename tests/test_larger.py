@@ -66,3 +66,15 @@ def test_no_measure_is_lost(spark, larger):
     rows = Tables(spark, larger("orders", 2, 999_000)).rawmeasure
     parts = [f.count() for f in (mapping.measures(rows, ""), mapping.rejected_measures(rows), mapping.unnumbered_measures(rows))]
     assert sum(parts) == rows.count() and min(parts) > 0
+
+
+def test_lines_are_told_apart_before_their_text_is_made(spark, tmp_path):
+    from docketlake.plans.standins import VIEWS, Tables
+
+    a = "1::bigint AS l_orderkey, {} AS l_partkey, 6::bigint AS l_suppkey, 1::int AS l_linenumber, TIMESTAMP '1995-01-01' AS l_shipdate"
+    rows = [a.format(p) for p in ("5::bigint", "5::bigint", "10::bigint")] + [a.format(p).replace("1::bigint", "NULL::bigint", 1) for p in ("20::bigint", "40::bigint")]
+    duckdb.connect().execute(f"COPY ({' UNION ALL '.join('SELECT ' + r for r in rows)}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    t = Tables(spark, str(tmp_path))
+    want = sorted(map(repr, spark.sql(VIEWS["rawdoc"].format(**t.names)).collect()))
+    assert len(want) == 3 and sorted(map(repr, t.rawdoc.collect())) == want
+    assert "Aggregate [l_orderkey" in t.rawdoc._jdf.queryExecution().optimizedPlan().toString()
