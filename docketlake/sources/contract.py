@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +28,15 @@ SCHEMA = f"DataServices struct<Schema: array<struct<EntityType: {_TYPES}, Entity
 def properties(documents: DataFrame, key: str, xml: str) -> tuple[DataFrame, DataFrame]:
     """((key, entity, property), (key) of documents that are no XML): the properties of each entity set of each metadata document; property is null for a set whose type has none.
 
-    A set names its type with a namespace, which is not compared. Null and empty documents are no XML; one that is XML without entity sets has no rows. XML is read by Spark, a document a row.
+    A set names its type with a namespace, which is not compared. Null and empty documents are no XML; one that is XML without entity sets has no rows. XML is read by Spark, a document a row,
+    once for both frames and over all partitions.
     """
-    parsed = documents.select(key, C(xml).alias("xml_"), F.from_xml(F.col(xml), SCHEMA, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken_", "mode": "PERMISSIVE"}).alias("m"))
-    broken = parsed.where("xml_ is null or trim(xml_) = '' or m is null or m.broken_ is not null").select(key)
-    fine = parsed.where("m.broken_ is null and trim(xml_) <> ''")
-    schemas = fine.select(key, F.explode("m.DataServices.Schema").alias("s"))
+    spread = documents.select(key, C(xml).alias("xml_")).repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    read = spread.select(key, "xml_", F.from_xml("xml_", SCHEMA, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken_", "mode": "PERMISSIVE"}).alias("m"))
+    bad = F.coalesce(F.trim("xml_") == "", F.lit(True)) | C("m").isNull() | C("m.broken_").isNotNull()
+    parsed = read.select(key, bad.alias("bad_"), C("m.DataServices").alias("m")).persist(StorageLevel.DISK_ONLY)
+    broken, fine = parsed.where("bad_").select(key), parsed.where("not bad_")
+    schemas = fine.select(key, F.explode("m.Schema").alias("s"))
     types = schemas.select(key, F.explode("s.EntityType").alias("t")).select(key, C("t._Name").alias("type_"), F.explode_outer("t.Property._Name").alias("property"))
     sets = schemas.select(key, F.explode("s.EntityContainer").alias("c")).select(key, F.explode("c.EntitySet").alias("e")).select(key, C("e._Name").alias("entity"), F.substring_index("e._EntityType", ".", -1).alias("type_")).where("entity is not null")
     return sets.join(types, [key, "type_"], "left").select(key, "entity", "property").distinct(), broken

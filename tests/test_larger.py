@@ -78,3 +78,13 @@ def test_lines_are_told_apart_before_their_text_is_made(spark, tmp_path):
     want = sorted(map(repr, spark.sql(VIEWS["rawdoc"].format(**t.names)).collect()))
     assert len(want) == 3 and sorted(map(repr, t.rawdoc.collect())) == want
     assert "Aggregate [l_orderkey" in t.rawdoc._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metadata_is_parsed_once(spark):
+    from docketlake.sources import contract
+
+    rows = spark.createDataFrame([(1, "<x><DataServices/></x>"), (2, "<x"), (3, None), (4, " ")], "id long, xml string")
+    frame = contract.report(rows, "id", "xml", {"A": "B"})
+    assert sorted((r["id"], r["finding"]) for r in frame.collect()) == [(1, "missing_entity_set"), *((k, "metadata_parse_error") for k in (2, 3, 4))]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan
