@@ -7,6 +7,7 @@ import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ C = F.col
 #: Download route of a record: its family and number.
 ROUTE = r"(?i)/downloads/([A-Za-z]+)/([1-9]\d*)"
 EMPTY_MARKER = "no items to display"
+_LAST_WORD = EMPTY_MARKER.split()[-1]
 SECTION = "testimony"
 
 
@@ -65,32 +67,114 @@ class _Tables(HTMLParser):
             self.heading.append(data)
 
 
-#: Plain markup: text and tags without special content, whose attributes are quoted and hold neither markup nor references. It is cut into tokens by one expression; all else goes through HTMLParser.
+#: Plain markup: text and tags without special content, whose attributes are quoted and hold neither markup nor references. It is cut at its tags by one expression; all else goes through HTMLParser.
 _NAMES = "table|thead|tbody|tfoot|tr|td|th|a|h[1-6]|caption|p|div|span|ul|ol|li|b|i|em|strong|br|html|head|body"
 _QUOTED = r"""(?:'[^'<>&\0]*'|"[^"<>&\0]*")"""
-_TOKEN = rf"""<(?:/((?i:{_NAMES}))|((?i:{_NAMES}))((?:[ \t\n]+[A-Za-z][A-Za-z-]*={_QUOTED})*+))[ \t\n]*>|([^<\0]++)"""
-TOKEN, PLAIN = re.compile(_TOKEN), re.compile(rf"(?:{_TOKEN})*+")
-ATTRIBUTE = re.compile(rf"([A-Za-z][A-Za-z-]*)=({_QUOTED})")
-
-
-def read_tables(source: str) -> tuple[_Tables, str | None]:
+_TAG = rf"""(?:/((?i:{_NAMES}))|((?i:{_NAMES}))((?:[ \t\n]+[A-Za-z][A-Za-z-]*={_QUOTED})*+))[ \t\n]*"""
+PLAIN, TAG, CUT = re.compile(rf"(?:<{_TAG}>|[^<\0]++)*+"), re.compile(_TAG), re.compile("<([^>]*)>")
+ATTRIBUTE, _HREF = re.compile(rf"([A-Za-z][A-Za-z-]*)=({_QUOTED})"), re.compile(_QUOTED)
+#: What _Tables does at a tag; all other tags of plain markup do nothing.
+_TABLE, _TR, _CELL, _LINK, _HEADING, _CELL_END, _TR_END, _HEADING_END = range(1, 9)
+_HEADINGS = ("h1", "h2", "h3", "h4", "caption")
+_DOES = {"table": _TABLE, "tr": _TR, "td": _CELL, "th": _CELL, "a": _LINK, "/td": _CELL_END, "/th": _CELL_END, "/tr": _TR_END} | {h: _HEADING for h in _HEADINGS} | {f"/{h}": _HEADING_END for h in _HEADINGS}
+#: Usual spellings of tags without attributes.
+_USUAL = {slash + n: (_DOES.get(slash + n, 0), n) for n in re.sub(r"h\[1-6\]", "h1|h2|h3|h4|h5|h6", _NAMES).split("|") for slash in ("", "/")}
+
+
+class Read(NamedTuple):
+    """What _Tables collects of a page."""
+
+    rows: list[dict]
+    links: list[str]
+    sections: list[str]
+    text: list[str]
+
+
+def _plain(source: str) -> Read | None:
+    """The tables of plain markup, as _Tables reads them; None if the markup is not plain."""
+    parts = CUT.split(source)
+    if "<" in parts[-1] or "\0" in source:
+        return None
+    if "&" in source:
+        parts[::2] = [_unescape(x) if "&" in x else x for x in parts[::2]]
+    rows, links, sections = [], [], []
+    header, row, cell, kind, row_links, heading, titled = [], None, None, "", [], None, False
+    for tag, data in zip(parts[1::2], parts[2::2], strict=True):
+        known = _USUAL.get(tag)
+        if known is not None:
+            does, name = known
+            attributes = None
+        elif tag.startswith("a href=") and _HREF.fullmatch(tag, 7):
+            does, attributes = _LINK, None
+            href = tag[8:-1]
+        else:
+            m = TAG.fullmatch(tag)
+            if m is None:
+                return None
+            end, name, attributes = m.groups()
+            name = (name or end).lower()
+            does = _DOES.get("/" + name if end else name, 0)
+            href = dict((k.lower(), v[1:-1]) for k, v in ATTRIBUTE.findall(attributes)).get("href", "") if attributes else ""
+        if does == _CELL:
+            cell, kind = data, name
+            if heading is not None and data:
+                heading += data
+            continue
+        if does == _CELL_END:
+            if cell is not None and row is not None:
+                row.append(" ".join(cell.split()))
+                cell = None
+        elif does == _LINK:
+            if known is not None:
+                href = ""
+            links.append(href)
+            row_links.append(href)
+        elif does == _TR:
+            row, kind, row_links = [], "", []
+        elif does == _TR_END:
+            if row is not None:
+                if kind == "th":
+                    header = [c.lower() for c in row]
+                    titled = "title" in header
+                elif titled and row_links:
+                    rows.append({"cells": dict(zip(header, row)), "links": list(dict.fromkeys(row_links))})  # noqa: B905
+                row = None
+        elif does == _TABLE:
+            header, titled = [], False
+        elif does == _HEADING:
+            heading = ""
+        elif does == _HEADING_END and heading is not None:
+            sections.append(" ".join(heading.split()).lower())
+            heading = None
+        if data:
+            if cell is not None:
+                cell += data
+            if heading is not None:
+                heading += data
+    return Read(rows, links, sections, parts[::2])
+
+
+def _unescape(text: str) -> str:
+    return text.replace("&amp;", "&") if text.count("&") == text.count("&amp;") else html.unescape(text)
+
+
+def read_tables(source: str) -> tuple[Read, str | None]:
     """The tables of a page, and what is wrong with its markup."""
-    p = _Tables()
-    if PLAIN.fullmatch(source):
-        for end, start, attributes, text in TOKEN.findall(source):
-            if text:
-                p.handle_data(html.unescape(text) if "&" in text else text)
-            elif end:
-                p.handle_endtag(end.lower())
-            else:
-                p.handle_starttag(start.lower(), [(k.lower(), v[1:-1]) for k, v in ATTRIBUTE.findall(attributes)] if attributes else [])
-        return p, None
+    plain = _plain(source)
+    if plain is not None:
+        return plain, None
+    p, error = _Tables(), None
     try:
         p.feed(source)
         p.close()
     except (ValueError, AssertionError) as e:  # what html.parser raises on broken markup
-        return p, str(e)
-    return p, None
+        error = str(e)
+    return Read(p.rows, p.links, p.sections, p.text), error
+
+
+def _says_empty(text: list[str]) -> bool:
+    said = "".join(text).lower()
+    return _LAST_WORD in said and EMPTY_MARKER in " ".join(said.split())
 
 
 #: Characters of pages that are parsed at a time.
@@ -106,37 +190,57 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, held = [], 0
-            for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                source = source.as_py() or ""
+            out, held = _Flat(), 0
+            sources = (x.as_py() for x in batch.column(1)) if batch.column(1).nbytes > PARSED else batch.column(1).to_pylist()
+            for page_id, source in zip(batch.column(0).to_pylist(), sources, strict=True):
+                source = source or ""
                 held += len(source)
                 if held > PARSED:
-                    yield _batch(out)
-                    out, held = [], len(source)
-                p, error = read_tables(source)
-                out.append((page_id, p.rows, p.links, p.sections, EMPTY_MARKER in " ".join("".join(p.text).lower().split()), error))
-            yield _batch(out)
+                    yield out.batch()
+                    out, held = _Flat(), len(source)
+                out.add(page_id, *read_tables(source))
+            yield out.batch()
 
     return pages.select(C("page_id").cast("long"), "html").mapInArrow(run, schema)
 
 
-def _lists(values: list[list], inner: pa.Array, kind: pa.DataType) -> pa.Array:
-    offsets = pa.array(itertools.accumulate(map(len, values), initial=0), pa.int32())
-    return (pa.MapArray if pa.types.is_map(kind) else pa.ListArray).from_arrays(offsets, *([inner] if not isinstance(inner, tuple) else inner))
+def _lists(sizes: list[int], inner: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(itertools.accumulate(sizes, initial=0), pa.int32()), inner)
 
 
-def _strings(values: list[list[str]]) -> pa.Array:
-    return _lists(values, pa.array(list(itertools.chain.from_iterable(values)), pa.string()), pa.list_(pa.string()))
+def _strings(sizes: list[int], values: list[str]) -> pa.Array:
+    return _lists(sizes, pa.array(values, pa.string()))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Arrow columns, built flat rather than from nested objects."""
-    ids, tables, links, sections, empty, errors = list(zip(*rows, strict=True)) if rows else [()] * len(_PARSED)
-    every = list(itertools.chain.from_iterable(tables))
-    cells = [r["cells"] for r in every]
-    keys, values = (pa.array(list(itertools.chain.from_iterable(part)), pa.string()) for part in (cells, (c.values() for c in cells)))
-    inner = pa.StructArray.from_arrays([_lists(cells, (keys, values), _ROW["cells"].type), _strings([r["links"] for r in every])], fields=list(_ROW))
-    return pa.record_batch([pa.array(ids, pa.int64()), _lists(tables, inner, pa.list_(_ROW)), _strings(links), _strings(sections), pa.array(empty, pa.bool_()), pa.array(errors, pa.string())], names=_PARSED.names)
+class _Flat:
+    """Pages as flat lists, from which Arrow columns are built: no nested object outlives its page, so the collector of cycles has nothing to walk through."""
+
+    def __init__(self) -> None:
+        self.ids, self.rows, self.links, self.sections, self.empty, self.errors = [], [], [], [], [], []
+        self.cells, self.keys, self.values, self.row_links, self.row_hrefs, self.hrefs, self.names = [], [], [], [], [], [], []
+
+    def add(self, page_id: int, p: Read, error: str | None) -> None:
+        self.ids.append(page_id)
+        self.rows.append(len(p.rows))
+        for r in p.rows:
+            cells, links = r["cells"], r["links"]
+            self.cells.append(len(cells))
+            self.keys.extend(cells)
+            self.values.extend(cells.values())
+            self.row_links.append(len(links))
+            self.row_hrefs.extend(links)
+        self.links.append(len(p.links))
+        self.hrefs.extend(p.links)
+        self.sections.append(len(p.sections))
+        self.names.extend(p.sections)
+        self.empty.append(_says_empty(p.text))
+        self.errors.append(error)
+
+    def batch(self) -> pa.RecordBatch:
+        cells = pa.MapArray.from_arrays(pa.array(itertools.accumulate(self.cells, initial=0), pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        inner = pa.StructArray.from_arrays([cells, _strings(self.row_links, self.row_hrefs)], fields=list(_ROW))
+        columns = [pa.array(self.ids, pa.int64()), _lists(self.rows, inner), _strings(self.links, self.hrefs), _strings(self.sections, self.names), pa.array(self.empty, pa.bool_()), pa.array(self.errors, pa.string())]
+        return pa.record_batch(columns, names=_PARSED.names)
 
 
 #: Columns of a record and their headers.
@@ -183,6 +287,14 @@ def outcomes_of(checked: DataFrame) -> DataFrame:
     return checked.select("page_id", F.explode("pages").alias("p")).select("page_id", "p.*")
 
 
+def identities_of(checked: DataFrame, proof: list[str]) -> DataFrame:
+    """(page_id, records, pages, outcome) of checked pages with the identity of each record alone, struct(family, source_id, conflict), a row a page_id. outcome: of rows of one page_id, the first that is in
+    `proof`, or the first. For those that keep checked pages and want no text of theirs."""
+    outcomes = F.transform("pages", lambda p: p["outcome"])
+    first = F.coalesce(F.get(F.filter(outcomes, lambda o: o.isin(proof)), F.lit(0)), F.get(outcomes, F.lit(0)))
+    return checked.select("page_id", F.transform("records", lambda r: F.struct(r["family"].alias("family"), r["source_id"].alias("source_id"), r["conflict"].alias("conflict"))).alias("records"), "pages", first.alias("outcome"))
+
+
 def extract_rows(parsed: DataFrame, route: str = ROUTE) -> DataFrame:
     """The records of parsed pages; see check_pages and records_of."""
     return records_of(check_pages(parsed, route))

@@ -88,3 +88,20 @@ def test_metadata_is_parsed_once(spark):
     assert sorted((r["id"], r["finding"]) for r in frame.collect()) == [(1, "missing_entity_set"), *((k, "metadata_parse_error") for k in (2, 3, 4))]
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" in plan
+
+
+def test_plain_markup_is_read_in_one_loop():
+    import sys
+
+    from docketlake.sources import html_tables as H
+
+    rows = 200
+    page = "<h2>Testimony</h2><table><tr><th>Title</th></tr>" + "".join(f"<tr><td><a href='/Downloads/X/{k}'>A &amp; &lt;{k}</a></td></tr>" for k in range(rows)) + "</table>"
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "call" else None)
+    try:
+        read, error = H.read_tables(page)
+    finally:
+        sys.setprofile(None)
+    assert error is None and [r["cells"]["title"] for r in read.rows] == [f"A & <{k}" for k in range(rows)]
+    assert len(calls) < 10 * rows  # a call a tag and text made 14 for each row
