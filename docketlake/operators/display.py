@@ -38,7 +38,7 @@ def reconcile_families(bills: DataFrame, source: DataFrame, rendered: DataFrame,
     todo = reasons.select("bill_id").distinct().join(reuse.select("bill_id"), "bill_id", "left_anti")
     failed = failures.select("bill_id").distinct().join(todo, "bill_id", "left_semi")
     parsed = html_tables.parse_pages(rendered.join(todo.join(failed, "bill_id", "left_anti").select(C("bill_id").alias("page_id")), "page_id", "left_semi"))
-    checked = html_tables.check_pages(parsed).persist(StorageLevel.DISK_ONLY)  # pages are parsed once for records, checks, ledger and sessions
+    checked = html_tables.identities_of(html_tables.check_pages(parsed), PROOF).persist(StorageLevel.DISK_ONLY)  # pages are parsed once for records, checks, ledger and sessions
     outcomes = html_tables.outcomes_of(checked).select(C("page_id").alias("bill_id"), C("outcome").alias("status"))
     read = outcomes.union(todo.join(outcomes, "bill_id", "left_anti").select("bill_id", F.lit("failed_fetch")))  # a page that is not there could not be fetched
     rest = bills.select("bill_id").join(reasons.select("bill_id").distinct(), "bill_id", "left_anti").select("bill_id", F.lit("not_applicable").alias("status"))
@@ -46,15 +46,17 @@ def reconcile_families(bills: DataFrame, source: DataFrame, rendered: DataFrame,
     statuses = read.union(rest).union(earlier)
     checks = statuses.withColumn("family", F.explode(F.array(F.lit(TESTIMONY), F.lit(COMMITTEE)))).select("bill_id", "family", "status")
 
-    record = F.to_json(F.struct("bill_id", "family", "source_id"))
-    ident = F.from_json("record", "bill_id bigint, family string, source_id bigint")
-    shown = html_tables.records_of(checked).where("not conflict").select(C("page_id").alias("bill_id"), "family", "source_id").where(C("family").isin(TESTIMONY, COMMITTEE)).select(record.alias("record")).distinct()
-    ours = source.join(read, "bill_id").select(record.alias("record"), "expected", "status").dropDuplicates(["record"])
-    both = reconcile.two_sources(ours, shown, "record", C("status"), now, expected=C("expected")).join(ours.select("record", "expected"), "record", "left")
-    records = both.select(ident.alias("r"), "origin", "displayed", "presence", "reclassified", "expected").select("r.*", "origin", "displayed", "presence", "reclassified", "expected")
+    keys = ["bill_id", "family", "source_id"]
+    answered = checked.select(C("page_id").alias("bill_id"), C("outcome").alias("status"))
+    answered = answered.union(todo.join(answered, "bill_id", "left_anti").select("bill_id", F.lit("failed_fetch")))
+    shown = checked.select(C("page_id").alias("bill_id"), C("outcome").alias("page_status"), F.explode("records").alias("r")).where("not r.conflict").select("bill_id", "r.family", "r.source_id", "page_status").where(C("family").isin(TESTIMONY, COMMITTEE)).distinct()
+    ours = source.join(answered, "bill_id").groupBy(*keys, "status").agg(F.first("expected").alias("expected"))
+    proves = F.coalesce("status", "page_status").isin(PROOF).alias("proves")
+    # joined once for the records, the findings and the counts
+    records = reconcile.two_sources(ours, shown, keys, C("status"), now, expected=C("expected"), keep=[C("expected"), proves]).drop("display_reconciled_at").persist(StorageLevel.DISK_ONLY)
 
     proof = read.where(C("status").isin(PROOF)).select("bill_id")
-    proven = records.join(proof, "bill_id", "left_semi")
+    proven = records.where("proves")
     odd = F.when((C("origin") == "source_only") & C("expected"), SOURCE_ONLY).when(C("origin") == "page_only", PAGE_ONLY).when(C("reclassified"), OTHER_TYPE)
     single = proven.select("bill_id", "family", odd.alias("anomaly_type"), "source_id").where("anomaly_type is not null")
     counts = proven.groupBy("bill_id", "family").agg(F.count_if((C("origin") != "page_only") & C("expected")).alias("n_source"), F.count_if("displayed").alias("n_page"))
@@ -63,13 +65,13 @@ def reconcile_families(bills: DataFrame, source: DataFrame, rendered: DataFrame,
     settled = proof.union(rest.select("bill_id")).distinct().withColumn("settled_", F.lit(True))
     display = C("anomaly_type").isin(SOURCE_ONLY, PAGE_ONLY, MISMATCH, OTHER_TYPE)
     stale = ledger.join(settled, "bill_id", "left").withColumn("resolved_at", F.coalesce("resolved_at", F.when(C("settled_") & display, now))).drop("settled_").withColumn("old_", F.lit(True))
-    keys = ["bill_id", "family", "anomaly_type", "source_id"]
-    new = found.select(*[C(k).alias(f"n_{k}") for k in keys], "found_")
-    same = [C(k).eqNullSafe(C(f"n_{k}")) for k in keys]
+    named = ["bill_id", "family", "anomaly_type", "source_id"]
+    new = found.select(*[C(k).alias(f"n_{k}") for k in named], "found_")
+    same = [C(k).eqNullSafe(C(f"n_{k}")) for k in named]
     merged = stale.join(new, same, "full_outer").select(
-        *[F.when(C("old_"), C(k)).otherwise(C(f"n_{k}")).alias(k) for k in keys],
+        *[F.when(C("old_"), C(k)).otherwise(C(f"n_{k}")).alias(k) for k in named],
         (F.coalesce("occurrences", F.lit(0)) + F.when(C("found_"), 1).otherwise(0)).cast("bigint").alias("occurrences"),
         F.when(C("found_"), None).otherwise(C("resolved_at")).alias("resolved_at"),
     )
     sessions = display_status(bills.join(statuses, "bill_id").select("session_key", "status"))
-    return {"records": records.drop("expected"), "checks": checks, "ledger": merged, "sessions": sessions}
+    return {"records": records.drop("expected", "proves"), "checks": checks, "ledger": merged, "sessions": sessions}

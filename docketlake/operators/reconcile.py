@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C = F.col
 
 
-def two_sources(source: DataFrame, page: DataFrame, key: str, outcome: Column, now: Column, expected: Column | None = None) -> DataFrame:
+def two_sources(source: DataFrame, page: DataFrame, key: str | list[str], outcome: Column, now: Column, expected: Column | None = None, keep: Sequence[Column] = ()) -> DataFrame:
     """(key, origin, displayed, presence, display_reconciled_at, reclassified) of records in a source and on pages.
 
     outcome: the page read's result; only a complete one (checked_with_records or checked_zero) proves
     that a record is not displayed, and displayed stays null otherwise. expected: which source records the
-    page should show; one shown against it is reclassified. The key is joined whole, so a bill with very many records is spread.
+    page should show; one shown against it is reclassified. The key, one column or several, is joined whole, so a bill with very many records is spread.
+    page: the key, and what else `keep` names; a row a key unless only the key is given. keep: further columns, over those of both sides.
     """
+    keys = [key] if isinstance(key, str) else key
     left = source.withColumn("in_source", F.lit(True)).withColumn("expected", F.lit(True) if expected is None else expected)
-    both = left.join(page.select(key).distinct().withColumn("on_page", F.lit(True)), key, "full_outer")
+    shown = page if keep else page.select(*keys).distinct()
+    both = left.join(shown.withColumn("on_page", F.lit(True)), keys, "full_outer")
     s, p = C("in_source").isNotNull(), C("on_page").isNotNull()
     displayed = F.when(p, True).when(outcome.isin("checked_with_records", "checked_zero"), False)
     return both.select(
-        key,
+        *keys,
         F.when(s & p, "both").when(s, "source_only").otherwise("page_only").alias("origin"),
         displayed.alias("displayed"),
         F.when(s, "active").otherwise("unknown").alias("presence"),
         F.when(displayed.isNotNull(), now).alias("display_reconciled_at"),
         F.coalesce(s & p & ~C("expected"), F.lit(False)).alias("reclassified"),
+        *keep,
     )
 
 

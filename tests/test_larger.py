@@ -105,3 +105,20 @@ def test_plain_markup_is_read_in_one_loop():
         sys.setprofile(None)
     assert error is None and [r["cells"]["title"] for r in read.rows] == [f"A & <{k}" for k in range(rows)]
     assert len(calls) < 10 * rows  # a call a tag and text made 14 for each row
+
+
+def test_records_of_both_families_are_joined_once_by_their_columns(spark):
+    plan = registry.QUERIES["s20_both_families"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "to_json" not in plan
+    kept = [line for line in plan.split("\n") if "InMemoryRelation" in line and "reclassified#" in line]
+    assert len(kept) == 3  # records, single findings and counts read what is kept
+
+
+def test_of_rows_of_one_page_the_proof_counts(spark):
+    from docketlake.sources import html_tables as H
+
+    page = "<h2>Testimony</h2><table><tr><th>Title</th></tr><tr><td><a href='/Downloads/X/1'>a</a></td></tr></table>"
+    pages = [(1, page), (2, "<p>x</p>"), (3, "<a href='/Downloads/X/9'>x</a>"), (3, page), (4, "<h2>Testimony</h2>No items to display")]
+    rows = H.identities_of(H.check_pages(H.parse_pages(spark.createDataFrame(pages, "page_id long, html string"))), ["checked_with_records", "checked_zero"])
+    assert {r["page_id"]: r["outcome"] for r in rows.collect()} == {1: "checked_with_records", 2: "parser_anomalous", 3: "checked_with_records", 4: "checked_zero"}
+    assert [f.name for f in rows.schema["records"].dataType.elementType.fields] == ["family", "source_id", "conflict"]
