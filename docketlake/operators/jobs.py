@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlake.operators import merge, reconcile
+from docketlake.operators.ledgers import PROOF
 from docketlake.sources import html_tables, pages
 
 C = F.col
@@ -34,13 +35,14 @@ def reconcile_pages(source: DataFrame, rendered: DataFrame, todo: DataFrame, reu
     """
     bills = todo.select("bill_id").distinct().join(reuse.select("bill_id"), "bill_id", "left_anti")
     parsed = html_tables.parse_pages(rendered.join(bills.select(C("bill_id").alias("page_id")), "page_id", "left_semi"))
-    checked = html_tables.check_pages(parsed).persist(StorageLevel.DISK_ONLY)  # pages are parsed once for records, outcomes and ledger
-    outcomes = html_tables.outcomes_of(checked).select(C("page_id").alias("bill_id"), "outcome")
-    record = lambda bill: F.concat_ws("-", C(bill).cast("string"), C("source_id").cast("string")).alias("record")
-    shown = html_tables.records_of(checked).where("not conflict").select(record("page_id"))
-    known = source.join(bills, "bill_id", "left_semi").join(outcomes, "bill_id", "left").select(record("bill_id"), "outcome").dropDuplicates(["record"])
-    read = outcomes.where(C("outcome").isin("checked_with_records", "checked_zero"))
-    return reconcile.two_sources(known, shown, "record", C("outcome"), now), merge.resolve(ledger, read, "bill_id", now)
+    checked = html_tables.identities_of(html_tables.check_pages(parsed), PROOF).persist(StorageLevel.DISK_ONLY)  # pages are parsed once for records, outcomes and ledger
+    outcomes = checked.select(C("page_id").alias("bill_id"), "outcome")
+    keys = ["bill_id", "source_id"]
+    shown = html_tables.records_of(checked).where("not conflict").select(C("page_id").alias("bill_id"), "source_id")
+    known = source.join(bills, "bill_id", "left_semi").join(outcomes, "bill_id", "left").select(*keys, "outcome").distinct()
+    records = reconcile.two_sources(known, shown, keys, C("outcome"), now)
+    read = outcomes.where(C("outcome").isin(PROOF))
+    return records.select(F.concat_ws("-", *[C(k).cast("string") for k in keys]).alias("record"), *records.columns[len(keys):]), merge.resolve(ledger, read, "bill_id", now)
 
 
 def inventory_run(target: DataFrame, states: DataFrame, landed: DataFrame, sync: DataFrame, failures: DataFrame, key: str, prefixes: list[str], modified: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

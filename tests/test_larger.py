@@ -122,3 +122,8 @@ def test_of_rows_of_one_page_the_proof_counts(spark):
     rows = H.identities_of(H.check_pages(H.parse_pages(spark.createDataFrame(pages, "page_id long, html string"))), ["checked_with_records", "checked_zero"])
     assert {r["page_id"]: r["outcome"] for r in rows.collect()} == {1: "checked_with_records", 2: "parser_anomalous", 3: "checked_with_records", 4: "checked_zero"}
     assert [f.name for f in rows.schema["records"].dataType.elementType.fields] == ["family", "source_id", "conflict"]
+
+
+def test_records_are_told_apart_by_numbers(spark):
+    plan = registry.QUERIES["s20_reconcile_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(outcome" not in plan and all("record#" not in line for line in plan.split("\n") if "Join" in line)
