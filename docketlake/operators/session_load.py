@@ -59,7 +59,7 @@ def load_problems(rows: DataFrame, entity: Entity, prefixes: list[str], parents:
         outside = outside | ~F.coalesce(C("measure_prefix").isin(prefixes), F.lit(False))
     found = rows.where(outside).groupBy("asked").agg(F.count("*").alias("n")).select(C("asked").alias("session_key"), F.format_string("%d rows outside the scope", "n").alias("error"))
     for name, theirs, own in entity.parents:
-        known = parents[name].select(C("session_key").alias("p_session"), C(theirs).alias("p_key")).distinct()
+        known = parents[name].select(C("session_key").alias("p_session"), C(theirs).alias("p_key"))
         lost = rows.where(C(own).isNotNull() & ~outside).join(known, (C("asked") == C("p_session")) & (C(own) == C("p_key")), "left_anti")
         found = found.union(lost.groupBy("asked").agg(F.count("*").alias("n")).select("asked", F.format_string(f"%d rows without their {name}", "n")))
     return found
@@ -85,13 +85,15 @@ def load_sessions(spark: SparkSession, root: str, targets: dict[str, DataFrame],
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    sessions = stored("asked", sync.select("session_key").distinct())
+    # what the run asks for is a row a session and entity: written once, its size is known and it is sent to the rows, not these to it
+    sync, failures = stored("asked-sync", sync), stored("asked-failures", failures)
+    sessions = sync.select("session_key").distinct()
     stopped, merged, findings, synced = None, {}, None, None
     for entity in ENTITIES:
         plan = sync.where(C("entity") == entity.name).select("session_key", "cursor")
         if stopped is not None:
             plan = plan.join(stopped.select("session_key"), "session_key", "left_anti")
-        fresh = read_for(landed[entity.name], plan, entity)
+        fresh = stored(f"read-{entity.name}", read_for(landed[entity.name], plan, entity))  # a source is read once for its checks, its merge and its cursors
         told = failures.where(C("entity") == entity.name).join(plan.select("session_key"), "session_key", "left_semi").select("session_key", "error")
         bad = told.union(load_problems(fresh.join(told.select(C("session_key").alias("asked")), "asked", "left_anti"), entity, prefixes, merged))
         bad = stored(f"bad-{entity.name}", bad.groupBy("session_key").agg(F.min("error").alias("error")).select("session_key", F.lit(entity.name).alias("entity"), "error"))
@@ -117,7 +119,8 @@ def load_sessions(spark: SparkSession, root: str, targets: dict[str, DataFrame],
     stored("errors", stopped)
     stored("events", findings.where(C("finding") == tracked.PRESENCE).drop("finding"))
     seen = findings.where(C("finding") != tracked.PRESENCE)
-    seen = seen.withColumn("fingerprint", fingerprint([C(c) for c in ("finding", "session_key", "entity", "id", "previous", "current")]))
+    print_ = fingerprint([C(c) for c in ("finding", "session_key", "entity", "id", "previous", "current")]).alias("fingerprint")
+    seen = stored("seen", seen.select(print_, "session_key", "finding", "entity", "id"))
     about = seen.groupBy("fingerprint").agg(F.min("session_key").alias("session_key"))
     known = merge.ledger_merge(ledger.drop("session_key", "affects_completeness"), seen.select("fingerprint", now.alias("at"), F.concat_ws(" ", "finding", "entity", "id").alias("message")))
     sides = ledger.select("fingerprint", C("session_key").alias("l_session"), C("affects_completeness").alias("l_affects"))

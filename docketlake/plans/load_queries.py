@@ -68,9 +68,14 @@ _DOCUMENTS = tuple(SOURCES)[-3:]
 _CHANGED = {"document_kind": "CASE WHEN h % 16 = 2 THEN 'floor_letter' ELSE document_kind END", "raw_document_type": "CASE WHEN h % 5 = 0 THEN 'type x' ELSE raw_document_type END", "url": "CASE WHEN h % 4 = 0 THEN concat(url, '?v=2') ELSE url END"}
 
 
-def _sides(t: Tables, name: str) -> tuple[DataFrame, DataFrame]:
-    """(target, landed) of an entity. The session of 1997 is answered with a committee of another, that of 2000 with a sponsor of no measure."""
-    rows = t.spark.sql(SOURCES[name].format(**t.names))
+#: The family of each kind of documents; all are made once, and landed by family.
+_FLAGS = {name: flag for name, flag in zip(_DOCUMENTS, "RAN", strict=True)}
+_LANDED = _DOCS.replace("h % 9 = 0 THEN 'page_only' ELSE 'both' END AS origin", "h % 9 = 0 THEN 'page_only' ELSE 'both' END AS origin, f").replace("WHERE f = '{flag}' AND", "WHERE f IN ('R', 'A', 'N') AND")
+
+
+def _sides(t: Tables, name: str, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target, landed) of an entity. documents: the rows of _LANDED. The session of 1997 is answered with a committee of another, that of 2000 with a sponsor of no measure."""
+    rows = documents.where(C("f") == _FLAGS[name]).drop("f") if name in _FLAGS else t.spark.sql(SOURCES[name].format(**t.names))
     landed = rows.where("h % 10 <> 7").withColumn("asked", C("session_key"))
     if "measure_prefix" in rows.columns:
         landed = landed.where("measure_prefix <> 'HJR'")
@@ -153,7 +158,11 @@ UNION ALL SELECT 'anomalies', '', session_key, '', '4|gap' FROM sess WHERE sessi
 def r11_session_load(t: Tables) -> DataFrame:
     """Seven sessions loaded with nine entity sets, three of which fail at different ones; every published table as (frame, entity, session_key, id, value)."""
     spark, root = t.spark, loads.shared_folder(t.spark, "sessions")
-    sides = {name: _sides(t, name) for name in SOURCES}
+    folder = loads.shared_folder(spark, "documents")
+    made = spark.sql(_LANDED.format(**t.names))
+    made.write.partitionBy("f").parquet(folder)
+    documents = spark.read.schema(made.schema).parquet(folder)
+    sides = {name: _sides(t, name, documents) for name in SOURCES}
     year = F.substring("session_key", 1, 4).cast("int")
     dated = F.array(*[F.lit(e.name) for e in session_load.ENTITIES if e.dated])
     sync = t.sess.select("session_key", F.explode(F.array(*map(F.lit, _NAMES))).alias("entity"))

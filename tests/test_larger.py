@@ -127,3 +127,32 @@ def test_of_rows_of_one_page_the_proof_counts(spark):
 def test_records_are_told_apart_by_numbers(spark):
     plan = registry.QUERIES["s20_reconcile_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "first(outcome" not in plan and all("record#" not in line for line in plan.split("\n") if "Join" in line)
+
+
+def test_a_source_is_read_once_for_a_load(spark, monkeypatch):
+    from docketlake.operators import session_load
+
+    class Seen(Exception):
+        pass
+
+    def problems(rows, *_):
+        raise Seen(rows.inputFiles())
+
+    monkeypatch.setattr(session_load, "load_problems", problems)
+    with pytest.raises(Seen) as seen:
+        registry.QUERIES["r11_session_load"](spark, SF)
+    files = seen.value.args[0]
+    assert any("/read-Legislators/" in f for f in files) and all("/data/" in f for f in files)  # what the run has written
+
+
+def test_all_families_of_documents_are_made_at_once(spark):
+    from docketlake.plans import load_queries as L
+    from docketlake.plans.standins import Tables
+
+    t = Tables(spark, SF)
+    made = spark.sql(L._LANDED.format(**t.names)).cache()
+    for name, flag in L._FLAGS.items():
+        want = spark.sql(L.SOURCES[name].format(**t.names))
+        got = made.where(f"f = '{flag}'").drop("f")
+        assert got.schema == want.schema and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty(), name
+    made.unpersist()
