@@ -37,8 +37,13 @@ def set_key(members: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None
 
 
+def set_mark(key: bytes | None) -> int | None:
+    """64 bits of a set's digest: they tell the texts of one id apart, and travel with each path of a document instead of the digest."""
+    return int.from_bytes(key[:8], "little", signed=True) if key else None
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
-    """Per document: doc, n (size of its shingle set), set_key (digest of the set, null if empty) and sig (minwise hashes)."""
+    """Per document: doc, n (size of its shingle set), set_key (digest of the set, null if empty), mark (64 bits of it) and sig (minwise hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -50,20 +55,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, coordina
                 sizes.append(len(s))
                 keys.append(set_key(s))
                 sigs.append([int((s * c).min() >> np.uint64(33)) for c in odd] if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc", "n", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(map(set_mark, keys), pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc", "n", "set_key", "mark", "sig"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), run, "doc long, n long, set_key binary, sig array<int>")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), run, "doc long, n long, set_key binary, mark long, sig array<int>")
 
 
 def chosen_path_nodes(reps: DataFrame, trees: int, leaf: int, depth: int, coordinates: int) -> DataFrame:
-    """(doc, set_key, node): the small nodes in which documents are to be compared.
+    """(doc, mark, node): the small nodes in which documents are to be compared.
 
     Each tree branches a node by a minwise token, one chosen by the node for all its documents; now
     and then by two, so that a pair at the threshold keeps one common path in expectation. Nodes of
     at most `leaf` documents end a path. What is still larger at the last level is cut into blocks,
     and each pair of blocks becomes a node, so no pair of it is lost and no node is large.
     """
-    member = ["doc", "set_key"]
+    member = ["doc", "mark"]
     work = reps.select(*member, F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("sig")[t]).alias("node")) for t in range(trees)])).alias("x")).select(*member, "x.tree", "x.node")
     found = None
     for level in range(1, depth + 1):
@@ -86,7 +91,7 @@ def chosen_path_nodes(reps: DataFrame, trees: int, leaf: int, depth: int, coordi
             work = sized.join(reps.select(*member, "sig"), member).select(*member, "tree", F.explode(_children(level, trees, coordinates)).alias("node"))
     found = checkpoint(found)
     # trees that gathered the same documents ask for the same comparison
-    same = found.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set_key")).alias("y"))
+    same = found.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("mark")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "mark")).alias("y"))
     once = same.groupBy("size", "x", "y").agg(F.min("node").alias("node")).select("node")
     return found.join(once, "node", "left_semi")
 
@@ -100,15 +105,15 @@ def _children(level: int, trees: int, coordinates: int) -> Column:
 
 def _block_pairs(large: DataFrame, leaf: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / leaf).cast("int")
-    mine = F.pmod(F.xxhash64("set_key", "node"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("mark", "node"), blocks).cast("int")
     pair = lambda other: F.xxhash64(F.col("node"), F.least("mine", other), F.greatest("mine", other))
-    return large.select("doc", "set_key", "node", blocks.alias("blocks"), mine.alias("mine")).select("doc", "set_key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("node"))
+    return large.select("doc", "mark", "node", blocks.alias("blocks"), mine.alias("mine")).select("doc", "mark", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("node"))
 
 
 def links_in_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) that span the similar documents of every node, confirmed on full shingle sets."""
     # at most a few nodes a tree, but for members of a node cut into blocks: one for each block of it
-    wanted = nodes.groupBy("doc").agg(F.collect_list(F.struct("set_key", "node")).alias("nodes"))
+    wanted = nodes.groupBy("doc").agg(F.collect_list(F.struct("mark", "node")).alias("nodes"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +128,9 @@ def links_in_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
         for batch in batches:
             for doc, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(shingle_words(text), width, hashes)
-                packed, key = s.tobytes(), set_key(s)
+                packed, mark = s.tobytes(), set_mark(set_key(s))
                 for x in at:
-                    if x["set_key"] == key:  # an id may have several texts
+                    if x["mark"] == mark:  # an id may have several texts
                         out.append((x["node"], doc, packed))
                         held += len(packed) + 16
                         if held >= SENT_BYTES:
@@ -202,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = checkpoint(signatures(docs, id_col, text_col, width, coordinates))
     named = each.where("set_key is not null and doc is not null")
     groups = checkpoint(named.groupBy("set_key").agg(F.min("doc").alias("rep")))
-    reps = checkpoint(named.join(groups.withColumnRenamed("rep", "doc"), ["doc", "set_key"]).dropDuplicates(["doc", "set_key"]).select("doc", "set_key", "sig"))
+    reps = checkpoint(named.join(groups.withColumnRenamed("rep", "doc"), ["doc", "set_key"]).dropDuplicates(["doc", "set_key"]).select("doc", "mark", "sig"))
     nodes = checkpoint(chosen_path_nodes(reps, trees, leaf, depth, coordinates))
     links = links_in_nodes(docs, nodes, id_col, text_col, width, percent)
     several = named.groupBy("doc").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc")

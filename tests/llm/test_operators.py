@@ -722,3 +722,15 @@ def test_stages_on_odd_and_empty_documents(spark):
             assert found.columns == odd.columns
         ids = sorted((r["doc_id"] for r in found.select("doc_id").collect()), key=str)
         assert ids == {"language": [3, 3, 4, 5, 5, None], "near_duplicates": [1, 2, 3, 3, 5, 5, None, None]}.get(name, [1, 2, 3, 3, 4, 5, 5, None, None])
+
+
+def test_near_duplicate_paths_carry_numbers_and_texts_of_one_id_stay_apart(spark):
+    from docketlake.llm import near_dup as N
+
+    line = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, line("a")), (2, line("a") + " x"), (3, line("b")), (3, line("a") + " y"), (4, line("b") + " z"), (5, line("c")), (6, "")], "doc_id long, text string")
+    each = N.signatures(docs, "doc_id", "text", 5, 32).where("set_key is not null").dropDuplicates(["doc", "set_key"])
+    nodes = N.chosen_path_nodes(each.select("doc", "mark", "sig"), 8, 512, 4, 32)
+    assert [t for _, t in nodes.dtypes] == ["bigint"] * 3  # no digest travels with a path
+    assert each.select("mark").distinct().count() == each.count() == 6
+    assert {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
