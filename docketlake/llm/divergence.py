@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketlake.llm import keyfilter
@@ -20,6 +22,10 @@ _PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0
 FIRST = 4
 #: Terms of one row of the relation, bytes of text that are split at a time.
 CHUNK, SLICE = 1 << 20, 1 << 20
+#: Bytes of different terms and sources of one row of the relation for each of its terms.
+TERM_BYTES = 8
+#: Bytes of a row group of the relation's files, which a reader holds at a time, and of a batch that goes to Python.
+GROUP_BYTES, BATCH_BYTES = 8 << 20, 8 << 20
 #: Sources and terms of a block of the comparison of pairs.
 TILE, BLOCK_TERMS = 256, 4096
 #: Kept terms and sources that are numbered for a broadcast (64 MB).
@@ -27,10 +33,13 @@ MOST_NUMBERED = 1_000_000
 
 
 class Codes(dict):
-    """Numbers terms in the order that it meets them."""
+    """Numbers terms in the order that it meets them, and adds up their lengths."""
 
-    def __missing__(self, term: bytes) -> int:
+    held = 0
+
+    def __missing__(self, term: bytes | str) -> int:
         code = self[term] = len(self)
+        self.held += len(term)
         return code
 
     def of(self, text: str) -> Iterator[np.ndarray]:
@@ -44,21 +53,37 @@ class Codes(dict):
             at = end
 
 
+def _packed(x: np.ndarray | list[int]) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs; the first byte says how many."""
+    x = np.asarray(x, dtype=np.int64)
+    narrow = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return bytes([narrow.itemsize]) + narrow.tobytes()
+
+
+def _unpacked(blob: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"u{memoryview(blob)[0]}", offset=1).astype(np.int64)
+
+
 class _Held:
-    """Documents of one language until they fill a row."""
+    """Documents of one language until they fill a row. Its size counts terms and documents, and the bytes of different terms and sources."""
 
     def __init__(self):
         self.codes, self.sources = Codes(), Codes()
         self.owner: list[int] = []  # number of each document's source
         self.parts: list[tuple[int, np.ndarray]] = []
-        self.size = 0
+        self.count = 0
+
+    @property
+    def size(self) -> int:
+        return max(self.count, (self.codes.held + self.sources.held) // TERM_BYTES)
 
     def add(self, source: str, text: str) -> None:
         doc = len(self.owner)
         self.owner.append(self.sources[source])
+        self.count += 1
         for codes in self.codes.of(text):
             self.parts.append((doc, codes))
-            self.size += len(codes)
+            self.count += len(codes)
 
     def row(self, lang: str) -> pa.RecordBatch:
         terms = list(self.codes)
@@ -68,16 +93,17 @@ class _Held:
         docs = np.repeat([d for d, _ in self.parts], [len(c) for _, c in self.parts]).astype(np.int64)
         codes = np.concatenate([c for _, c in self.parts]) if self.parts else np.empty(0, dtype=np.int32)
         pairs, n = np.unique(place.take(codes) * len(self.owner) + docs, return_counts=True)
-        blobs = [np.array(x, dtype=np.int32).tobytes() for x in (self.owner, pairs // max(1, len(self.owner)), pairs % max(1, len(self.owner)), n)]
+        term, doc = np.divmod(pairs, len(self.owner))
+        blobs = [_packed(x) for x in (self.owner, np.bincount(term, minlength=len(terms)), doc, n)]
         columns = [pa.array([lang], pa.string()), pa.array([list(self.sources)], pa.list_(pa.string())), pa.array([b" ".join(terms[k] for k in order)], pa.binary()), *(pa.array([b], pa.binary()) for b in blobs)]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "sources", "terms", "owner", "term", "doc", "n"])
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "sources", "terms", "owner", "times", "doc", "n"])
 
 
-_SCHEMA = "lang string, sources array<string>, terms binary, owner binary, term binary, doc binary, n binary"
+_SCHEMA = "lang string, sources array<string>, terms binary, owner binary, times binary, doc binary, n binary"
 
 
 def occurrences(docs: DataFrame, text_col: str, lang_col: str, source_col: str, chunk: int = CHUNK) -> DataFrame:
-    """Rows of some documents of a language: their terms in byte order, and (term, document, count) sorted by term."""
+    """Rows of some documents of a language: their terms in byte order, and (document, count) sorted by term with the number of documents of each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Held] = {}
@@ -97,6 +123,25 @@ def occurrences(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
     return map_batches(docs.select(text_col, lang_col, source_col), run, _SCHEMA)
 
 
+def stored(relation: DataFrame, folder: str) -> DataFrame:
+    """The relation as files of small row groups. Spark writes and reads a row group at a time; by default its size is looked at after 100 rows only, which are most of a split here."""
+    options = {"compression": "zstd", "parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    relation.write.options(**options).parquet(folder)
+    return relation.sparkSession.read.schema(_SCHEMA).parquet(folder)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile sends Python at most about BATCH_BYTES at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _key(lang: bytes, prefix: bytes) -> int:
     """64-bit key of a language and a prefix; a language has no 0x00 before its end."""
     return xxhash.xxh3_64_intdigest(lang + b"\x00" + prefix)
@@ -105,9 +150,10 @@ def _key(lang: bytes, prefix: bytes) -> int:
 def _opened(batches: Iterator[pa.RecordBatch], counts: bool = False) -> Iterator[tuple]:
     for batch in batches:
         for k in range(batch.num_rows):
-            blob = lambda name: np.frombuffer(batch.column(name)[k].as_buffer(), dtype=np.int32)  # noqa: E731, B023
+            blob = lambda name: _unpacked(batch.column(name)[k].as_buffer())  # noqa: E731, B023
             lang, terms = batch.column("lang")[k].as_py(), batch.column("terms")[k].as_py().split()
-            yield lang, terms, blob("term"), blob("doc"), *((batch.column("sources")[k].as_py(), blob("owner"), blob("n")) if counts else ())
+            term = np.repeat(np.arange(len(terms)), blob("times"))
+            yield lang, terms, term, blob("doc"), *((batch.column("sources")[k].as_py(), blob("owner"), blob("n")) if counts else ())
 
 
 def _alive(lang: str, terms: list[bytes], width: int, kept: np.ndarray | None) -> list[int]:
@@ -151,7 +197,7 @@ def prefix_counts(relation: DataFrame, width: int, before: int, kept) -> DataFra
                 part = prefixes[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array(n[k : k + 100_000].astype(np.int64))], names=["lang", "prefix", "n"])
 
-    return map_batches(relation, run, "lang string, prefix binary, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n_docs"))
+    return map_batches(relation.select("lang", "terms", "times", "doc"), run, "lang string, prefix binary, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n_docs"))
 
 
 def _filter(rows: DataFrame, most_bits: int) -> np.ndarray:
@@ -190,45 +236,65 @@ def kept_terms(relation: DataFrame, least: int, most_bits: int = keyfilter.MOST_
     return out
 
 
+class _Numbers:
+    """Numbers of (lang, name), found by 64-bit keys and told apart by the names themselves."""
+
+    def __init__(self, rows: pa.Table):
+        self.lang, self.name = (c.combine_chunks().cast(pa.binary()) for c in rows.columns)
+        keys = [np.array([_key(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)], dtype=np.uint64) for b in pa.table([self.lang, self.name], names=["lang", "name"]).to_batches(max_chunksize=50_000)]
+        keys = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def clash(self) -> bool:
+        return bool((self.keys[1:] == self.keys[:-1]).any())
+
+    def of(self, lang: bytes, names: list[bytes]) -> np.ndarray:
+        """The number of each name, -1 where it has none."""
+        if not names or not len(self.keys):
+            return np.full(len(names), -1, dtype=np.int64)
+        keys = np.array([_key(lang, x) for x in names], dtype=np.uint64)
+        at = self.order.take(np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1))
+        same = pc.and_(pc.equal(self.name.take(pa.array(at)), pa.array(names, pa.binary())), pc.equal(self.lang.take(pa.array(at)), pa.scalar(lang, pa.binary())))
+        return np.where(same.to_numpy(zero_copy_only=False), at, -1)
+
+    def names(self, numbers: np.ndarray) -> list[pa.Array]:
+        return [c.take(pa.array(numbers)).cast(pa.string()) for c in (self.lang, self.name)]
+
+
 def source_counts(relation: DataFrame, terms: DataFrame, names: DataFrame, most_bits: int = keyfilter.MOST_BITS, most_numbered: int = MOST_NUMBERED) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms in each source.
 
     While terms and names (lang, source) are at most `most_numbered`, and of at most 64 bytes each on average, they are broadcast with numbers, and pairs of numbers are counted;
-    beyond that the words themselves travel, those that pass a filter of bounded size, and are joined with the kept ones. Both give the same rows.
+    beyond that, or if two of them have one 64-bit key, the words themselves travel, those that pass a filter of bounded size, and are joined with the kept ones. Both give the same rows.
     """
     size = terms.agg(F.count("*"), F.sum(F.octet_length("term") + F.octet_length("lang"))).union(names.agg(F.count("*"), F.sum(F.octet_length("source") + F.octet_length("lang")))).toPandas()
     if size.iloc[:, 0].sum() <= most_numbered and size.iloc[:, 1].fillna(0).sum() <= 64 * most_numbered:
-        return _counts_by_number(relation, terms, names)
+        numbered = [_Numbers(rows.toArrow()) for rows in (terms.select("lang", "term"), names.select("lang", "source"))]
+        if not any(x.clash() for x in numbered):
+            return _counts_by_number(relation, *numbered)
     return _counts_by_word(relation, terms, most_bits)
 
 
-def _counts_by_number(relation: DataFrame, terms: DataFrame, names: DataFrame) -> DataFrame:
-    words, groups = (rows.toArrow() for rows in (terms.select("lang", "term"), names.select("lang", "source")))
-    shared = terms.sparkSession.sparkContext.broadcast((words, groups))
-
-    def numbers(table: pa.Table) -> dict[str, dict[bytes, int]]:
-        out: dict[str, dict[bytes, int]] = {}
-        for k, (lang, word) in enumerate(zip(*(c.to_pylist() for c in table.columns), strict=True)):
-            out.setdefault(lang, {})[word.encode("utf-8", "surrogatepass")] = k
-        return out
+def _counts_by_number(relation: DataFrame, words: _Numbers, groups: _Numbers) -> DataFrame:
+    shared = relation.sparkSession.sparkContext.broadcast((words, groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_term, of_source = (numbers(x) for x in shared.value)
+        words, groups = shared.value
         for lang, names, term, doc, sources, owner, n in _opened(batches, counts=True):
-            known = of_term.get(lang, {})
-            number = np.array([known.get(t, -1) for t in names], dtype=np.int64).take(term)
-            group = np.array([of_source[lang][s.encode("utf-8", "surrogatepass")] for s in sources], dtype=np.int64)
+            own = lang.encode("utf-8", "surrogatepass")
+            number = words.of(own, names).take(term)
+            group = groups.of(own, [s.encode("utf-8", "surrogatepass") for s in sources])
             some = number >= 0
             pairs, at = np.unique(group.take(owner.take(doc[some])) << 32 | number[some], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(at, weights=n[some], minlength=len(pairs)).astype(np.int64))], names=["pair", "n"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, groups = (x.combine_chunks() for x in shared.value)
+        words, groups = shared.value
         for batch in batches:
             pair = batch.column(0).to_numpy()
-            group, word = pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF)
-            columns = [groups[name].take(group).combine_chunks() for name in ("lang", "source")] + [words["term"].take(word).combine_chunks()]
-            yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in columns), batch.column(1)], names=["lang", "source", "term", "n"])
+            columns = groups.names(pair >> 32) + words.names(pair & 0xFFFFFFFF)[1:]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=["lang", "source", "term", "n"])
 
     found = map_batches(relation, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return map_batches(found, named, "lang string, source string, term string, n long")
@@ -243,7 +309,7 @@ def _counts_by_word(relation: DataFrame, terms: DataFrame, most_bits: int) -> Da
             own = lang.encode("utf-8", "surrogatepass")
             wanted = keyfilter.has(kept.value, np.array([_key(own, t + b"\x00") for t in names], dtype=np.uint64)) if names else np.empty(0, dtype=bool)
             some = wanted.take(term)
-            pairs, at = np.unique(term[some].astype(np.int64) * len(sources) + owner.take(doc[some]), return_inverse=True)
+            pairs, at = np.unique(term[some] * len(sources) + owner.take(doc[some]), return_inverse=True)
             counts = np.bincount(at, weights=n[some], minlength=len(pairs)).astype(np.int64)
             for k in range(0, len(pairs), 100_000):
                 part = pairs[k : k + 100_000]
@@ -318,11 +384,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
-    occurrences(docs, text_col, lang_col, source_col, chunk).write.option("compression", "zstd").parquet(folder)
-    relation = spark.read.schema(_SCHEMA).parquet(folder)
-    terms = checkpoint(kept_terms(relation, least, most_bits))
-    names = checkpoint(relation.select("lang", F.explode("sources").alias("source")).distinct())
-    counts = checkpoint(source_counts(relation, terms, names, most_bits, most_numbered))
+    with small_batches(spark):
+        relation = stored(occurrences(docs, text_col, lang_col, source_col, chunk), folder)
+        terms = checkpoint(kept_terms(relation, least, most_bits))
+        names = checkpoint(relation.select("lang", F.explode("sources").alias("source")).distinct())
+        counts = checkpoint(source_counts(relation, terms, names, most_bits, most_numbered))
     remove_folder(spark, folder)
 
     kinds = terms.groupBy("lang").agg(F.count("*").alias("kinds"))

@@ -9,8 +9,11 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from docketlake.llm import collocations, divergence, keyfilter, queries, rank_bpe
@@ -115,6 +118,41 @@ def test_kept_terms_are_counted_by_documents(docs):
     assert got == {k: n for k, n in held.items() if n >= 3} and any(len(t) > 300 for _, t in got)
 
 
+def test_rows_of_the_relation_are_bounded_by_bytes_and_documents(spark):
+    texts = [(f"{i:04d}".translate({48 + k: 97 + k for k in range(10)}) * 500, "en", f"s{i % 3}") for i in range(60)] + [(None, "de", "s0")] * 5000
+    rows = divergence.occurrences(spark.createDataFrame(texts, "text string, lang string, source string").coalesce(1), "text", "lang", "source", 1000).collect()
+    assert sum(len(divergence._unpacked(r["owner"])) for r in rows) == 5060 and sum(len(r["terms"].split()) for r in rows) == 60
+    assert max(len(r["terms"]) for r in rows) < 1000 * 8 + 2000 + 100 and max(len(divergence._unpacked(r["owner"])) for r in rows) <= 1000
+
+
+def test_files_of_the_relation_are_read_in_small_parts(docs, tmp_path, monkeypatch):
+    """A row group is held whole by whoever writes or reads it, and so is a batch that goes to Python."""
+    spark, key, seen = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(divergence, "GROUP_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(divergence, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(divergence, "remove_folder", lambda *_: None)
+    monkeypatch.setattr(divergence, "checkpoint", lambda df: seen.append(spark.conf.get(key)) or df.checkpoint())
+    rng, before = random.Random(3), spark.conf.get(key)
+    texts = [(" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400)), "en", f"s{i % 3}") for i in range(300)]
+    divergence.audit(spark.createDataFrame(texts, "text string, lang string, source string").coalesce(1), chunk=2000)
+    groups = [f.metadata.row_group(k).total_byte_size for f in map(pq.ParquetFile, tmp_path.glob("terms-*/*.parquet")) for k in range(f.metadata.num_row_groups)]
+    assert sum(groups) > 500_000 and max(groups) < 80_000
+    assert {*seen[:-1]} == {str(divergence.BATCH_BYTES)} and spark.conf.get(key) == before
+
+
+def test_numbers_are_told_apart_by_names(docs, monkeypatch):
+    rows = pa.table({"lang": ["en", "en", "de", ""], "term": ["a", "b", "a", "漢字"]})
+    numbers = divergence._Numbers(rows)
+    assert not numbers.clash() and numbers.of(b"en", [b"b", b"c", b"a"]).tolist() == [1, -1, 0]
+    assert numbers.of(b"", ["漢字".encode()]).tolist() == [3] and numbers.of(b"fr", [b"a"]).tolist() == [-1] and numbers.of(b"en", []).tolist() == []
+    with monkeypatch.context() as m:
+        m.setattr(divergence, "_key", lambda lang, name: 0)
+        assert divergence._Numbers(rows).clash() and not divergence._Numbers(rows.slice(0, 1)).clash()
+        assert divergence._Numbers(rows.slice(0, 1)).of(b"en", [b"b", b"a"]).tolist() == [-1, 0]  # an equal key of another word
+    monkeypatch.setattr(divergence._Numbers, "clash", lambda self: True)
+    assert sorted(map(tuple, divergence.audit(docs).collect())) == plain_audit(docs.collect(), 10, 10)
+
+
 def test_shares_beyond_64_bits(spark):
     rows = spark.createDataFrame([(40_000_000_000, 70_000_000_000, 5)], "n long, total long, kinds long")
     assert rows.select(divergence._share(F.col("n"), "total", "kinds")).first()[0] == 1 + 10**9 * 40_000_000_002 // 70_000_000_010
